@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, url_filter, warc_revisit
+from . import exact_dedup, mixing, near_dedup, url_filter, warc_revisit
 
 
 def queries() -> dict:
     return {
         "op6_url_filters": url_filter.op6,
+        "op7_near_dedup": near_dedup.op7,
         "op8_warc_revisits": warc_revisit.op8,
         "op9_mixing": mixing.op9,
         "op10_exact_dedup": exact_dedup.op10,
