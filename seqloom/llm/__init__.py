@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, url_filter, warc_revisit
+from . import bpe, chat, exact_dedup, mixing, near_dedup, topk, url_filter, warc_revisit
 
 
 def queries() -> dict:
     return {
+        "op1_bpe": bpe.op1,
+        "op2_top_k": topk.op2,
+        "op4_chat": chat.op4,
         "op6_url_filters": url_filter.op6,
         "op7_near_dedup": near_dedup.op7,
         "op8_warc_revisits": warc_revisit.op8,
@@ -16,4 +19,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": url_filter.OP6_SQL, "op8_warc_revisits": warc_revisit.OP8_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    """Queries without SQL: BPE merges and chains of links aren't expressible, mixing is tested by its rules."""
+    return {
+        "op2_top_k": topk.OP2_SQL,
+        "op4_chat": chat.OP4_SQL,
+        "op6_url_filters": url_filter.OP6_SQL,
+        "op8_warc_revisits": warc_revisit.OP8_SQL,
+        "op10_exact_dedup": exact_dedup.OP10_SQL,
+    }
