@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, near_dedup, topk, url_filter, warc_revisit
+from . import bpe, chat, exact_dedup, language_id, mixing, near_dedup, topk, url_filter, warc_revisit
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1,
         "op2_top_k": topk.op2,
         "op4_chat": chat.op4,
+        "op5_language_id": language_id.op5,
         "op6_url_filters": url_filter.op6,
         "op7_near_dedup": near_dedup.op7,
         "op8_warc_revisits": warc_revisit.op8,
@@ -23,6 +24,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_top_k": topk.OP2_SQL,
         "op4_chat": chat.OP4_SQL,
+        "op5_language_id": language_id.op5,
         "op6_url_filters": url_filter.OP6_SQL,
         "op8_warc_revisits": warc_revisit.OP8_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
