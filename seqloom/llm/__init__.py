@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, language_id, mixing, near_dedup, topk, url_filter, warc_revisit
+from . import bpe, chat, exact_dedup, language_id, mixing, near_dedup, pii, topk, url_filter, warc_revisit
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1,
         "op2_top_k": topk.op2,
+        "op3_pii": pii.op3,
         "op4_chat": chat.op4,
         "op5_language_id": language_id.op5,
         "op6_url_filters": url_filter.op6,
@@ -23,6 +24,7 @@ def oracle_sql() -> dict[str, str]:
     """Queries without SQL: BPE merges and chains of links aren't expressible, mixing is tested by its rules."""
     return {
         "op2_top_k": topk.OP2_SQL,
+        "op3_pii": pii.op3,
         "op4_chat": chat.OP4_SQL,
         "op5_language_id": language_id.op5,
         "op6_url_filters": url_filter.OP6_SQL,
