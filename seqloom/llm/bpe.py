@@ -32,6 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -284,16 +285,16 @@ def with_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text"
     def run(batches):
         encoder = Encoder(vocabulary.value, pattern)
         for batch in batches:
-            lists = [np.frombuffer(encoder.encode(x.as_py()), "<u4").astype(np.int32) for x in batch.column(batch.schema.names.index("_text"))]
+            lists = [np.frombuffer(encoder.encode(x.as_py()), "<u4").astype(np.int32) for x in batch.column(batch.schema.names.index("__bpe_text"))]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             values = np.concatenate(lists) if lists else np.zeros(0, np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            names = [x for x in batch.schema.names if x != "_text"]
+            names = [x for x in batch.schema.names if x != "__bpe_text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(x)) for x in names], tokens], [*names, tokens_col])
 
     kept = docs.drop(tokens_col)
-    schema = kept.schema.add(tokens_col, "array<int>")
-    return kept.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    schema = T.StructType([*kept.schema.fields, T.StructField(tokens_col, T.ArrayType(T.IntegerType()))])
+    return kept.withColumn("__bpe_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def decoded(frame: DataFrame, path: str, tokens_col: str = "tokens", text_col: str = "decoded") -> DataFrame:
