@@ -22,7 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; many small stores need no space set aside in advance.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Digests of repeated texts (32 bytes each) are broadcast up to this count, beyond it they are joined by shuffle.
 BROADCAST_DIGESTS = 200_000
 #: Files that a micro-batch takes.
@@ -62,9 +66,9 @@ def keyed_state(stream: DataFrame) -> DataFrame:
 def stream_groups(spark: SparkSession, staged: str, schema) -> DataFrame:
     """Runs all files of ``staged`` through the keyed state; one row per digest with keep and n."""
     out = shared_dir(spark, "dedup-groups")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(staged)
         query = (
@@ -77,10 +81,11 @@ def stream_groups(spark: SparkSession, staged: str, schema) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(provider)
-        else:
-            spark.conf.set(provider, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     updates = keyed_state(spark.createDataFrame([], schema)).withColumn("batch", F.lit(0))
     try:
         found = spark.read.schema(updates.schema).parquet(out)
