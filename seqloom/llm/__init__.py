@@ -21,12 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Queries without SQL: BPE merges and chains of links aren't expressible, mixing is tested by its rules."""
+    """SQL of the queries that it can express."""
     return {
         "op2_top_k": topk.OP2_SQL,
-        "op3_pii": pii.op3,
         "op4_chat": chat.OP4_SQL,
-        "op5_language_id": language_id.op5,
         "op6_url_filters": url_filter.OP6_SQL,
         "op8_warc_revisits": warc_revisit.OP8_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
