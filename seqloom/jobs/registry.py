@@ -1,11 +1,343 @@
-"""Queries of the library over the driver's tables."""
+"""Queries of the library over the driver's tables, each over whole tables.
+
+The main corpus is that of order lines (a sequence of suppliers per order). Corpora to compare are the
+two line states, with the return flag of a line as its class. Target phrases are part names.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as fx
+from ..operators import boundary, compare, decode, detectors, lexicon, mixture, stats
+from ..sources import readers
+from ..sources.corpora import order_lines, table
+from . import oracle
+
+DIGITS = 6
+#: Fixed values of the comparison queries: the class of a return flag, and the two corpora.
+FLAG_CLASS = {"A": fx.TITLE, "N": fx.COMMODITY, "R": fx.NAME}
+ONE, TWO = "F", "O"
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Doubles to a number of digits at which two engines agree; no negative zero."""
+    return df.select(*[(F.round(c, DIGITS) + F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    return boundary.segment_corpus(order_lines(spark, sf))
+
+
+def _matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.feature_matrix(_segments(spark, sf))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """For frames that are read again and again by one query."""
+    return df.persist()
+
+
+def distribution_score(spark, sf):
+    return _rounded(stats.distribution_score(order_lines(spark, sf)), "score")
+
+
+def positional_entropy(spark, sf):
+    return _rounded(stats.positional_entropy(order_lines(spark, sf)), "entropy")
+
+
+def ngram_counts_uni(spark, sf):
+    return stats.symbol_counts(order_lines(spark, sf)).select("sym", "n")
+
+
+def start_end_counts(spark, sf):
+    return stats.symbol_counts(order_lines(spark, sf)).select("sym", "starts", "ends")
+
+
+def ngram_counts_bi(spark, sf):
+    return stats.ngram_counts(order_lines(spark, sf), 2)
+
+
+def ngram_counts_tri(spark, sf):
+    return stats.ngram_counts(order_lines(spark, sf), 3)
+
+
+def _npmi(spark, sf, n):
+    corpus = order_lines(spark, sf)
+    return _rounded(stats.npmi(stats.ngram_counts(corpus, n), stats.symbol_counts(corpus).select("sym", "n"), n), "npmi")
+
+
+def npmi_bigram(spark, sf):
+    return _npmi(spark, sf, 2)
+
+
+def npmi_trigram(spark, sf):
+    return _npmi(spark, sf, 3)
+
+
+def boundary_features(spark, sf):
+    return _rounded(boundary.features(order_lines(spark, sf)), *boundary.FEATURES)
+
+
+def zscore_boundary(spark, sf):
+    found = boundary.zscore_detector(boundary.features(order_lines(spark, sf)).select("seq_id", "pos", "f0"))
+    return found.select("seq_id", "pos", (F.col("p") >= 0.5).alias("is_boundary"), (F.round("p", 5) + F.lit(0.0)).alias("p"))
+
+
+def segmented_lines(spark, sf):
+    return boundary.segmented_lines(_segments(spark, sf))
+
+
+def segment_inventory(spark, sf):
+    return lexicon.inventory(_segments(spark, sf)).select("seg_key", "seg_id", "freq", F.size("examples").cast("long").alias("n_examples"))
+
+
+def top_examples(spark, sf):
+    return lexicon.top_examples(_segments(spark, sf))
+
+
+def segment_contexts(spark, sf):
+    return lexicon.contexts(_segments(spark, sf))
+
+
+def segment_entropy(spark, sf):
+    return _rounded(lexicon.side_entropy(lexicon.contexts(_segments(spark, sf))).drop("coll_skew"), "H_left", "H_right", "H_total")
+
+
+def segment_avg_pmi(spark, sf):
+    rows = _segments(spark, sf)
+    return _rounded(lexicon.average_pmi(lexicon.contexts(rows), lexicon.segment_counts(rows)), "avg_pmi_left", "avg_pmi_right")
+
+
+def segment_burstiness(spark, sf):
+    rows = _segments(spark, sf)
+    return _rounded(lexicon.burstiness_and_idf(lexicon.segment_counts(rows), lexicon.sequence_count(rows)).select("seg_key", "burstiness"), "burstiness")
+
+
+def segment_idf_skew(spark, sf):
+    rows = _segments(spark, sf)
+    idf = lexicon.burstiness_and_idf(lexicon.segment_counts(rows), lexicon.sequence_count(rows)).select("seg_key", "idf")
+    skew = lexicon.side_entropy(lexicon.contexts(rows)).select("seg_key", "coll_skew")
+    return _rounded(idf.join(skew, "seg_key", "left").fillna(0.0, ["coll_skew"]), "idf", "coll_skew")
+
+
+def _adjacent(spark, sf):
+    rows = _segments(spark, sf)
+    return lexicon.numeric_neighbours(lexicon.contexts(rows), lexicon.segment_counts(rows))
+
+
+def numeric_assoc(spark, sf):
+    return _rounded(lexicon.numeric_association(_adjacent(spark, sf)), "numeric_assoc")
+
+
+def log_odds(spark, sf):
+    return _rounded(lexicon.log_odds(_adjacent(spark, sf)), "log_odds")
+
+
+def g2_test(spark, sf):
+    return _rounded(lexicon.g2(_adjacent(spark, sf)), "g2")
+
+
+def segment_features(spark, sf):
+    wide = _matrix(spark, sf).drop("tokens", "examples", "seg_id")
+    return _rounded(wide, *[c for c, t in wide.dtypes if t == "double"])
+
+
+def seed_sets(spark, sf):
+    return lexicon.seeds(_matrix(spark, sf))
+
+
+def seed_precision(spark, sf):
+    matrix = _matrix(spark, sf)
+    return _rounded(lexicon.seed_precision(lexicon.rule_labels(matrix), lexicon.seeds(matrix)), "precision_proxy", "recall_proxy")
+
+
+def coverage(spark, sf):
+    return _rounded(lexicon.coverage(_segments(spark, sf), lexicon.rule_labels(_matrix(spark, sf))), "pct")
+
+
+def robust_scale(spark, sf):
+    columns = ["start_prob", "end_prob", "avg_pos", "mean_len", "H_total", "burstiness", "idf", "coll_skew"]
+    return _rounded(lexicon.robust_scale(_matrix(spark, sf), columns, ["seg_key"]), *columns)
+
+
+# comparison of corpora
+
+
+def _classes(spark, sf):
+    """corpus, seq_id, labels: the classes of an order's lines of one state, in order."""
+    label = F.create_map(*[F.lit(x) for kv in FLAG_CLASS.items() for x in kv])[F.col("l_returnflag")]
+    place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", label.alias("label"))
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("corpus"), F.col("l_orderkey").alias("seq_id"))
+    return rows.agg(F.transform(F.array_sort(F.collect_list(place)), lambda p: p["label"]).alias("labels"))
+
+
+def _label_counts(spark, sf):
+    return _classes(spark, sf).select("corpus", F.explode("labels").alias("label")).groupBy("corpus", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _structures(spark, sf):
+    return _classes(spark, sf).select("corpus", F.array_join("labels", ",").alias("pattern")).groupBy("corpus", "pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+def svo_patterns(spark, sf):
+    return _classes(spark, sf).select("corpus", fx.svo_pattern(F.col("labels")).alias("pattern")).groupBy("corpus", "pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_entropy_similarity(spark, sf):
+    return _rounded(compare.entropy_similarity(_label_counts(spark, sf), ONE, TWO), "entropy_1", "entropy_2", "similarity")
+
+
+def label_cosine(spark, sf):
+    return _rounded(compare.cosine(_label_counts(spark, sf), ONE, TWO), "similarity")
+
+
+def jaccard_classes(spark, sf):
+    return _rounded(compare.jaccard(_label_counts(spark, sf), ONE, TWO), "similarity")
+
+
+def dice_structure(spark, sf):
+    return _rounded(compare.dice(_structures(spark, sf), ONE, TWO), "similarity")
+
+
+def svo_similarity(spark, sf):
+    return _rounded(compare.dice(svo_patterns(spark, sf), ONE, TWO, empty_side=None), "similarity")
+
+
+def overall_similarity(spark, sf):
+    return compare.report(_label_counts(spark, sf), _structures(spark, sf), svo_patterns(spark, sf), ONE, TWO)
+
+
+# text
+
+
+def parse_sequences(spark, sf):
+    """Property strings of events, read as sequences of integers in brackets."""
+    return table(spark, sf, "events").select("event_id", F.array_join(readers.parse_sequence(F.col("props")).cast("array<string>"), ",").alias("symbols"))
+
+
+def normalize_text(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(fx.normalize_text(F.col("text")).cast("binary")).alias("text_md5"))
+
+
+def strip_diacritics(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(fx.strip_diacritics(F.col("text")).cast("binary")).alias("text_md5"))
+
+
+def _phrases(spark, sf):
+    return readers.phrase_corpus(table(spark, sf, "part").select((F.col("p_partkey")).alias("line_no"), F.col("p_name").alias("value")))
+
+
+def corpus_dedup(spark, sf):
+    return _phrases(spark, sf)
+
+
+def _segment_texts(spark, sf):
+    rows = _segments(spark, sf)
+    return rows.select("seq_id", "seg_pos", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ", ").alias("text"))
+
+
+def _queries(spark, sf):
+    return _segment_texts(spark, sf).select(fx.normalize_text(F.col("text")).alias("text")).filter("text <> ''").distinct()
+
+
+def length_bucket_join(spark, sf):
+    pairs = decode.candidate_pairs(_queries(spark, sf), _phrases(spark, sf))
+    return pairs.groupBy("text").agg(F.count(F.lit(1)).alias("n_candidates"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
+
+
+def _lexicon(spark, sf):
+    return readers.lexicon_map(table(spark, sf, "part").select(F.col("p_partkey").alias("line_no"), F.col("p_partkey").alias("seal_id"), F.col("p_name").alias("words")))
+
+
+def lexicon_lookup(spark, sf):
+    return decode.lexicon_lookup(_queries(spark, sf), _lexicon(spark, sf))
+
+
+def linguistic_weight(spark, sf):
+    words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    classes = F.explode(F.array(*[F.lit(c) for c in fx.CLASS_SUFFIXES]))
+    return _rounded(words.select("word", classes.alias("label")).withColumn("weight", fx.linguistic_weight(F.col("word"), F.col("label"))), "weight")
+
+
+def structure_and_length(spark, sf):
+    """Length and structure similarity of each segment with the first phrase of each length bucket."""
+    pairs = decode.candidate_pairs(_queries(spark, sf), _phrases(spark, sf)).filter("cand_id IS NOT NULL")
+    one = pairs.groupBy("text", "bucket").agg(F.min_by("word", "cand_id").alias("word"))
+    e = fx.entropy_similarity(F.length("text"), F.length("word")).alias("length_similarity")
+    return _rounded(one.select("text", "bucket", "word", e, fx.structure_similarity(F.col("text"), F.col("word")).alias("structure_similarity")), "length_similarity", "structure_similarity")
+
+
+def fuzzy_topk(spark, sf):
+    return decode.fuzzy_top(decode.class_lookup(_queries(spark, sf)), _phrases(spark, sf)).select("text", "place", "word", "score")
+
+
+def decoded_sentences(spark, sf):
+    return decode.decode(_segment_texts(spark, sf), _lexicon(spark, sf), _phrases(spark, sf))
+
+
+def line_confidence(spark, sf):
+    lines = boundary.segmented_lines(_segments(spark, sf)).select("seq_id", F.col("line").alias("text"))
+    return decode.line_confidence(lines, _phrases(spark, sf))
+
+
+# models
+
+
+def _fitted(spark, sf):
+    matrix = _kept(_matrix(spark, sf))
+    scaled = _kept(mixture.scaled_rows(matrix))
+    return matrix, scaled
+
+
+def em_mixture(spark, sf):
+    matrix, scaled = _fitted(spark, sf)
+    return mixture.labelled(matrix, scaled, mixture.fit(matrix, scaled)[0])
+
+
+def representatives(spark, sf):
+    return lexicon.representatives(em_mixture(spark, sf))
+
+
+def jackknife_stability(spark, sf):
+    return mixture.stability(*_fitted(spark, sf), rounds=5)
+
+
+def bayes_gmm_detector(spark, sf):
+    return detectors.gmm_detector(_kept(boundary.features(order_lines(spark, sf))))[0]
+
+
+def dbscan_detector(spark, sf):
+    return detectors.density_detector(_kept(boundary.features(order_lines(spark, sf))))[0]
+
+
+def ensemble_boundary(spark, sf):
+    corpus = order_lines(spark, sf)
+    candidates = _kept(boundary.features(corpus))
+    p = boundary.ensemble({
+        "mixture": detectors.gmm_detector(candidates), "density": detectors.density_detector(candidates),
+        "zscore": (boundary.zscore_detector(candidates), boundary.zscore_reliability(candidates)),
+    })
+    return boundary.segmented_lines(boundary.segment_corpus(corpus, p))
+
+
+_WITH_SQL = [
+    distribution_score, positional_entropy, ngram_counts_uni, ngram_counts_bi, ngram_counts_tri, start_end_counts, npmi_bigram, npmi_trigram, boundary_features, zscore_boundary, segmented_lines,
+    segment_inventory, top_examples, segment_contexts, segment_entropy, segment_avg_pmi, segment_burstiness, segment_idf_skew, numeric_assoc, log_odds, g2_test, segment_features, seed_sets, seed_precision,
+    coverage, robust_scale, svo_patterns, class_entropy_similarity, label_cosine, jaccard_classes, dice_structure, svo_similarity, overall_similarity, parse_sequences, normalize_text, strip_diacritics,
+    corpus_dedup, length_bucket_join, lexicon_lookup, linguistic_weight, structure_and_length,
+]
+_WITHOUT_SQL = [fuzzy_topk, decoded_sentences, line_confidence, em_mixture, representatives, jackknife_stability, bayes_gmm_detector, dbscan_detector, ensemble_boundary]
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return segmented_lines(spark, sf)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in [*_WITH_SQL, *_WITHOUT_SQL]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: oracle.SQL[f.__name__] for f in _WITH_SQL}
