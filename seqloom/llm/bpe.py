@@ -38,7 +38,7 @@ from .common import table
 
 #: Places of a piece after which tokens are emitted where they are certain.
 EMIT_EVERY = 256
-_SHORT_PIECE, _MANY_PIECES, _MANY_STATES, _MANY_PAIRS = 64, 500_000, 300_000, 400_000
+_SHORT_PIECE, _MANY_PIECES, _MANY_STATES, _MANY_PAIRS = 64, 400_000, 200_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,19 +47,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
 
 
+def token_table(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """The bytes of each id; None where an id is free."""
+    table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        table[i] = token
+    return table
+
+
 class Transducer:
     """Encodes one piece of bytes at a time."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.token = ranks, {i: t for t, i in ranks.items()}
+        self.ranks, self.token = ranks, token_table(ranks)
         self.begins = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.spines: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.splits: dict[int, tuple[int, int] | None] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.states = {(b"", (-1,)): 0}
-        self.keys, self.last, self.moves = [(b"", (-1,))], [-1], [{}]
+        self.keys, self.last, self.moves = [(b"", (-1,))], [-1], {}
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by its definition: again and again the pair of lowest rank is merged."""
@@ -73,40 +81,47 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
-    def edges(self, token: int) -> tuple[list[bytes], list[bytes]]:
-        """The parts that stand first, and those that stand last, while the token is merged."""
-        known = self.spines.get(token)
-        if known is None:
-            data = self.token[token]
-            first, final = [data[:1]], [data[-1:]]
-            parts = [data[i : i + 1] for i in range(len(data))]
-            while len(parts) > 1 and (options := [(r, i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (r := self.ranks.get(a + b)) is not None]):
-                _, i = min(options)
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None for a single byte."""
+        if token not in self.splits:
+            data, parts = self.token[token], [bytes((x,)) for x in self.token[token]]
+            while len(parts) > 2:
+                _, i = min((r, i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (r := self.ranks.get(a + b)) is not None)
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
-                first += [parts[0]] * (i == 0)
-                final += [parts[-1]] * (i == len(parts) - 1)
-            known = self.spines[token] = (first, final)
-        return known
+            self.splits[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(data) > 1 else None
+        return self.splits[token]
 
     def agree(self, a: int, b: int) -> bool:
-        """Whether the bytes of tokens a and b, together, are encoded as these two.
-
-        Where no part at the end of a merges with a part at the beginning of b, they are.
-        """
-        known = self.pairs.get((a, b))
+        """Whether the bytes of tokens a and b, together, are encoded as these two."""
+        pair = a << 32 | b
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= _MANY_PAIRS:
                 self.pairs.clear()
-            ranks, ends, begins = self.ranks, self.edges(a)[1], self.edges(b)[0]
-            apart = not any(x + y in ranks for x in ends for y in begins)
-            if apart:  # and if each is the encoding of its own bytes
-                known = ends[-1] == self.token[a] and begins[-1] == self.token[b]
-            else:
-                both = self.token[a] + self.token[b]
-                known = both not in ranks and self.merged(both) == [a, b]
-            self.pairs[a, b] = known
+            known = self.pairs[pair] = self._apart(a, b)
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        """Undoes the merges of both tokens from the last on. At each point of time the parts that touch
+        must not merge before the merge that was undone: else the boundary had been merged away.
+
+        Of two merges of one rank the left one comes first, so the boundary pair loses to a merge in a
+        of its own rank and wins over one in b.
+        """
+        token, ranks = self.token, self.ranks
+        until = len(ranks) * 2  # twice the rank that must not be undercut, plus 1 if equality counts
+        while True:
+            both = ranks.get(token[a] + token[b])
+            if both is not None and 2 * both < until:
+                return False
+            left, right = self.halves(a), self.halves(b)
+            if left is None and right is None:
+                return True
+            if right is None or (left is not None and a > b):
+                until, a = 2 * a, left[1]
+            else:
+                until, b = 2 * b + 1, right[0]
+
     def move(self, state: int, byte: int) -> int:
         """The state after one more byte, made when it is first asked for."""
         suffix, back = self.keys[state]
@@ -124,8 +139,7 @@ class Transducer:
             new = self.states[key] = len(self.keys)
             self.keys.append(key)
             self.last.append(token)
-            self.moves.append({})
-        self.moves[state][byte] = new
+        self.moves[state << 8 | byte] = new
         return new
 
     def encode(self, piece: bytes) -> list[int]:
@@ -138,7 +152,7 @@ class Transducer:
         moves, last, state = self.moves, self.last, 0
         ends: list[int] = []  # the last token at each place since the last emitted one
         for n, byte in enumerate(piece, 1):
-            state = moves[state].get(byte) or self.move(state, byte)
+            state = moves.get(state << 8 | byte) or self.move(state, byte)
             ends.append(last[state])
             if n % EMIT_EVERY == 0:
                 self._emit(ends, len(self.keys[state][0]), out)
@@ -149,7 +163,6 @@ class Transducer:
                     self.states[key] = 1
                     self.keys.append(key)
                     last.append(key[1][0])
-                    moves.append({})
         out += self._back(ends, len(ends))
         return out
 
@@ -180,10 +193,10 @@ class Encoder(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.transducer, self.split = Transducer(ranks), regex.compile(pattern)
+        self.transducer, self.split = Transducer(ranks), regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.transducer.encode(piece.encode("utf-8")), "<u4").tobytes()
+        ids = array("I", self.transducer.encode(piece.encode("utf-8"))).tobytes()
         if len(piece) <= _SHORT_PIECE:
             if len(self) >= _MANY_PIECES:
                 self.clear()
@@ -191,7 +204,7 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.split.findall(text or "")))
+        return b"".join(map(self.__getitem__, self.split(text or "")))
 
 
 #: Next state by (state, byte class) of the machine for UTF-8; 0 accepts, 1 rejects.
@@ -227,7 +240,7 @@ def unfinished(data: bytes) -> int:
 class Decoder:
     """Ids to text, in portions; what is no UTF-8 becomes U+FFFD."""
 
-    def __init__(self, token: dict[int, bytes]):
+    def __init__(self, token: list[bytes | None]):
         self.token, self.held = token, b""
 
     def feed(self, ids) -> bytes:
@@ -302,7 +315,7 @@ def decoded(frame: DataFrame, path: str, tokens_col: str = "tokens", text_col: s
     vocabulary = _broadcast(frame.sparkSession, path)
 
     def run(batches):
-        decoder = Decoder({i: t for t, i in vocabulary.value.items()})
+        decoder = Decoder(token_table(vocabulary.value))
         for batch in batches:
             texts = [decoder.text(x.as_py() or []) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", text_col])
