@@ -6,6 +6,8 @@ two line states, with the return flag of a line as its class. Target phrases are
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,17 +28,25 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[(F.round(c, DIGITS) + F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A step's result, written once where a query reads it again and again. It goes to the shared folder
+    of spark.checkpoint.dir; only where that is unset, as in local tests, to a temporary one."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
+    return df.checkpoint()
+
+
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
-    return boundary.segment_corpus(order_lines(spark, sf))
+    return _kept(boundary.segment_corpus(order_lines(spark, sf)))
 
 
-def _matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return lexicon.feature_matrix(_segments(spark, sf))
+def _matrix_of(rows: DataFrame) -> DataFrame:
+    return _kept(lexicon.feature_matrix(rows))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """For frames that are read again and again by one query."""
-    return df.persist()
+def _matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return _matrix_of(_segments(spark, sf))
 
 
 def distribution_score(spark, sf):
@@ -154,7 +164,8 @@ def seed_precision(spark, sf):
 
 
 def coverage(spark, sf):
-    return _rounded(lexicon.coverage(_segments(spark, sf), lexicon.rule_labels(_matrix(spark, sf))), "pct")
+    rows = _segments(spark, sf)
+    return _rounded(lexicon.coverage(rows, lexicon.rule_labels(_matrix_of(rows))), "pct")
 
 
 def robust_scale(spark, sf):
@@ -286,7 +297,7 @@ def line_confidence(spark, sf):
 
 
 def _fitted(spark, sf):
-    matrix = _kept(_matrix(spark, sf))
+    matrix = _matrix(spark, sf)
     scaled = _kept(mixture.scaled_rows(matrix))
     return matrix, scaled
 
