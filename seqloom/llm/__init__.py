@@ -27,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat": chat.OP4_SQL,
         "op6_url_filters": url_filter.OP6_SQL,
         "op8_warc_revisits": warc_revisit.OP8_SQL,
+        "op9_mixing": mixing.OP9_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
     }

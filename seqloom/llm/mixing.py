@@ -119,3 +119,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s0),
+s2 AS (SELECT *, CAST(place % 3 + 1 AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS most FROM s1),
+s3 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                 / sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
+s4 AS (SELECT *, least(most, weight * max(level) OVER ()) AS target, CAST(round(sum(source_size) OVER () / CAST(32 AS DOUBLE)) AS BIGINT) AS seats, count(*) OVER () AS parties FROM s3),
+a1 AS (SELECT place, target, seats, unnest(generate_series(1, CAST(ceil(target / greatest(1, sum(target) OVER ()) * (seats + parties / CAST(2 AS DOUBLE)) + 2) AS BIGINT))) AS j FROM s4),
+a2 AS (SELECT place, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * j - 1) DESC, place, j) AS k FROM a1 WHERE target > 0) WHERE k <= seats GROUP BY place),
+s5 AS (SELECT s4.source, s4.place, source_size, target, coalesce(quota, 0) AS source_quota, CAST(least(65536, ceil(n / CAST(1000 AS DOUBLE))) AS BIGINT) AS shards FROM s4 LEFT JOIN a2 ON a2.place = s4.place),
+e AS (SELECT d.doc_id, d.size, d.h, s5.*, CAST('0x' || substr(d.h, 1, 8) AS BIGINT) % s5.shards AS shard FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
+p AS (SELECT place, shard, source, source_quota, CAST(sum(size) AS BIGINT) AS shard_size FROM e GROUP BY place, shard, source, source_quota),
+p1 AS (SELECT *, count(*) OVER (PARTITION BY place) AS parties, sum(shard_size) OVER (PARTITION BY place) AS whole FROM p),
+b1 AS (SELECT place, shard, shard_size, source_quota, unnest(generate_series(1, CAST(ceil(shard_size / CAST(greatest(1, whole) AS DOUBLE) * (source_quota + parties / CAST(2 AS DOUBLE)) + 2) AS BIGINT))) AS j FROM p1),
+b2 AS (SELECT place, shard, count(*) AS quota
+       FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY shard_size / CAST(2 * j - 1 AS DOUBLE) DESC, shard, j) AS k FROM b1 WHERE shard_size > 0) WHERE k <= source_quota GROUP BY place, shard),
+q AS (SELECT p.place, p.shard, p.shard_size, least(coalesce(quota, 0) * 32, p.shard_size * 3) AS tokens,
+             CAST('0x' || substr(md5('17:' || coalesce(source, '') || ':' || p.shard), 1, 8) AS BIGINT) % CAST(greatest(1, ceil(p.shard_size / CAST(32 AS DOUBLE))) AS BIGINT) * 32 AS start
+      FROM p LEFT JOIN b2 ON b2.place = p.place AND b2.shard = p.shard),
+q1 AS (SELECT *, CASE WHEN shard_size > 0 THEN tokens // shard_size ELSE 0 END AS rounds, CASE WHEN shard_size > 0 THEN tokens % shard_size ELSE 0 END AS arc FROM q),
+l AS (SELECT e.doc_id, e.size, e.source_size, e.target, q1.rounds, q1.arc, q1.start, q1.shard_size,
+             sum(e.size) OVER (PARTITION BY e.place, e.shard ORDER BY e.h, e.doc_id, e.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
+      FROM e JOIN q1 ON q1.place = e.place AND q1.shard = e.shard)
+SELECT doc_id, size, source_size, target,
+       CAST(rounds * size + greatest(0, least(stop, start + arc) - greatest(stop - size, start)) + greatest(0, least(stop, start + arc - shard_size) - (stop - size)) AS BIGINT) AS taken
+FROM l
+"""
