@@ -38,7 +38,9 @@ from .common import table
 
 #: Places of a piece after which tokens are emitted where they are certain.
 EMIT_EVERY = 256
-_SHORT_PIECE, _MANY_PIECES, _MANY_STATES, _MANY_PAIRS = 64, 400_000, 200_000, 300_000
+_SHORT_PIECE = 64
+#: Pieces that a task remembers (about 0.5 KB each with the states and pairs that go with them).
+REMEMBERED = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,7 +60,8 @@ def token_table(ranks: dict[bytes, int]) -> list[bytes | None]:
 class Transducer:
     """Encodes one piece of bytes at a time."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], most: int = REMEMBERED):
+        self.most_states, self.most_pairs = most // 2, most * 3 // 4
         self.ranks, self.token = ranks, token_table(ranks)
         self.begins = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
         self.pairs: dict[int, bool] = {}
@@ -96,7 +99,7 @@ class Transducer:
         pair = a << 32 | b
         known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) >= _MANY_PAIRS:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             known = self.pairs[pair] = self._apart(a, b)
         return known
@@ -146,7 +149,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.keys) > _MANY_STATES:
+        if len(self.keys) > self.most_states:
             self._forget()
         out: list[int] = []
         moves, last, state = self.moves, self.last, 0
@@ -156,7 +159,7 @@ class Transducer:
             ends.append(last[state])
             if n % EMIT_EVERY == 0:
                 self._emit(ends, len(self.keys[state][0]), out)
-                if len(self.keys) > _MANY_STATES:
+                if len(self.keys) > self.most_states:
                     key = self.keys[state]
                     self._forget()
                     moves, last, state = self.moves, self.last, 1
@@ -191,14 +194,15 @@ class Transducer:
 class Encoder(dict):
     """Texts to packed ids (unsigned 32-bit, little-endian). Maps short pieces to theirs."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = REMEMBERED):
         super().__init__()
-        self.transducer, self.split = Transducer(ranks), regex.compile(pattern).findall
+        self.most = most
+        self.transducer, self.split = Transducer(ranks, most), regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
         ids = array("I", self.transducer.encode(piece.encode("utf-8"))).tobytes()
         if len(piece) <= _SHORT_PIECE:
-            if len(self) >= _MANY_PIECES:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = ids
         return ids
@@ -259,6 +263,8 @@ class Decoder:
 
 
 _PORTION = 65_536
+#: Rows whose tokens leave a task at once.
+_ROWS = 500
 
 
 def _digests(vocabulary, pattern: str):
@@ -291,14 +297,14 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     return texts.mapInArrow(_digests(_broadcast(docs.sparkSession, path), pattern), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def with_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text", tokens_col: str = "tokens") -> DataFrame:
+def with_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text", tokens_col: str = "tokens", remembered: int = REMEMBERED) -> DataFrame:
     """docs with a column of token ids (array<int>)."""
     vocabulary = _broadcast(docs.sparkSession, path)
 
     def run(batches):
-        encoder = Encoder(vocabulary.value, pattern)
-        for batch in batches:
-            lists = [np.frombuffer(encoder.encode(x.as_py()), "<u4").astype(np.int32) for x in batch.column(batch.schema.names.index("__bpe_text"))]
+        encoder = Encoder(vocabulary.value, pattern, remembered)
+        for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
+            lists = [np.frombuffer(encoder.encode(x.as_py()), "<i4") for x in batch.column(batch.schema.names.index("__bpe_text"))]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             values = np.concatenate(lists) if lists else np.zeros(0, np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))

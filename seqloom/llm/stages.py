@@ -15,6 +15,9 @@ from . import mixing as mixtures
 from . import near_dedup as near
 from .common import WORD
 
+#: The last stage runs in executors that the others have filled, so its memory is a quarter of the operator's own.
+REMEMBERED = 100_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language is found."""
@@ -56,5 +59,5 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds token ids and drops the text."""
     import public_tokenizers
 
-    found = bpe_coding.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = bpe_coding.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, remembered=REMEMBERED)
     return found.drop("text")

@@ -45,9 +45,8 @@ def test_agreement_equals_merging():
         assert t._apart(a, b) == (t.merged(t.token[a] + t.token[b]) == [a, b])
 
 
-def test_states_may_be_forgotten(monkeypatch):
-    monkeypatch.setattr(bpe, "_MANY_STATES", 5)
-    t, text = bpe.Transducer(RANKS), "antidisestablishmentarianism" * 60
+def test_states_may_be_forgotten():
+    t, text = bpe.Transducer(RANKS, most=10), "antidisestablishmentarianism" * 60
     assert t.encode(text.encode()) == t.merged(text.encode())
 
 
