@@ -24,8 +24,14 @@ ONE, TWO = "F", "O"
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    """Doubles to a number of digits at which two engines agree; no negative zero."""
-    return df.select(*[(F.round(c, DIGITS) + F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
+    """Doubles to a number of digits at which two engines agree; no negative zero.
+
+    Halves are judged on the binary value, away from zero, as SQL engines do for doubles; round()
+    judges them on the shortest decimal form, which differs for quotients such as 641/640.
+    """
+    scale = F.lit(10.0**DIGITS)
+    value = lambda c: F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale + F.lit(0.0)
+    return df.select(*[value(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def _kept(df: DataFrame) -> DataFrame:
