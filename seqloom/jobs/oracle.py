@@ -151,6 +151,11 @@ zz AS (SELECT seq_id, pos, hit, (f0 - mean) / (std + 1e-12) AS v, std FROM z, m)
 zt AS (SELECT *, abs(v) / sqrt(2) AS y, 1 / (1 + 0.3275911::DOUBLE * abs(v) / sqrt(2)) AS t FROM zz),
 ze AS (SELECT *, 1 - {_P} * exp(-y * y) AS e FROM zt)
 SELECT seq_id, pos, hit AS is_boundary, {_r("CASE WHEN std < 1e-8 OR v = 0 THEN CAST(0.5 AS DOUBLE) WHEN v > 0 THEN greatest(0, 1 - (1 + e) / 2) ELSE 1 - (1 - e) / 2 END", 5)} AS p FROM ze""",
+    "score_lines": f"WITH {_CORPUS} SELECT CAST(sym AS VARCHAR) || chr(9) || printf('%.6f', count(*) / CAST((SELECT count(*) FROM c) AS DOUBLE)) AS value FROM c GROUP BY sym",
+    "association_histogram": f"""WITH {_FEATURES}, hv AS (SELECT {_r("f0")} AS x FROM f), he AS (SELECT min(x) AS lo, max(x) AS hi FROM hv),
+hn AS (SELECT CAST(least(59, floor((x - lo) / (hi - lo) * 60)) AS BIGINT) AS bin, count(*) AS n FROM hv, he GROUP BY 1)
+SELECT b.bin, {_r("lo + (hi - lo) * b.bin / 60")} AS low, {_r("lo + (hi - lo) * (b.bin + 1) / 60")} AS high, coalesce(hn.n, 0) AS n
+FROM (SELECT unnest(generate_series(0, 59)) AS bin) b LEFT JOIN hn ON hn.bin = b.bin, he""",
     "segmented_lines": f"WITH {_SEGMENTS} SELECT seq_id, string_agg(array_to_string(tokens, ', '), ' | ' ORDER BY seg_pos) AS line FROM s GROUP BY seq_id",
     "segment_inventory": f"""WITH {_SEGMENTS}, i AS (SELECT seg_key, count(*) AS freq FROM s GROUP BY seg_key)
 SELECT seg_key, printf('seg_%05d', row_number() OVER (ORDER BY freq DESC, seg_key)) AS seg_id, freq, least(10, freq) AS n_examples FROM i""",

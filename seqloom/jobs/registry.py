@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import boundary, compare, decode, detectors, lexicon, mixture, stats
-from ..sources import readers
+from ..sources import readers, writers
 from ..sources.corpora import order_lines, table
 from . import oracle
 
 DIGITS = 6
+#: Bins of the association's histogram, and fits of the jackknife that leave a row out.
+BINS, ROUNDS = 60, 5
 #: Fixed values of the comparison queries: the class of a return flag, and the two corpora.
 FLAG_CLASS = {"A": fx.TITLE, "N": fx.COMMODITY, "R": fx.NAME}
 ONE, TWO = "F", "O"
@@ -96,6 +98,16 @@ def boundary_features(spark, sf):
     return _rounded(boundary.features(order_lines(spark, sf)), *boundary.FEATURES)
 
 
+def score_lines(spark, sf):
+    return writers.score_lines(stats.distribution_score(order_lines(spark, sf)), "score")
+
+
+def association_histogram(spark, sf):
+    """Bins of the association across candidate boundaries."""
+    values = _kept(_rounded(boundary.features(order_lines(spark, sf)).select("f0"), "f0"))
+    return _rounded(stats.histogram(values, "f0", BINS), "low", "high")
+
+
 def zscore_boundary(spark, sf):
     found = boundary.zscore_detector(boundary.features(order_lines(spark, sf)).select("seq_id", "pos", "f0"))
     return found.select("seq_id", "pos", (F.col("p") >= 0.5).alias("is_boundary"), (F.round("p", 5) + F.lit(0.0)).alias("p"))
@@ -318,7 +330,30 @@ def representatives(spark, sf):
 
 
 def jackknife_stability(spark, sf):
-    return mixture.stability(*_fitted(spark, sf), rounds=5)
+    return mixture.stability(*_fitted(spark, sf), rounds=ROUNDS)
+
+
+def lexicon_categories(spark, sf):
+    rows = _segments(spark, sf)
+    matrix = _matrix_of(rows)
+    scaled = _kept(mixture.scaled_rows(matrix))
+    models = mixture.fit(matrix, scaled, mixture.left_out_rows(scaled.count(), ROUNDS))
+    adjacent = lexicon.numeric_neighbours(lexicon.contexts(rows), lexicon.segment_counts(rows))
+    found = lexicon.categories(matrix, mixture.labelled(matrix, scaled, models[0]), adjacent, mixture.agreement(scaled, models))
+    return writers.category_table(found)
+
+
+def lexicon_summary(spark, sf):
+    rows = _segments(spark, sf)
+    matrix = _matrix_of(rows)
+    scaled = _kept(mixture.scaled_rows(matrix))
+    labelled = _kept(mixture.labelled(matrix, scaled, mixture.fit(matrix, scaled)[0]))
+    rates = lexicon.seed_precision(labelled.select("seg_key", "label"), lexicon.seeds(matrix))
+    return lexicon.summary(labelled, rows, rates).select(F.to_json(F.struct("*")).alias("summary"))
+
+
+def decoded_words(spark, sf):
+    return writers.decoded_words(fuzzy_topk(spark, sf)).select("text", F.to_json("top_candidates").alias("top_candidates"))
 
 
 def bayes_gmm_detector(spark, sf):
@@ -340,12 +375,12 @@ def ensemble_boundary(spark, sf):
 
 
 _WITH_SQL = [
-    distribution_score, positional_entropy, ngram_counts_uni, ngram_counts_bi, ngram_counts_tri, start_end_counts, npmi_bigram, npmi_trigram, boundary_features, zscore_boundary, segmented_lines,
+    distribution_score, positional_entropy, ngram_counts_uni, ngram_counts_bi, ngram_counts_tri, start_end_counts, npmi_bigram, npmi_trigram, score_lines, association_histogram, boundary_features, zscore_boundary, segmented_lines,
     segment_inventory, top_examples, segment_contexts, segment_entropy, segment_avg_pmi, segment_burstiness, segment_idf_skew, numeric_assoc, log_odds, g2_test, segment_features, seed_sets, seed_precision,
     coverage, robust_scale, svo_patterns, class_entropy_similarity, label_cosine, jaccard_classes, dice_structure, svo_similarity, overall_similarity, parse_sequences, normalize_text, strip_diacritics,
     corpus_dedup, length_bucket_join, lexicon_lookup, linguistic_weight, structure_and_length,
 ]
-_WITHOUT_SQL = [fuzzy_topk, decoded_sentences, line_confidence, em_mixture, representatives, jackknife_stability, bayes_gmm_detector, dbscan_detector, ensemble_boundary]
+_WITHOUT_SQL = [fuzzy_topk, decoded_words, lexicon_categories, lexicon_summary, decoded_sentences, line_confidence, em_mixture, representatives, jackknife_stability, bayes_gmm_detector, dbscan_detector, ensemble_boundary]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -222,3 +222,30 @@ def representatives(labelled: DataFrame, most: int = 30) -> DataFrame:
     scored = labelled.withColumn("score", rank)
     place = F.row_number().over(W.partitionBy("label").orderBy(F.col("score").desc(), "seg_id"))
     return scored.withColumn("place", place).filter(F.col("place") <= most)
+
+
+def categories(matrix: DataFrame, labelled: DataFrame, adjacent: DataFrame, stable: DataFrame) -> DataFrame:
+    """Each segment's features with component, label and posteriors, both association tests and stability.
+
+    labelled, adjacent and stable: of the mixture, of ``numeric_neighbours`` and of the jackknife.
+    """
+    tests = log_odds(adjacent).withColumnRenamed("log_odds", "log_odds_num_adj").join(g2(adjacent).withColumnRenamed("g2", "g2_num_adj"), "seg_key")
+    return matrix.join(labelled.drop("seg_id", "freq"), "seg_key").join(tests, "seg_key").join(stable, "seg_key")
+
+
+def summary(labelled: DataFrame, rows: DataFrame, seed_rates: DataFrame, most: int = 30) -> DataFrame:
+    """One row: n_segments, n_sequences, class_counts, avg_posteriors, seed_evaluation, representatives
+    and coverage of a lexicon. Lists hold three labels and ``most`` segments of each."""
+    classes = (COMMODITY, TITLE, NAME)
+    by_class = lambda f: F.create_map(*[x for c in classes for x in (F.lit(c), f(c))])
+    one = labelled.agg(
+        F.count(F.lit(1)).alias("n_segments"), by_class(lambda c: F.count_if(F.col("label") == c)).alias("class_counts"), by_class(lambda c: F.avg(f"post_{c}")).alias("avg_posteriors")
+    )
+    as_map = lambda key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
+    rates = seed_rates.agg(as_map("label", F.struct("precision_proxy", "recall_proxy", "tp", "pred_count", "seed_count").alias("rates")).alias("seed_evaluation"))
+    fields = ["seg_key", "seg_id", "freq", *[f"post_{c}" for c in classes]]
+    best = representatives(labelled, most).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("place", *fields))).alias("best"))
+    best = best.agg(as_map("label", F.col("best")).alias("representatives"))
+    covered = coverage(rows, labelled.select("seg_key", "label"))
+    found = with_scalars(one, sequence_count(rows).withColumnRenamed("n", "n_sequences"))
+    return with_scalars(with_scalars(with_scalars(found, rates), best), covered.select(F.struct("*").alias("coverage")))

@@ -206,11 +206,14 @@ def left_out_rows(n: int, rounds: int, few: int = 200) -> list[int]:
     return list(range(rounds)) if n <= few else list(range(0, n, max(1, n // rounds)))[:rounds]
 
 
-def stability(matrix: DataFrame, scaled: DataFrame, rounds: int = 40) -> DataFrame:
-    """seg_key, stability: the share of fits, the full one included, that agree on a segment's most
-    frequent component. A segment that a fit leaves out counts as disagreeing there."""
-    out = left_out_rows(scaled.count(), rounds)
-    models = fit(matrix, scaled, out)
+def agreement(scaled: DataFrame, models: list[Mixture]) -> DataFrame:
+    """seg_key, stability: the share of fits that agree on a segment's most frequent component. A
+    segment that a fit leaves out counts as disagreeing there."""
     votes = assignments(scaled, models).groupBy("row", "component").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("row").agg((F.max("n") / (len(out) + 1)).alias("stability"))
+    best = votes.groupBy("row").agg((F.max("n") / len(models)).alias("stability"))
     return scaled.select("row", "seg_key").join(best, "row").select("seg_key", "stability")
+
+
+def stability(matrix: DataFrame, scaled: DataFrame, rounds: int = 40) -> DataFrame:
+    """The agreement of the fit to all rows with those that leave one out."""
+    return agreement(scaled, fit(matrix, scaled, left_out_rows(scaled.count(), rounds)))

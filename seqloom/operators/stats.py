@@ -75,3 +75,19 @@ def shannon(counts: Column, total: Column) -> Column:
     """A summand of entropy in nats, guarded as its users expect."""
     p = counts / total
     return -p * safe_log(p + 1e-300)
+
+
+def histogram(values: DataFrame, column: str, bins: int) -> DataFrame:
+    """bin (from 0), low, high, n: equal bins from the least to the largest value, empty ones too.
+
+    The largest value belongs to the last bin; where all are equal the bins span one around them;
+    without values all bins are empty and have no ends.
+    """
+    ends = values.agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    apart = F.when(F.col("low") == F.col("high"), F.lit(0.5)).otherwise(F.lit(0.0))
+    ends = ends.select((F.col("low") - apart).alias("low"), (F.col("high") + apart).alias("high"))
+    place = F.least(F.lit(bins - 1), F.floor((F.col(column) - F.col("low")) / (F.col("high") - F.col("low")) * bins))
+    counts = with_scalars(values.select(column).filter(F.col(column).isNotNull()), ends).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = with_scalars(values.sparkSession.range(bins).select(F.col("id").alias("bin")), ends).join(counts, "bin", "left")
+    edge = lambda k: F.col("low") + (F.col("high") - F.col("low")) * k / bins
+    return every.select("bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import text as fx
 from seqloom.operators import boundary, compare, decode, detectors, lexicon, mixture, stats
-from seqloom.sources import readers
+from seqloom.sources import readers, writers
 from seqloom.sources.corpora import array_corpus
 
 
@@ -229,3 +229,42 @@ def test_learned_detectors_give_probabilities(spark):
     for p, rel in (detectors.gmm_detector(f, components=3), detectors.density_detector(f)):
         low, high, n = p.agg(F.min("p"), F.max("p"), F.count(F.lit(1))).first()
         assert 0 <= low <= high <= 1 and n == f.count() and 0 <= rel.first().reliability <= 1
+
+
+def test_histogram_counts_every_value(spark):
+    values = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0, 1.0, None]
+    found = stats.histogram(spark.createDataFrame([(v,) for v in values], "x double"), "x", 4).orderBy("bin").collect()
+    n, edges = np.histogram([v for v in values if v is not None], 4)
+    assert [r.n for r in found] == n.tolist() and [r.low for r in found] + [found[-1].high] == pytest.approx(edges.tolist())
+    assert [r.n for r in stats.histogram(spark.createDataFrame([(2.0,), (2.0,)], "x double"), "x", 2).orderBy("bin").collect()] == [0, 2]
+    assert [r.n for r in stats.histogram(spark.createDataFrame([], "x double"), "x", 2).collect()] == [0, 0]
+
+
+def test_written_lines(spark, tmp_path):
+    scores = spark.createDataFrame([(1, 0.5), (10, 0.25), (2, 0.25)], "sym long, score double")
+    writers.write_lines(writers.score_lines(scores, "score"), str(tmp_path / "scores"))
+    assert [r.value for r in writers.score_lines(scores, "score").collect()] == ["1\t0.500000", "10\t0.250000", "2\t0.250000"]
+    assert readers.read_scalar_map(spark, str(tmp_path / "scores")).count() == 3
+    lines = spark.createDataFrame([(0, "1 | 2"), (2, "3")], "seq_id long, line string")
+    assert [r.value for r in writers.corpus_lines(lines, spark.range(3).withColumnRenamed("id", "seq_id")).collect()] == ["1 | 2", "", "3"]
+
+
+def test_categories_and_summary(spark):
+    rows = segment_rows(spark, [[[i % 5, 1], [201 + i % 3]] for i in range(30)]).cache()
+    matrix = lexicon.feature_matrix(rows).cache()
+    scaled = mixture.scaled_rows(matrix).cache()
+    models = mixture.fit(matrix, scaled, [0, 1])
+    labelled = mixture.labelled(matrix, scaled, models[0]).cache()
+    adjacent = lexicon.numeric_neighbours(lexicon.contexts(rows), lexicon.segment_counts(rows))
+    table = writers.category_table(lexicon.categories(matrix, labelled, adjacent, mixture.agreement(scaled, models)))
+    found = table.collect()
+    assert len(found) == matrix.count() and [(r.label, -r.freq) for r in found] == sorted((r.label, -r.freq) for r in found)
+    one = lexicon.summary(labelled, rows, lexicon.seed_precision(labelled.select("seg_key", "label"), lexicon.seeds(matrix)), most=2).collect()
+    assert len(one) == 1 and one[0].n_sequences == 30 and sum(one[0].class_counts.values()) == one[0].n_segments == len(found)
+    assert sum(one[0].avg_posteriors.values()) == pytest.approx(1) and one[0].coverage.pct == 100.0 and all(len(v) <= 2 for v in one[0].representatives.values())
+
+
+def test_decoded_words_are_best_first(spark):
+    best = spark.createDataFrame([("a", 2, "y", 0.1), ("a", 1, "x", 0.2), ("b", 1, "z", 0.3)], "text string, place int, word string, score double")
+    found = {r.text: [c.word for c in r.top_candidates] for r in writers.decoded_words(best).collect()}
+    assert found == {"a": ["x", "y"], "b": ["z"]}
