@@ -41,9 +41,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Texts may be megabytes long, so the writer looks at the size of a page after each few rows, not after 100:
+#: codecs hold whole pages outside the heap.
+_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "100", "parquet.block.size.row.check.min": "10"}
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The frame written as Parquet to the shared folder and read again with the same schema."""
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    df.write.parquet(path)
+    df.write.options(**_PAGES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
