@@ -19,7 +19,7 @@ from . import oracle
 
 DIGITS = 6
 #: Bins of the association's histogram, and fits of the jackknife that leave a row out.
-BINS, ROUNDS = 60, 5
+BINS, ROUNDS = 60, 40
 #: Fixed values of the comparison queries: the class of a return flag, and the two corpora.
 FLAG_CLASS = {"A": fx.TITLE, "N": fx.COMMODITY, "R": fx.NAME}
 ONE, TWO = "F", "O"

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import text as fx
+from seqloom.jobs import registry
 from seqloom.operators import boundary, compare, decode, detectors, lexicon, mixture, stats
 from seqloom.sources import readers, writers
 from seqloom.sources.corpora import array_corpus
@@ -217,6 +218,22 @@ def test_jackknife_denominator(spark):
     assert mixture.left_out_rows(1000, 40) == list(range(0, 1000, 25)) and mixture.left_out_rows(100, 40) == list(range(40))
 
 
+@pytest.mark.parametrize("name", ["jackknife_stability", "lexicon_categories"])
+def test_registered_jackknife_leaves_out_40_rows(spark, monkeypatch, name):
+    asked = []
+
+    def fit(matrix, scaled, left_out=()):
+        asked.extend(left_out)
+        raise InterruptedError
+
+    monkeypatch.setattr(registry, "_segments", lambda *a: None)
+    monkeypatch.setattr(registry, "_matrix_of", lambda rows: _matrix(spark, 60))
+    monkeypatch.setattr(mixture, "fit", fit)
+    with pytest.raises(InterruptedError):
+        getattr(registry, name)(spark, "")
+    assert asked == list(range(40))
+
+
 def test_density_clusters():
     x = np.array([[0.0], [0.1], [0.2], [0.3], [5.0], [5.1], [5.2], [5.3], [9.0]])
     assert detectors.density_clusters(x, 0.35, 4).tolist() == [0, 0, 0, 0, 1, 1, 1, 1, -1]
