@@ -5,9 +5,9 @@ A document's set is that of its distinct 5-word shingles; two documents are link
 compared by their smallest id:
 
 1. Each class gets 160 SetSketch registers. Bands of 5 registers are hashed to bucket keys; a pair
-   at similarity 0.85 shares none of the 32 bands with a chance of 7e-9.
+   at similarity 0.85 shares none of the 32 bands with a chance of 7e-9, one at 0.8 with 3e-6.
 2. In each bucket every member meets the bucket's hub, its smallest id. A joint likelihood of the
-   registers rules pairs out only where 0.85 is implausible; the others are confirmed or refused on
+   registers rules pairs out only where the threshold is implausible; the others are confirmed or refused on
    the full sets. A group of copies is thereby linked with as many pairs as it has members.
 3. Buckets that still hold several components go on: members that are not in the bucket's largest
    component meet all members of other components. Buckets of up to ``SMALL_BUCKET`` members do so
@@ -225,9 +225,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return sketches.join(of_class, "digest", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 
-def dropped_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs without those that are linked, over any chain, with one of smaller id; all columns as they came."""
-    gone = stored(near_duplicates(docs, id_col, text_col).filter("id <> component").select(F.col("id").alias("_gone")).distinct(), "near-gone")
+    gone = stored(near_duplicates(docs, id_col, text_col, percent).filter("id <> component").select(F.col("id").alias("_gone")).distinct(), "near-gone")
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")
 

@@ -17,6 +17,8 @@ from .common import WORD
 
 #: The last stage runs in executors that the others have filled, so its memory is a quarter of the operator's own.
 REMEMBERED = 100_000
+#: The near-duplicate stage's threshold; op7 has its own.
+NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group of near duplicates."""
-    return near.dropped_near_duplicates(docs)
+    return near.dropped_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
