@@ -80,13 +80,14 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str, o
     return held.select(*[F.col(f"p.{c}") for c in parties.columns], (F.col("p._sure") + F.coalesce("w._won", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS, cap: int = CAP, weights: int = WEIGHTS) -> DataFrame:
-    """One row per row of docs: id, source, size, source_size, target, taken, rounds, head, first, run.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS, cap: int = CAP, weights: int = WEIGHTS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id, source, size, source_size, target, taken, rounds, head, first, run, and ``keys``.
 
     ``taken`` words of the document are in the mix: ``rounds`` times the whole document, its first
     ``head`` words once more, and ``run`` words from word ``first`` (counted from 0) on once more.
+    ``keys`` are columns of docs that tell rows of equal id apart; they come last in the order.
     """
-    sizes = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
+    sizes = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *keys))
     sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")), cap, weights)
     sources = sources.withColumn("blocks", F.round(F.sum("source_size").over(W.partitionBy()) / block_tokens).cast("long")).withColumn("everything", F.lit(0))
     sources = sainte_lague(sources, ["everything"], "target", "blocks", ["place"]).withColumnRenamed("quota", "source_quota")
@@ -94,7 +95,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     digest = _seeded(seed, F.col("d.id"))
     dealt = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    dealt = dealt.select("d.id", "d.source", "d.size", "s.place", "s.source_size", "s.target", "s.source_quota", digest.alias("digest"), (_number(digest) % F.col("s.shards")).alias("shard"))
+    dealt = dealt.select("d.id", "d.source", "d.size", "s.place", "s.source_size", "s.target", "s.source_quota", digest.alias("digest"), (_number(digest) % F.col("s.shards")).alias("shard"), *[F.col(f"d.{k}") for k in keys])
     shards = dealt.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"), F.first("source").alias("source"), F.first("source_quota").alias("source_quota"))
     shards = sainte_lague(shards, ["place"], "shard_size", "source_quota", ["shard"])
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block_tokens)).cast("long")
@@ -104,7 +105,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         (_number(_seeded(seed, F.col("source"), F.col("shard"))) % n_blocks * block_tokens).alias("start"),
     )
 
-    order = W.partitionBy("place", "shard").orderBy("digest", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("place", "shard").orderBy("digest", "id", "size", *keys).rowsBetween(W.unboundedPreceding, W.currentRow)
     laid = dealt.withColumn("end", F.sum("size").over(order)).withColumn("begin", F.col("end") - F.col("size"))
     laid = laid.join(shards, ["place", "shard"])
     zero, stop = F.lit(0), F.col("start") + F.col("arc")
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     around = F.greatest(zero, F.least(F.col("end"), stop - F.col("shard_size")) - F.col("begin"))
     return laid.select(
         "id", "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + ahead + around).alias("taken"), "rounds",
-        around.cast("long").alias("head"), F.greatest(F.col("start") - F.col("begin"), zero).cast("long").alias("first"), ahead.cast("long").alias("run"),
+        around.cast("long").alias("head"), F.greatest(F.col("start") - F.col("begin"), zero).cast("long").alias("first"), ahead.cast("long").alias("run"), *keys,
     )
 
 

@@ -40,18 +40,19 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as the mix takes it; what it takes in part comes as its words.
 
     A piece of a document keeps the document's id, language and source. Its text is its words with
-    single spaces between, as many as were taken; n_chars is that of the piece.
+    single spaces between, as many as were taken; n_chars is that of the piece. Shares belong to rows,
+    by file and row in it, so rows of equal or null id each come by their own. docs must come from files.
     """
-    parts = mixtures.mix(docs).filter("taken > 0 AND id IS NOT NULL").select("id", "size", "rounds", "head", "first", "run")
-    # copies by the place of repeated ids are alike, so one share per id and size is enough
-    parts = parts.groupBy("id", "size").agg(*[F.max(c).alias(c) for c in ("rounds", "head", "first", "run")])
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    rows = docs.select("*", *place)
+    parts = mixtures.mix(rows, keys=("_file", "_row")).filter("taken > 0")
     whole = F.transform(F.sequence(F.lit(1), F.greatest("rounds", F.lit(1))), lambda _: F.struct(F.lit(0).cast("long").alias("at"), F.col("size").alias("n")))
     pieces = F.concat(
         F.when(F.col("rounds") > 0, whole).otherwise(F.slice(whole, 1, 0)),
         F.filter(F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("head").alias("n")), F.struct(F.col("first").alias("at"), F.col("run").alias("n"))), lambda p: p["n"] > 0),
     )
-    parts = parts.select(F.col("id").alias("_id"), F.col("size").alias("_size"), F.explode(pieces).alias("_piece"))
-    joined = docs.withColumn("_words", mixtures.n_words(F.col("text"))).join(parts, (F.col("doc_id") == F.col("_id")) & (F.col("_words") == F.col("_size")))
+    parts = parts.select("_file", "_row", F.col("size").alias("_size"), F.explode(pieces).alias("_piece"))
+    joined = rows.join(parts, ["_file", "_row"])
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("_piece.at") + 1).cast("int"), F.col("_piece.n").cast("int")), " ")
     text = F.when(F.col("_piece.n") == F.col("_size"), F.col("text")).otherwise(cut)
     return joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_piece.n") == F.col("_size"), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)

@@ -1,21 +1,90 @@
 """The stages of the pipeline, and all five of them against a plain version."""
 
+import hashlib
 import random
+import re
 
+import pytest
 from test_set_operators import documents
 
 from seqloom.llm import stages
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
 def words(rnd, n):
     return [f"w{rnd.randrange(10**6)}" for _ in range(n)]
 
+
 def near_pair(rnd):
     """Two texts at similarity 51 / 61."""
     one = words(rnd, 60)
     return " ".join(one), " ".join([*one[:30], "other", *one[31:]])
 
+
 def test_near_stage_links_from_80_percent(spark, tmp_path):
     one, two = near_pair(random.Random(1))
     docs = documents(spark, tmp_path, [(1, one, "s"), (2, two, "s"), (None, two + " x", "s"), (3, "a b c", "s")])
     assert sorted(str(r.doc_id) for r in stages.near_dedup(spark, docs, "").collect()) == ["1", "3", "None"]
 
+
+def mixed(rows):
+    """Rows (doc_id, text, source) -> what the mix emits, by a circle of words for each source of one shard."""
+    size = lambda t: len(WORD.findall(t or ""))
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    held = {s: sum(size(t) for _, t, z in rows if z == s) for s in names}
+    weight = {s: float(i % 3 + 1) for i, s in enumerate(names)}
+    target, free = {}, list(names)
+    while free:
+        level = (sum(held.values()) - sum(target.values())) / sum(weight[s] for s in free)
+        full = [s for s in free if 3 * held[s] <= level * weight[s]]
+        target |= {s: 3.0 * held[s] if full else level * weight[s] for s in full or free}
+        free = [s for s in free if s not in target]
+    seats = dict.fromkeys(names, 0)
+    for _ in range(int(sum(held.values()) / 32 + 0.5)):
+        seats[max(names, key=lambda s: (target[s] / (2 * seats[s] + 1), -names.index(s)))] += 1
+    out = []
+    for s in names:
+        digest = lambda i: hashlib.md5(f"17:{'' if i is None else i}".encode()).hexdigest()
+        own = sorted((r for r in rows if r[2] == s), key=lambda r: (digest(r[0]), size(r[1])))
+        tokens = min(32 * seats[s], 3 * held[s])
+        start = int(hashlib.md5(f"17:{s or ''}:0".encode()).hexdigest()[:8], 16) % max(1, -(-held[s] // 32)) * 32
+        rounds, arc = divmod(tokens, held[s]) if held[s] else (0, 0)
+        begin = 0
+        for i, t, _ in own:
+            n, found = size(t), WORD.findall(t or "")
+            out += [(i, s, t)] * (rounds if n else 0)
+            for low, high in ((0, start + arc - held[s]), (start, start + arc)):
+                a, b = max(low, begin) - begin, min(high, begin + n) - begin
+                if a < b:
+                    out.append((i, s, t if b - a == n else " ".join(found[a:b])))
+            begin += n
+    return sorted(out, key=str)
+
+
+def unlike_rows(seed):
+    """Null ids, and ids that come again with as many words but another text, in another source."""
+    rnd = random.Random(seed)
+    rows = [(i, "  ".join(words(rnd, rnd.randint(20, 90))), rnd.choice(["a", "a", "a", "b", None])) for i in range(60)]
+    rows += [(i, " ".join(words(rnd, len(t.split()))), "c") for i, t, _ in rows[:20]]
+    return rows + [(None, " ".join(words(rnd, 40 + i)), "ab"[i % 2]) for i in range(15)] + [(99, None, "a")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mixing_stage_equals_a_circle_of_words(spark, tmp_path, seed):
+    rows = unlike_rows(seed)
+    found = stages.mixing(spark, documents(spark, tmp_path, rows), "").collect()
+    assert sorted(((r.doc_id, r.source, r.text) for r in found), key=str) == mixed(rows)
+    assert all(r.n_chars == len(r.text) and r.text for r in found)
+
+
+def test_mixing_stage_of_one_id_in_one_source(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(7, " ".join(words(rnd, 50)), "a") for _ in range(9)] + [(8, " ".join(words(rnd, 300)), "b"), (9, " ".join(words(rnd, 64)), "c")]
+    found = stages.mixing(spark, documents(spark, tmp_path, rows), "").collect()
+    emitted = lambda s, texts: sum(len(WORD.findall(t)) for z, t in texts if z == s)
+    by_source = [(r.source, r.text) for r in found], [(s, t) for _, s, t in mixed(rows)]
+    assert [emitted(s, by_source[0]) for s in "abc"] == [emitted(s, by_source[1]) for s in "abc"]
+    assert all(r.text for r in found)
+
+
