@@ -5,8 +5,9 @@ import random
 import re
 
 import pytest
-from test_set_operators import documents
+from test_set_operators import brute_components, documents
 
+import corpus_pipeline
 from seqloom.llm import stages
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -88,3 +89,27 @@ def test_mixing_stage_of_one_id_in_one_source(spark, tmp_path):
     assert all(r.text for r in found)
 
 
+def test_pipeline_equals_its_stages_in_plain_python(spark, tmp_path):
+    tokenizers, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+    from tiktoken.load import load_tiktoken_bpe
+
+    known = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    rnd = random.Random(3)
+    one, two = near_pair(rnd)
+    rows = unlike_rows(3) + [(200, one, "a"), (201, two, "b"), (202, "12 34 !", "a"), (None, " \t", "b")]
+    rows += [(300 + i, t, "b") for i, (_, t, _) in enumerate(rows[:10])] + [(None, rows[12][1], "a"), (12, rows[80][1], "c")]
+    documents(spark, tmp_path, rows)
+
+    kept = [r for r in rows if re.search("[a-z]", r[1] or "")]
+    best = {}
+    for i, t, s in kept:
+        if t not in best or (-1 if i is None else i) > (-1 if best[t][0] is None else best[t][0]):
+            best[t] = (i, t, s)
+    # rows of one id are one document to near-dedup, linked by any of its texts; here no repeated id has links
+    linked = brute_components([(i, t) for i, t, _ in best.values() if i is not None and i >= 200], 80)
+    wanted = mixed([r for r in best.values() if r[0] is None or r[0] < 200 or linked[r[0]][1] == r[0]])
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "lang", "source", "n_chars", "tokens"]
+    found = [(r.doc_id, r.source, known.decode(r.tokens), r.n_chars) for r in found.collect()]
+    assert sorted(((i, s, t) for i, s, t, _ in found), key=str) == wanted and len(wanted) > 60
+    assert all(n == len(t) for _, _, t, n in found) and any(i is None for i, _, _, _ in found) and 201 not in {i for i, *_ in found}
