@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import text as fx
 from seqloom.jobs import registry
-from seqloom.operators import boundary, compare, decode, detectors, lexicon, mixture, stats
+from seqloom.operators import boundary, compare, decode, density, detectors, lexicon, mixture, stats
 from seqloom.sources import readers, writers
 from seqloom.sources.corpora import array_corpus
 
@@ -239,6 +239,37 @@ def test_density_clusters():
     assert detectors.density_clusters(x, 0.35, 4).tolist() == [0, 0, 0, 0, 1, 1, 1, 1, -1]
 
 
+@pytest.mark.parametrize(("eps", "local"), [(0.5, 40), (0.25, 2_000), (0.02, 40), (1.1, 100)])
+def test_clusters_of_all_rows_equal_the_definition(spark, eps, local):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.2, (k, 3)) for c, k in ((0, 150), (1.2, 90), (3, 8), (-4, 5))] + [rng.uniform(-5, 5, (60, 3)), np.repeat([[8.0, 8, 8]], 5, 0), [[9.0, 9, 9]]])
+    x = np.round(x, 1)[rng.permutation(len(x))]
+    rows = spark.createDataFrame([(int(i // 4), int(i % 4), 0.0, v.tolist()) for i, v in enumerate(x)], "seq_id long, pos int, f0 double, x array<double>")
+    points = density.points(rows).cache()
+    of = dict(density.clusters(points, x[:50], eps, 4, local=local).collect())
+    found = {r.id: (tuple(r.x), r.n, of[r.id]) for r in points.collect()}
+    first = {v: i for i, v in reversed(list(enumerate(map(tuple, x.tolist()))))}
+    assert [found[i][0] for i in sorted(found)] == sorted(first, key=first.get) and sum(n for _, n, _ in found.values()) == len(x)
+    number = {c: k for k, c in enumerate(sorted({c for _, _, c in found.values() if c is not None}))}
+    own = {v: -1 if c is None else number[c] for v, _, c in found.values()}
+    assert [own[v] for v in map(tuple, x.tolist())] == detectors.density_clusters(x, eps, 4).tolist()
+
+
+def test_density_detector_scores_rare_clusters_by_their_own_center(spark):
+    rng = np.random.default_rng(6)
+    f = np.concatenate([rng.normal(0, 0.1, (3_000, 13)), rng.normal(2, 0.1, (3_000, 13)), rng.normal(7, 0.01, (5, 13))])
+    frame = pd.DataFrame(f, columns=boundary.FEATURES)
+    frame.insert(0, "pos", 1)
+    frame.insert(0, "seq_id", range(len(f)))
+    p, rel = detectors.density_detector(spark.createDataFrame(frame).withColumn("pos", F.col("pos").cast("int")))
+    found = np.array([r.p for r in p.orderBy("seq_id").collect()])
+    x = (f - f.mean(0)) / f.std(0)
+    label = np.repeat([0, 1, 2], [3_000, 3_000, 5])
+    m = np.array([f[label == k, 0].mean() for k in range(3)])
+    conf = 1 / (1 + np.sqrt(((x - np.array([x[label == k].mean(0) for k in range(3)])[label]) ** 2).sum(1)))
+    assert np.allclose(found, ((m.max() - m) / (m.max() - m.min()))[label] * conf) and rel.first().reliability == pytest.approx(conf.mean())
+
+
 def test_learned_detectors_give_probabilities(spark):
     rng = np.random.default_rng(1)
     c = corpus(spark, [rng.integers(0, 6, 7).tolist() for _ in range(60)])
