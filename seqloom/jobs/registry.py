@@ -298,6 +298,20 @@ def structure_and_length(spark, sf):
     return _rounded(one.select("text", "bucket", "word", e, fx.structure_similarity(F.col("text"), F.col("word")).alias("structure_similarity")), "length_similarity", "structure_similarity")
 
 
+def structure_and_length_pairs(spark, sf):
+    """Length and structure similarity of each segment with all phrases of each length bucket: number, sum and most.
+
+    Both depend on a phrase by its length alone, so phrases are counted by length before they meet the segments.
+    """
+    phrases = _phrases(spark, sf).select("text", "cand_id")
+    alike = phrases.groupBy(F.length("text").alias("n")).agg(F.min_by("text", "cand_id").alias("text"), F.min("cand_id").alias("cand_id"), F.count(F.lit(1)).alias("phrases"))
+    pairs = decode.candidate_pairs(_queries(spark, sf), alike).filter("cand_id IS NOT NULL").join(F.broadcast(alike.select("cand_id", "phrases")), "cand_id")
+    e, s = fx.entropy_similarity(F.length("text"), F.length("word")), fx.structure_similarity(F.col("text"), F.col("word"))
+    scored = pairs.select("text", "bucket", "phrases", e.alias("length"), s.alias("structure"))
+    found = scored.groupBy("text", "bucket").agg(F.sum("phrases").alias("n_pairs"), *[f for c in ("length", "structure") for f in (F.sum(F.col(c) * F.col("phrases")).alias(f"{c}_sum"), F.max(c).alias(f"{c}_most"))])
+    return _rounded(found, "length_sum", "length_most", "structure_sum", "structure_most")
+
+
 def fuzzy_topk(spark, sf):
     return decode.fuzzy_top(decode.class_lookup(_queries(spark, sf)), _phrases(spark, sf)).select("text", "place", "word", "score")
 
@@ -380,7 +394,7 @@ _WITH_SQL = [
     coverage, robust_scale, svo_patterns, class_entropy_similarity, label_cosine, jaccard_classes, dice_structure, svo_similarity, overall_similarity, parse_sequences, normalize_text, strip_diacritics,
     corpus_dedup, length_bucket_join, lexicon_lookup, linguistic_weight, structure_and_length,
 ]
-_WITHOUT_SQL = [fuzzy_topk, decoded_words, lexicon_categories, lexicon_summary, decoded_sentences, line_confidence, em_mixture, representatives, jackknife_stability, bayes_gmm_detector, dbscan_detector, ensemble_boundary]
+_WITHOUT_SQL = [structure_and_length_pairs, fuzzy_topk, decoded_words, lexicon_categories, lexicon_summary, decoded_sentences, line_confidence, em_mixture, representatives, jackknife_stability, bayes_gmm_detector, dbscan_detector, ensemble_boundary]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

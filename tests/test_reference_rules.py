@@ -160,6 +160,24 @@ def test_band_join_falls_back_to_all(spark):
     assert sorted((r.text[:1], r.word[:3]) for r in decode.candidate_pairs(q, c).collect()) == [("a", "abd"), ("x", "aaa"), ("x", "abd")]
 
 
+def test_structure_and_length_of_all_pairs(spark, monkeypatch):
+    words = [(i, "ab" * (1 + i % 9) + "c" * (i % 2) + str(i)) for i in range(40)]
+    queries = spark.createDataFrame([("12 34",), ("5",), ("7 8 9 10 11",)], "text string")
+    phrases = spark.createDataFrame(words, "cand_id long, text string")
+    monkeypatch.setattr(registry, "_queries", lambda *a: queries)
+    monkeypatch.setattr(registry, "_phrases", lambda *a: phrases)
+    found = {(r.text, r.bucket): list(r[2:]) for r in registry.structure_and_length_pairs(spark, "").collect()}
+    e, s = fx.entropy_similarity(F.length("text"), F.length("word")), fx.structure_similarity(F.col("text"), F.col("word"))
+    each = decode.candidate_pairs(queries, phrases).select("text", "bucket", e.alias("e"), s.alias("s")).collect()
+    wanted = {}
+    for r in each:
+        wanted.setdefault((r.text, r.bucket), []).append((r.e, r.s))
+    assert len(each) > len(wanted) and {k: v[0] for k, v in found.items()} == {k: len(v) for k, v in wanted.items()}
+    for k, v in wanted.items():
+        one, two = zip(*v, strict=True)
+        assert found[k][1:] == pytest.approx([sum(one), max(one), sum(two), max(two)], abs=1e-5)
+
+
 def test_fuzzy_top_ties_keep_order(spark):
     q = spark.createDataFrame([("abc", "unknown", 0.0)], "text string, label string, probability double")
     c = spark.createDataFrame([(5, "xyz"), (2, "uvw"), (9, "abc")], "cand_id long, text string")
