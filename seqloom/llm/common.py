@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import settled, shared_dir, stored
+
+__all__ = ["WORD", "checkpointed", "free_names", "settled", "shared_dir", "stored", "table"]
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,40 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder.
-
-    The folder is the one in ``spark.checkpoint.dir``. Where that is unset (local tests) a
-    temporary one is set, which is right only because driver and executors are one process then.
-    """
-    return f"{checkpoint_root(spark)}/seqloom/{purpose}-{uuid.uuid4().hex}"
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut, kept in the shared checkpoint folder."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-#: Texts may be megabytes long, so the writer looks at the size of a page after each few rows, not after 100:
-#: codecs hold whole pages outside the heap.
-_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "100", "parquet.block.size.row.check.min": "10"}
-
-
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The frame written as Parquet to the shared folder and read again with the same schema."""
-    spark = df.sparkSession
-    path = shared_dir(spark, purpose)
-    df.write.options(**_PAGES).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The frame with its lineage cut, as a table in the shared folder."""
+    return stored(df, "step")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -184,7 +184,47 @@ def test_top_k_equals_brute_force(spark):
 def test_top_k_of_repeated_rows(spark):
     vectors = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (1, [1.0]), (1, [2.0]), (2, [1.0])], "vec_id long, embedding array<double>")
     found = [(r["rank"], r.vec_id, r.score) for r in topk.top_k(vectors, F.col("vec_id") == 0).orderBy("rank").collect()]
-    assert found == [(1, 1, 131072), (2, 2, 65536)]
+    assert found == [(1, 1, 131072), (2, 1, 65536), (3, 1, 65536), (4, 2, 65536)]
+
+
+def test_top_k_query_of_repeated_rows_equals_its_sql(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in rng.integers(-2, 3, 12) / 256]) for i in [*range(120), 50, 50, 100, *[7] * 9, *range(60, 90)]]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = sorted(tuple(r) for r in topk.op2(spark, str(tmp_path)).collect())
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        assert found == sorted(c.sql(topk.OP2_SQL).fetchall())
+
+
+@pytest.mark.parametrize("size", [3e6, 1e15, 1e38, 1e200])
+def test_top_k_of_wide_vectors(spark, size):
+    """Components whose products don't fit into doubles: ties, scores at the ends of a long, many dimensions."""
+    rng = np.random.default_rng(11)
+    rows = [(i, (rng.integers(-1000, 1000, 70) * (size / 1000)).tolist()) for i in range(150)]
+    rows += [(150 + i, rows[3 + i % 5][1]) for i in range(40)] + [(200 + i, (rng.integers(-3, 4, 70) / 256).tolist()) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in topk.top_k(vectors, F.col("vec_id") % 50 == 0, block=64).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    for q in (i for i in whole if i % 50 == 0):
+        score = lambda c: min(max(sum(a * b for a, b in zip(whole[q], whole[c])), -(2**63)), 2**63 - 1)  # noqa: B023, E731
+        best = sorted((-score(c), c) for c in whole if c != q)[:5]
+        assert sorted(found[q]) == [(k + 1, c, -s) for k, (s, c) in enumerate(best)]
+
+
+def test_top_k_bounds_prune_wide_vectors():
+    rng = np.random.default_rng(2)
+    q, cols = np.floor(rng.normal(0, 1e9, 256) * np.linspace(3, 0.01, 256)), np.floor(rng.normal(0, 1e9, (256, 500)))
+    cols[:, 17] = q
+    (c, up), order = topk._scaled(cols), np.arange(256)
+    mass = np.array([(c[s * 8 : s * 8 + 8] ** 2).sum(0) for s in range(32)])
+    left = np.concatenate([np.cumsum(mass[::-1], 0)[::-1], np.zeros((1, 500))])
+    qs, _ = topk._scaled(q)
+    rows, _ = topk.search_block(qs, -1, c, np.arange(500), order, left, qs[:8] @ c[:8], 1, -np.inf, 1e-12)
+    assert rows.tolist() == [17]
 
 
 # urls
