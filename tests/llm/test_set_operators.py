@@ -267,6 +267,34 @@ def test_revisits(spark):
     assert {r.status for r in warc_revisit.resolve(responses.limit(0), revisits).collect()} == {"orphan"}
 
 
+def test_revisits_of_a_hot_url_equal_brute_force(spark):
+    """One url with most records, ties, repeated responses, responses and revisits of one instant."""
+    rng = random.Random(4)
+    url = lambda: "http://hot.org/a" if rng.random() < 0.8 else f"http://u{rng.randrange(9)}.org"
+    told = [(i, url(), rng.randrange(400), rng.choice(["e1", "e2", None]), rng.choice(["d1", "d2", None]), {"date": str(i)}, f"p{i}") for i in range(300)]
+    told += rng.sample(told, 20)
+    asked = [(1000 + i, url(), rng.randrange(420), rng.choice(["e1", "W/e2", None]), rng.choice(["d1", "d2", None]), {}) for i in range(500)]
+    schema = "id long, url string, t long, etag string, modified string, headers map<string,string>"
+    found = warc_revisit.resolve(spark.createDataFrame(told, schema + ", payload string"), spark.createDataFrame(asked, schema), bucket_rows=40)
+    found = {r.id: (r.response_id, r.status, r.payload) for r in found.collect()}
+    assert len(found) == 500
+    for i, u, t, tag, date, _ in asked:
+        best = max(((x[2], x[0], x) for x in told if x[1] == u and x[2] < t), default=None)
+        if best is None:
+            assert found[i] == (None, "orphan", None)
+            continue
+        x = best[2]
+        agrees = x[3] == tag.removeprefix("W/") if tag and x[3] else x[4] == date if date and x[4] else None
+        assert found[i] == (x[0], "unvalidated" if agrees is None else "resolved" if agrees else "mismatch", x[6] if agrees else None)
+
+
+def test_revisit_query_takes_other_pages_payloads(spark):
+    """The query's as-of join does the work: nearly all answers are another page's, and each status occurs."""
+    found = warc_revisit.op8(spark, "/root/testdata/sf0.01").collect()
+    assert {r.status for r in found} == {"resolved", "mismatch", "orphan", "unvalidated"}
+    assert sum(r.page_id == r.response_id for r in found) < 0.1 * len(found)
+
+
 def test_mixing_equals_sql_totals(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (2, "c", "y")], "doc_id long, text string, source string")
     wanted = duckdb.sql("SELECT sum(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))) FROM (VALUES ('a b'), ('c')) v(t)").fetchall()[0][0]
