@@ -211,7 +211,7 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.split(text or "")))
 
 
-#: Next state by (state, byte class) of the machine for UTF-8; 0 accepts, 1 rejects.
+#: Next state by (state, byte class) of the machine for UTF-8; what is not listed rejects.
 _CLASSES = [(0x00, 0x7F), (0x80, 0x8F), (0x90, 0x9F), (0xA0, 0xBF), (0xC2, 0xDF), (0xE0, 0xE0), (0xE1, 0xEC), (0xED, 0xED), (0xEE, 0xEF), (0xF0, 0xF0), (0xF1, 0xF3), (0xF4, 0xF4)]
 _CLASS = [next((k for k, (a, b) in enumerate(_CLASSES) if a <= x <= b), 12) for x in range(256)]
 _NEXT = {
@@ -226,36 +226,57 @@ _NEXT = {
 }
 
 
-def unfinished(data: bytes) -> int:
-    """How many last bytes of data begin a character that isn't complete."""
-    for back in range(1, min(3, len(data)) + 1):
-        if data[-back] >= 0xC0:
-            state = 0
-            for byte in data[len(data) - back :]:
-                state = _NEXT.get(state, {}).get(_CLASS[byte], 1)
-                if state == 1:
-                    return 0
-            return back if state else 0
-        if data[-back] < 0x80:
-            return 0
-    return 0
+def step(state: int, read: int, data: bytes) -> tuple[int, int]:
+    """The machine after data: its state and how many bytes of an unfinished character it has read.
+
+    A byte that doesn't go on ends the character before it, which is none, and begins the next.
+    """
+    for byte in data:
+        after = _NEXT[state].get(_CLASS[byte])
+        if after is None and state:
+            after, read = _NEXT[0].get(_CLASS[byte]), 0
+        state, read = (after, read + 1) if after else (0, 0)
+    return state, read
 
 
 class Decoder:
-    """Ids to text, in portions; what is no UTF-8 becomes U+FFFD."""
+    """Ids to text, in portions of any size; what is no UTF-8 becomes U+FFFD.
+
+    The state of the machine is carried from token to token. What a token does to a state is worked out
+    when it is first met; tokens that lead from the beginning of a character to another are passed over
+    together.
+    """
 
     def __init__(self, token: list[bytes | None]):
-        self.token, self.held = token, b""
+        self.token, self.moves = token, {}
+        self.opens = np.array([t is not None and step(0, 0, t) != (0, 0) for t in token], bool)
+        self.state, self.held = (0, 0), b""
+
+    def _move(self, state: tuple[int, int], i: int) -> tuple[int, int]:
+        key = (*state, i)
+        found = self.moves.get(key)
+        if found is None:
+            found = self.moves[key] = step(*state, self.token[i])
+        return found
 
     def feed(self, ids) -> bytes:
         """The bytes of all characters that are complete now."""
         data = self.held + b"".join(map(self.token.__getitem__, ids))
-        keep = len(data) - unfinished(data)
+        state, at = self.state, 0
+        for opened in np.flatnonzero(self.opens[np.asarray(ids, np.int64)]).tolist() if len(ids) else []:
+            while state[0] and at < opened:
+                state, at = self._move(state, ids[at]), at + 1
+            if at <= opened:
+                state, at = self._move(state, ids[opened]), opened + 1
+        while state[0] and at < len(ids):
+            state, at = self._move(state, ids[at]), at + 1
+        self.state = state
+        keep = len(data) - state[1]
         self.held = data[keep:]
         return data[:keep]
 
     def flush(self) -> bytes:
-        data, self.held = self.held, b""
+        data, self.held, self.state = self.held, b"", (0, 0)
         return data
 
     def text(self, ids) -> str:

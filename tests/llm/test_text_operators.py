@@ -52,14 +52,37 @@ def test_states_may_be_forgotten():
 
 def test_streamed_decoding_holds_back_bytes():
     d, data = bpe.Decoder(ENCODER.transducer.token), "é𝄞ü日本"
-    parts = [d.feed([i]) for i in ids(data)]
+    parts = [d.feed([RANKS[bytes((x,))]]) for x in data.encode()]
     assert b"".join(parts) + d.flush() == data.encode()
     assert all(p.decode() is not None for p in parts)
-    for i in range(len(data.encode()) + 1):
-        head = data.encode()[:i]
-        keep = len(head) - bpe.unfinished(head)
-        head[:keep].decode()
-    assert bpe.unfinished(b"a\xff") == 0 and bpe.unfinished(b"\xed\xa0") == 0
+
+
+def _is_one_character(data):
+    try:
+        return len(data.decode()) == 1
+    except UnicodeDecodeError:
+        return False
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.binary(min_size=1, max_size=6), st.sampled_from([c.encode() for c in "é𝄞ü日本\ud7ff\ue000"]), st.sampled_from([b"\xed\xa0", b"\xf0\x9f", b"\xf4\x90\x80\x80", b"\xc0\xaf"]))), st.randoms())
+def test_decoder_is_an_incremental_utf8_machine(pieces, rng):
+    """In portions of any size no character is cut, and what is no character is passed on."""
+    data, d = b"".join(pieces), bpe.Decoder([bytes((x,)) for x in range(256)] + pieces)
+    ids, at = [], 0
+    for i, piece in enumerate(pieces):  # by bytes or as a token
+        ids += list(piece) if rng.random() < 0.5 else [256 + i]
+    out = []
+    while at < len(ids):
+        n = rng.randrange(1, 5)
+        part = d.feed(ids[at : at + n])
+        out.append(part)
+        at += n
+        # what is held back begins a character, and nothing else is
+        assert len(d.held) <= 3 and (not d.held or any(_is_one_character(d.held + bytes((x,)) + more) for x in (0x80, 0x90, 0xA0) for more in (b"", b"\x80", b"\x80\x80")))
+    out.append(d.flush())
+    assert b"".join(out) == data and d.state == (0, 0)
+    assert "".join(p.decode("utf-8", "replace") for p in out) == data.decode("utf-8", "replace")
 
 
 def test_bpe_query_columns(spark):
