@@ -2,13 +2,13 @@
 
 The kernel is the blended-spectrum presence kernel: k(x, z) = |G(x) & G(z)| / sqrt(|G(x)| |G(z)|), G the
 set of character n-grams of lengths 1 to 3 of the lower-cased text, in which what is no letter counts
-as one space. A Nystroem map over landmark texts turns it into features, and one-versus-rest kernel
+as one space. N-grams of any script are hashed to ``_UNIVERSE`` numbers. A Nystroem map over landmark texts turns it into features, and one-versus-rest kernel
 ridge regression over them gives a score per language. Scoring is two matrix products per batch: n-gram
 presence by landmarks, and landmarks by languages.
 
 The model is fitted on the driver on a bounded sample: about ``PER_LANGUAGE`` labelled rows of each
 language and ``MOST_FITTED`` in all, those of smallest id hash, of texts of up to ``LONGEST_FITTED``
-characters. Its size is bounded too: ``LANDMARKS`` texts over an alphabet of 62 letters. It is applied
+characters. Its size is bounded too: ``LANDMARKS`` texts over that universe. It is applied
 to every row and whole text.
 
 Defined cases: a text that is null, empty or without a letter is ``und`` with score 0; where no row can
@@ -20,6 +20,7 @@ further columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,13 @@ from .common import table
 PER_LANGUAGE, MOST_FITTED, LONGEST_FITTED, LANDMARKS, RIDGE = 400, 4_000, 20_000, 256, 1e-3
 FOLDS = 5
 UNKNOWN = "und"
-#: Codes of a character: 0 a letter outside the alphabet, 1 no letter, 2 to 63 the alphabet's letters.
-_CODES, _OTHER, _GAP = 64, 0, 1
-_UNIVERSE = _CODES + _CODES**2 + _CODES**3
+_GAP = 32
+_UNIVERSE = 1 << 18
+#: Odd factors of a multiplicative hash, one for each place of an n-gram and one for each length.
+_PLACES, _LENGTHS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), (0x27D4EB2F, 0x165667B1, 0x2545F491)
 
 
+@cache
 def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
@@ -45,33 +48,33 @@ def _points(text: str) -> np.ndarray:
 
 
 class Grams:
-    """Texts to the presence of their n-grams, by a table of character codes."""
+    """Texts to the presence of their n-grams."""
 
-    def __init__(self, alphabet: list[int]):
-        self.codes = np.full(0x110000, _GAP, np.uint8)
-        self.codes[_letters()] = _OTHER
-        self.codes[alphabet] = np.arange(2, 2 + len(alphabet), dtype=np.uint8)
+    def __init__(self):
+        self.is_letter = _letters()
         self.there = np.zeros(_UNIVERSE, bool)
 
     def presence(self, text: str | None) -> np.ndarray | None:
         """The sorted numbers of the text's n-grams; None if it has no letter."""
-        c = self.codes[_points(text or "")]
-        if not (c != _GAP).any():
+        points = _points(text or "")
+        letter = self.is_letter[points]
+        if not letter.any():
             return None
         # begins and ends with a gap, and gaps are single
-        c = np.concatenate([[_GAP], c, [_GAP]]).astype(np.int32)
+        c = np.concatenate([[_GAP], np.where(letter, points, _GAP), [_GAP]]).astype(np.uint32)
         c = c[np.concatenate([[True], (c[1:] != _GAP) | (c[:-1] != _GAP)])]
         self.there[:] = False
-        self.there[c] = True
-        two = c[:-1] * _CODES + c[1:]
-        self.there[_CODES + two] = True
-        self.there[_CODES + _CODES**2 + two[:-1] * _CODES + c[2:]] = True
+        for n in (1, 2, 3):
+            h = np.full(max(0, len(c) - n + 1), _LENGTHS[n - 1], np.uint32)
+            for k in range(n):
+                h = (h ^ c[k : k + len(h)]) * np.uint32(_PLACES[k])
+                h ^= h >> np.uint32(15)
+            self.there[h % np.uint32(_UNIVERSE)] = True
         return np.flatnonzero(self.there)
 
 
 @dataclass
 class Model:
-    alphabet: list[int]
     grams: np.ndarray  # numbers of the n-grams of the landmarks
     landmarks: np.ndarray  # presence, n-grams by landmarks, scaled by 1 / sqrt(|G(z)|)
     weights: np.ndarray  # landmarks by languages
@@ -91,15 +94,7 @@ def _kernel(present: list[np.ndarray], grams: np.ndarray, landmarks: np.ndarray)
 
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """A model of bounded size; None if there is nothing to learn from."""
-    letters = _letters()
-    counts = np.zeros(0x110000, np.int64)
-    for t in texts:
-        points, n = np.unique(_points(t), return_counts=True)
-        counts[points] += n
-    counts[~letters] = 0
-    order = np.argsort(-counts, kind="stable")[: _CODES - 2]
-    alphabet = order[counts[order] > 0].tolist()
-    grams_of = Grams(alphabet)
+    grams_of = Grams()
     known = [(p, y) for t, y in zip(texts, labels, strict=True) if (p := grams_of.presence(t)) is not None]
     if not known:
         return None
@@ -120,7 +115,7 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     phi = k @ root
     target = np.where(y[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     w = np.linalg.solve(phi.T @ phi + ridge * len(y) * np.eye(len(marks)), phi.T @ target)
-    return Model(alphabet, grams, z, (root @ w).astype(np.float32), languages)
+    return Model(grams, z, (root @ w).astype(np.float32), languages)
 
 
 def held_out(id_col: Column, folds: int = FOLDS) -> Column:
@@ -152,7 +147,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def run(batches):
         m = shared.value
-        grams_of = Grams(m.alphabet if m else [])
+        grams_of = Grams()
         for whole in batches:
             for at in range(0, whole.num_rows, _BATCH):
                 batch = whole.slice(at, _BATCH)
@@ -179,7 +174,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     @F.pandas_udf("string")
     def language(texts):
         m = shared.value
-        grams_of = Grams(m.alphabet if m else [])
+        grams_of = Grams()
         out = [UNKNOWN] * len(texts)
         for at in range(0, len(texts), _BATCH):
             present = [grams_of.presence(t) for t in texts.iloc[at : at + _BATCH]]
