@@ -9,6 +9,10 @@ digest *and* text, and a digest that stands for more than one text is split by t
 Only digests, ids and locators are shuffled for the decision; the full texts that move are one
 per task of each text that has copies, since the grouping combines before it shuffles.
 
+The state outlives a call where it is given a folder (``state_dir``): rows that come later meet what came
+before, and the rows that stay are decided over both. The rows of earlier calls are then given too, as the
+content that locators point to.
+
 Defined cases: a null text counts as the empty text; an empty table gives an empty result; rows
 that repeat both id and text are copies of each other and one of them stays (the last by locator);
 a null id is smaller than every id; further columns are ignored, whatever their names.
@@ -16,11 +20,13 @@ a null id is smaller than every id; further columns are ignored, whatever their
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import free_names, settled, shared_dir, stored, table
 
 #: State on disk; many small stores need no space set aside in advance.
 STATE_CONF = {
@@ -45,11 +51,13 @@ def _has_rows_of_files(docs: DataFrame) -> bool:
 
 
 def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, digest, file, row): file and row are the locator of the content."""
+    """(id, text, digest, file, row): file and row are the locator of the content. Rows that come from no file
+    are written first, for their place to be the same whenever it is asked for."""
+    if not _has_rows_of_files(docs):
+        docs = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "dedup-rows")
+        id_col, text_col = "id", "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    in_file = _has_rows_of_files(docs)
-    file = F.col("_metadata.file_path") if in_file else F.input_file_name()
-    row = F.col("_metadata.row_index") if in_file else F.monotonically_increasing_id()
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     return docs.select(
         F.col(id_col).cast("long").alias("id"), text.alias("body"), F.unhex(F.sha2(text, 256)).alias("digest"),
         file.alias("file"), row.alias("row"),
@@ -63,9 +71,11 @@ def keyed_state(stream: DataFrame) -> DataFrame:
     )
 
 
-def stream_groups(spark: SparkSession, staged: str, schema) -> DataFrame:
-    """Runs all files of ``staged`` through the keyed state; one row per digest with keep and n."""
-    out = shared_dir(spark, "dedup-groups")
+def stream_groups(spark: SparkSession, staged: str, schema, state: str, out: str) -> DataFrame:
+    """Runs the files of ``staged`` that are new through the keyed state; one row per digest with keep and n.
+
+    state holds the keyed state and which files it has seen, out its updates.
+    """
     before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
@@ -74,7 +84,7 @@ def stream_groups(spark: SparkSession, staged: str, schema) -> DataFrame:
         query = (
             keyed_state(stream)
             .writeStream.outputMode("update")
-            .option("checkpointLocation", shared_dir(spark, "dedup-state"))
+            .option("checkpointLocation", state)
             .foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}"))
             .trigger(availableNow=True)
             .start()
@@ -97,20 +107,26 @@ def stream_groups(spark: SparkSession, staged: str, schema) -> DataFrame:
     return found.groupBy("digest").agg(F.max_by("keep", "n").alias("keep"), F.max("n").alias("n"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, text_sha256, file, row."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_digests: int = BROADCAST_DIGESTS, state_dir: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """One row per row of docs: id, keep_id, group_size, kept, text_sha256, file, row.
+
+    state_dir: a shared folder in which the state is kept between calls; earlier: the rows of the calls
+    before, with the columns of docs, whose texts are compared in full where digests meet.
+    """
     spark = docs.sparkSession
-    located = _located(docs, id_col, text_col)
-    staged = shared_dir(spark, "dedup-digests")
-    narrow = located.drop("body")
-    narrow.write.parquet(staged)
-    rows = spark.read.schema(narrow.schema).parquet(staged)
-    groups = stream_groups(spark, staged, narrow.schema)
+    return settled(spark, "dedup", lambda: _exact_dedup(spark, docs, id_col, text_col, broadcast_digests, state_dir, earlier))
+
+
+def _exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, broadcast_digests: int, state_dir: str | None, earlier: DataFrame | None) -> DataFrame:
+    own = _located(docs, id_col, text_col)
+    located = own if earlier is None else own.unionByName(_located(earlier, id_col, text_col))
+    place = state_dir.rstrip("/") if state_dir else shared_dir(spark, "dedup-state")
+    narrow, arrived = own.drop("body"), f"{place}/digests/{uuid.uuid4().hex}"
+    narrow.write.parquet(arrived)
+    rows = spark.read.schema(narrow.schema).parquet(arrived)
+    groups = stored(stream_groups(spark, f"{place}/digests/*", narrow.schema, f"{place}/state", f"{place}/groups"), "dedup-final")
 
     # full bytes of every hit
-    groups_path = shared_dir(spark, "dedup-final")
-    groups.write.parquet(groups_path)
-    groups = spark.read.schema(groups.schema).parquet(groups_path)
     multiple = groups.filter("n > 1").select("digest")
     n_multiple = multiple.count()
     hits = multiple if n_multiple > broadcast_digests else F.broadcast(multiple)
@@ -119,7 +135,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if n_multiple and not collided.isEmpty():
         by_text = located.join(collided, "digest", "left_semi")
         kept = by_text.groupBy("digest", "body").agg(F.max(F.struct("id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
-        split = by_text.join(kept, ["digest", "body"]).drop("body")
+        split = own.join(collided, "digest", "left_semi").join(kept, ["digest", "body"]).drop("body")
         decided = rows.join(collided, "digest", "left_anti").join(groups, "digest").unionByName(split)
     else:
         decided = rows.join(groups, "digest")
@@ -131,11 +147,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dropped_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that are copies; all columns as they came. docs must come from files."""
-    gone = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("file").alias("_gone_file"), F.col("row").alias("_gone_row"))
-    place = docs.select("*", F.col("_metadata.file_path").alias("_own_file"), F.col("_metadata.row_index").alias("_own_row"))
-    held = place.join(gone, (F.col("_own_file") == F.col("_gone_file")) & (F.col("_own_row") == F.col("_gone_row")), "left_anti")
-    return held.drop("_own_file", "_own_row")
+    """docs without the rows that are copies; all columns as they came. Null texts are copies of each other
+    and of empty ones. Rows that come from no file, or have a column ``_metadata``, are written first."""
+    columns = docs.columns
+    if not _has_rows_of_files(docs):
+        (hidden,) = free_names(docs, "metadata")
+        renamed = docs.withColumnRenamed("_metadata", hidden) if "_metadata" in columns else docs
+        kept = dropped_copies(stored(renamed, "dedup-rows"), id_col, text_col)
+        return kept.withColumnRenamed(hidden, "_metadata") if "_metadata" in columns else kept
+    file, row, own_file, own_row = free_names(docs, "gone_file", "gone_row", "own_file", "own_row")
+    gone = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("file").alias(file), F.col("row").alias(row))
+    place = docs.select("*", F.col("_metadata.file_path").alias(own_file), F.col("_metadata.row_index").alias(own_row))
+    held = place.join(gone, (F.col(own_file) == F.col(file)) & (F.col(own_row) == F.col(row)), "left_anti")
+    return held.select(*columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

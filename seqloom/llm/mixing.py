@@ -15,7 +15,8 @@ be ranked among the seats near each party's ideal share, the seats below are cer
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own,
 last in order; an empty table gives an empty result; documents of equal id and size share one
-place in the order; further columns are ignored.
+place in the order; a source whose target is below half a block may get no block, so a corpus of fewer
+words than half a block has an empty mix; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, table
+from .common import WORD, checkpointed, settled, table
 
 SEED, BLOCK_TOKENS, SHARD_ROWS, MAX_SHARDS, CAP, WEIGHTS = 17, 32, 1_000, 65_536, 3, 3
 
@@ -87,6 +88,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``head`` words once more, and ``run`` words from word ``first`` (counted from 0) on once more.
     ``keys`` are columns of docs that tell rows of equal id apart; they come last in the order.
     """
+    return settled(docs.sparkSession, "mix", lambda: _mix(docs, id_col, text_col, source_col, seed, block_tokens, shard_rows, cap, weights, keys))
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, block_tokens: int, shard_rows: int, cap: int, weights: int, keys: tuple[str, ...]) -> DataFrame:
     sizes = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *keys))
     sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")), cap, weights)
     sources = sources.withColumn("blocks", F.round(F.sum("source_size").over(W.partitionBy()) / block_tokens).cast("long")).withColumn("everything", F.lit(0))

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from test_set_operators import brute_components, documents
 
 import corpus_pipeline
@@ -89,6 +90,19 @@ def test_mixing_stage_of_one_id_in_one_source(spark, tmp_path):
     assert all(r.text for r in found)
 
 
+def test_stages_of_clashing_columns_and_empty_tables(spark, tmp_path):
+    names = ["_file", "row", "size", "piece", "rounds", "head", "digest", "component", "gone", "id", "own_row"]
+    docs = documents(spark, tmp_path, unlike_rows(4)).select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    docs.write.parquet(str(tmp_path / "clash"))
+    docs = spark.read.parquet(str(tmp_path / "clash"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, "")
+        assert found.columns == docs.columns and found.count() > 0, name
+        found.limit(0).write.parquet(str(tmp_path / name))
+        assert stage(spark, spark.read.schema(docs.schema).parquet(str(tmp_path / name)), "").count() == 0, name
+        assert all(r[n] == i for r in found.limit(5).collect() for i, n in enumerate(names)), name
+
+
 def test_pipeline_equals_its_stages_in_plain_python(spark, tmp_path):
     tokenizers, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
     from tiktoken.load import load_tiktoken_bpe

@@ -46,6 +46,33 @@ def test_exact_defined_cases(spark, tmp_path):
     assert exact_dedup.exact_dedup(clash).count() == 4
 
 
+def test_later_arrivals_meet_the_state(spark, tmp_path, monkeypatch):
+    """Three calls with one state, each in several micro-batches; a digest of earlier rows stands for two texts."""
+    monkeypatch.setattr(exact_dedup, "FILES_PER_BATCH", 1)
+    located = exact_dedup._located
+    same = F.when(F.col("body").isin("x", "y"), F.unhex(F.lit("00"))).otherwise(F.col("digest"))
+    monkeypatch.setattr(exact_dedup, "_located", lambda *a: located(*a).withColumn("digest", same))
+    calls = [[(1, "a"), (2, "b"), (3, "x"), (4, "a")], [(5, "b"), (9, "y"), (0, "a")], [(7, "x"), (8, "c"), (6, "y")]]
+    state, before = str(tmp_path / "state"), None
+    for n, rows in enumerate(calls):
+        path = str(tmp_path / f"part{n}")
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+        docs = spark.read.parquet(path)
+        found = {r.id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, state_dir=state, earlier=before).collect()}
+        seen = [r for part in calls[: n + 1] for r in part]
+        group = {t: [i for i, u in seen if u == t] for _, t in seen}
+        assert found == {i: (max(group[t]), len(group[t]), max(group[t]) == i) for i, t in rows}
+        before = docs if before is None else before.unionByName(docs)
+
+
+def test_dropped_copies_of_any_frame(spark):
+    rows = spark.createDataFrame([(1, "a", 7), (2, "a", 8), (3, "b", 9)], "doc_id long, text string, x int")
+    assert sorted(tuple(r) for r in exact_dedup.dropped_copies(rows).collect()) == [(2, "a", 8), (3, "b", 9)]
+    clash = rows.withColumnRenamed("x", "_metadata").withColumn("own_file", F.lit("f"))
+    kept = exact_dedup.dropped_copies(clash)
+    assert kept.columns == clash.columns and sorted(tuple(r) for r in kept.collect()) == [(2, "a", 8, "f"), (3, "b", 9, "f")]
+
+
 def test_equal_digests_are_split_by_text(spark, monkeypatch):
     located = exact_dedup._located
     monkeypatch.setattr(exact_dedup, "_located", lambda *a: located(*a).withColumn("digest", F.unhex(F.lit("00"))))

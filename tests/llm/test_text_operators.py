@@ -232,9 +232,23 @@ def test_language_defined_cases(spark):
     assert {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
+def test_languages_of_many_scripts(spark):
+    """Far more letters than those of one alphabet, none of which stands for another."""
+    rnd = random.Random(8)
+    scripts = {"el": 0x3B1, "ru": 0x430, "ru2": 0x440, "he": 0x5D0, "hi": 0x915, "th": 0xE01, "zh": 0x4E00, "zh2": 0x5E00, "ko": 0xAC00, "ko2": 0xB000}
+    word = lambda at: "".join(chr(at + rnd.randrange(12)) for _ in range(4))
+    rows = [(i, " ".join(word(at) for _ in range(12)), lang) for i in range(400) for lang, at in [rnd.choice(list(scripts.items()))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    found = language_id.identify(docs, language_id.learn(docs)).filter("held_out").join(docs, F.col("id") == F.col("doc_id"))
+    n, ok = found.agg(F.count(F.lit(1)), F.count_if(F.col("lang") == F.col("lang_pred"))).first()
+    assert n > 50 and ok >= 0.98 * n
+
+
 def test_kernel_equals_its_definition():
     texts = ["the other", "être là", "die straße"]
-    g = language_id.Grams(sorted({ord(c) for t in texts for c in t if c.isalpha()}))
+    g = language_id.Grams()
+    for t in texts:  # presence of each n-gram of lengths 1 to 3, gaps around
+        assert len(g.presence(t)) == len({f" {t} "[i : i + n] for n in (1, 2, 3) for i in range(len(t) + 3 - n)})
     sets = [set(g.presence(t).tolist()) for t in texts]
     grams = np.unique(np.concatenate([g.presence(t) for t in texts]))
     z = np.array([[(x in s) / len(s) ** 0.5 for s in sets] for x in grams.tolist()], np.float32)
