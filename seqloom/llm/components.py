@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored
+from .common import settled, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,10 +34,11 @@ def _print(edges: DataFrame) -> tuple:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (u, v) of longs -> (node, component): the least node reachable, for nodes but the least."""
-    now = checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    spark = edges.sparkSession
+    now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _print(now)
     while before[0]:
-        now = checkpointed(_small_star(_large_star(now)))
+        now = settled(spark, "edges", lambda now=now: _small_star(_large_star(now)))
         after = _print(now)
         if after == before:
             break

@@ -38,14 +38,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored, table
+from .common import free_names, settled, stored, table
 from .components import connected_components
-from .setsketch import BANDS, REGISTERS, ROWS_PER_BAND, WordHashes, counts_of_pairs, likely, linked, registers, shingles
+from .setsketch import BANDS, REGISTERS, ROWS_PER_BAND, WordHashes, counts_of_pairs, fewest_equal, intersections, likely, linked, registers, shingles
 
 PERCENT = 85
 SHORT_SET, SMALL_BUCKET, CHUNK = 256, 32, 512
 #: Ids of candidates (8 bytes each) are broadcast up to this count, beyond it they are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Blocks that a task compares, and the most tasks they are dealt to.
+BLOCKS_PER_TASK, MOST_TASKS = 4, 20_000
 LINK, OPEN = 1, 2
 
 
@@ -108,7 +110,12 @@ def _confirm(percent: int):
 
 
 def _block(percent: int):
-    """Compares two chunks of a bucket, or one with itself, across components."""
+    """Compares two chunks of a bucket, or one with itself, across components.
+
+    Pairs that the joint likelihood makes implausible at any sizes have too few equal registers and go; the
+    others that are not told apart by an earlier band are confirmed together, by one product of the chunks'
+    incidence with their common shingles. Links come out as a forest.
+    """
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         p, q, band = f["p"].iloc[0], f["q"].iloc[0], f["band"].iloc[0]
@@ -117,31 +124,45 @@ def _block(percent: int):
         ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
         of_a, of_b = left["component"].to_numpy(), right["component"].to_numpy()
         n_a, n_b = left["n"].to_numpy(float), right["n"].to_numpy(float)
-        root = {x: x for x in {*of_a.tolist(), *of_b.tolist()}}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+        long_a, long_b = left["short"].isna().to_numpy(), right["short"].isna().to_numpy()
+        least = fewest_equal(percent / 100)
 
-        found = []
+        at_a, at_b = [], []
         for i in range(len(left)):
             others = np.flatnonzero((of_b != of_a[i]) & (ids_b > ids_a[i] if p == q else ids_b != ids_a[i]) & (np.minimum(n_b, n_a[i]) * 100 >= percent * np.maximum(n_b, n_a[i])))
             if not len(others):
                 continue
             same = a[i] == b[others]
-            before = same.reshape(len(others), BANDS, ROWS_PER_BAND).all(2)[:, :band].any(1)
-            equal, more = same.sum(1), (a[i] > b[others]).sum(1)
-            held = others[~before & likely(equal, more, np.full(len(others), n_a[i]), n_b[others], percent / 100)]
-            for k in held:
-                one, two, x, y = find(of_a[i]), find(of_b[k]), left["short"].iat[i], right["short"].iat[k]
-                if one == two:
-                    continue
-                if x is None or y is None:
-                    found.append((ids_a[i], ids_b[k], OPEN))
-                elif linked(_set(x), _set(y), percent):
-                    found.append((ids_a[i], ids_b[k], LINK))
+            before = same[:, : band * ROWS_PER_BAND].reshape(len(others), band, ROWS_PER_BAND).all(2).any(1)
+            held = others[~before & (same.sum(1) >= least)]
+            at_a.append(np.full(len(held), i))
+            at_b.append(held)
+        none = np.zeros(0, int)
+        i, k = np.concatenate([none, *at_a]), np.concatenate([none, *at_b])
+
+        far = long_a[i] | long_b[k]  # whose sets are not here
+        equal, more = counts_of_pairs(a[i[far]], b[k[far]])
+        likely_far = likely(equal, more, n_a[i[far]], n_b[k[far]], percent / 100)
+        found = [(ids_a[x], ids_b[y], OPEN) for x, y in zip(i[far][likely_far], k[far][likely_far], strict=True)]
+
+        i, k = i[~far], k[~far]
+        if len(i):
+            rows_a, rows_b = np.unique(i), np.unique(k)
+            common = intersections([_set(left["short"].iat[x]) for x in rows_a], [_set(right["short"].iat[y]) for y in rows_b])
+            both = common[np.searchsorted(rows_a, i), np.searchsorted(rows_b, k)]
+            ok = 100 * both >= percent * (n_a[i] + n_b[k] - both)
+            root: dict[int, int] = {}
+
+            def find(x):
+                while (up := root.get(x, x)) != x:
+                    root[x] = root.get(up, up)
+                    x = up
+                return x
+
+            for x, y in zip(i[ok].tolist(), k[ok].tolist(), strict=True):
+                one, two = find(int(of_a[x])), find(int(of_b[y]))
+                if one != two:
+                    found.append((ids_a[x], ids_b[y], LINK))
                     root[max(one, two)] = min(one, two)
         return pd.DataFrame(found, columns=["u", "v", "state"]).astype({"u": "int64", "v": "int64", "state": "int32"})
 
@@ -162,6 +183,12 @@ def _links(states: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
     return states.filter(F.col("state") == LINK).select("u", "v").unionByName(confirmed)
 
 
+def _n_chunks() -> tuple:
+    """x, y: how many chunks hold a bucket's members apart from its largest component, and that component's."""
+    size = lambda n: F.greatest(F.lit(1), F.ceil(n / CHUNK)).cast("int")
+    return size(F.col("apart")).alias("x"), size(F.col("size") - F.col("apart")).alias("y")
+
+
 def _chunks(rest: DataFrame) -> DataFrame:
     """Members of large buckets, once for each pair of chunks (p, q) that they take part in.
 
@@ -169,8 +196,7 @@ def _chunks(rest: DataFrame) -> DataFrame:
     chunks of the largest component, which do not meet one another.
     """
     apart = F.col("component") != F.col("main")
-    n_apart, n_main = F.greatest(F.lit(1), F.ceil(F.col("apart") / CHUNK)), F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("apart")) / CHUNK))
-    dealt = rest.select("key", "band", "id", "component", n_apart.cast("int").alias("x"), n_main.cast("int").alias("y"), apart.alias("out"))
+    dealt = rest.select("key", "band", "id", "component", *_n_chunks(), apart.alias("out"))
     dealt = dealt.withColumn("c", F.when(F.col("out"), F.pmod(F.xxhash64("id"), F.col("x"))).otherwise(F.col("x") + F.pmod(F.xxhash64("id"), F.col("y"))).cast("int"))
     meets = F.when(F.col("out"), F.expr("sequence(0, x + y - 1)")).otherwise(F.expr("sequence(0, x - 1)"))
     dealt = dealt.withColumn("o", F.explode(meets))
@@ -179,6 +205,10 @@ def _chunks(rest: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, broadcast_ids: int = BROADCAST_IDS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """One row per row of docs: id, n_shingles, component."""
+    return settled(docs.sparkSession, "near-duplicates", lambda: _near_duplicates(docs, id_col, text_col, percent, broadcast_ids, small_bucket))
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int, broadcast_ids: int, small_bucket: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = stored(texts.mapInArrow(_sketch, "id long, n long, digest binary, regs binary"), "near-sketches")
     classes = stored(
@@ -215,7 +245,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = small.select("key", F.col("id").alias("v"), F.col("component").alias("component_v"))
     pairs = small.join(other, "key").filter("id > v AND component <> component_v").select(F.col("id").alias("u"), "v").distinct()
     pairs = pairs.join(stars, ["u", "v"], "left_anti")
-    chunks = _chunks(rest.filter(F.col("size") > small_bucket)).join(payload.select("id", *sketch), "id")
+    large = rest.filter(F.col("size") > small_bucket)
+    # blocks cost CPU, not bytes: they are dealt to a number of tasks that follows their number, which is not merged by size
+    shape = mixed.filter(F.col("size") > small_bucket).select(*_n_chunks())
+    n_blocks = shape.agg(F.sum(F.expr("cast(x as double) * (x + 1) / 2 + x * y"))).first()[0] or 0.0
+    tasks = int(min(MOST_TASKS, max(1, -(-n_blocks // BLOCKS_PER_TASK))))
+    chunks = _chunks(large).join(payload.select("id", *sketch), "id").repartition(tasks, "key", "p", "q")
     blocks = chunks.groupBy("key", "p", "q").applyInPandas(_block(percent), "u long, v long, state int")
     second = _links(decided(pairs).unionByName(blocks), payload, percent)
     component = connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second))
@@ -226,10 +261,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def dropped_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs without those that are linked, over any chain, with one of smaller id; all columns as they came."""
-    gone = stored(near_duplicates(docs, id_col, text_col, percent).filter("id <> component").select(F.col("id").alias("_gone")).distinct(), "near-gone")
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """docs without those that are linked, over any chain, with one of smaller id; all columns as they came.
+
+    Rows of null id stay, rows of equal id stay or go together; an empty table stays empty.
+    """
+    (gone_id,) = free_names(docs, "gone")
+    found = settled(docs.sparkSession, "near-gone", lambda: near_duplicates(docs, id_col, text_col, percent).filter("id <> component").select(F.col("id").alias(gone_id)).distinct())
+    few = found.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(found) if few else found, F.col(id_col).cast("long") == F.col(gone_id), "left_anti")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

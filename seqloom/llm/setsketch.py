@@ -8,6 +8,8 @@ of the two, register by register.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import xxhash
 
@@ -105,3 +107,38 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def counts_of_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Register counts (equal, a larger) of row pairs."""
     return (a == b).sum(1), (a > b).sum(1)
+
+
+@lru_cache(maxsize=8)
+def fewest_equal(least: float) -> int:
+    """The smallest number of equal registers with which a similarity of ``least`` is plausible, whatever the
+    other registers and the sizes are. Two registers are left as a margin."""
+    ratios = np.linspace(least, 1.0, 33)
+    for equal in range(REGISTERS + 1):
+        more = np.arange(REGISTERS - equal + 1)
+        m, r = (x.ravel() for x in np.meshgrid(more, ratios))
+        if likely(np.full(len(m), equal), m, np.ones(len(r)), r, least).any():
+            return max(0, equal - 2)
+    return REGISTERS
+
+
+_COLUMNS = 8_192
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """|a & b| of each pair of sets, given as sorted distinct arrays, by products of their incidence matrices."""
+    all_left, all_right = np.concatenate(left), np.concatenate(right)
+    row_left, row_right = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    shared = np.intersect1d(all_left, all_right)
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(shared), _COLUMNS):
+        part = shared[at : at + _COLUMNS]
+        sides = []
+        for elements, rows, n in ((all_left, row_left, len(left)), (all_right, row_right, len(right))):
+            place = np.searchsorted(part, elements)
+            there = part[np.minimum(place, len(part) - 1)] == elements
+            matrix = np.zeros((n, len(part)), np.float32)
+            matrix[rows[there], place[there]] = 1
+            sides.append(matrix)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    return out
