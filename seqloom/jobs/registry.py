@@ -6,12 +6,11 @@ two line states, with the return flag of a line as its class. Target phrases are
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from .. import storage
 from ..operators import boundary, compare, decode, detectors, lexicon, mixture, stats
 from ..sources import readers, writers
 from ..sources.corpora import order_lines, table
@@ -37,20 +36,16 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """A step's result, written once where a query reads it again and again. It goes to the shared folder
-    of spark.checkpoint.dir; only where that is unset, as in local tests, to a temporary one."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
-    return df.checkpoint()
+    """A step's result, written once where a query reads it again and again."""
+    return storage.stored(df, "step")
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
-    return _kept(boundary.segment_corpus(order_lines(spark, sf)))
+    return storage.settled(spark, "segments", lambda: boundary.segment_corpus(_kept(order_lines(spark, sf))))
 
 
 def _matrix_of(rows: DataFrame) -> DataFrame:
-    return _kept(lexicon.feature_matrix(rows))
+    return storage.settled(rows.sparkSession, "matrix", lambda: lexicon.feature_matrix(rows))
 
 
 def _matrix(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,12 +99,12 @@ def score_lines(spark, sf):
 
 def association_histogram(spark, sf):
     """Bins of the association across candidate boundaries."""
-    values = _kept(_rounded(boundary.features(order_lines(spark, sf)).select("f0"), "f0"))
+    values = _kept(_rounded(boundary.association(_kept(order_lines(spark, sf))).select("f0"), "f0"))
     return _rounded(stats.histogram(values, "f0", BINS), "low", "high")
 
 
 def zscore_boundary(spark, sf):
-    found = boundary.zscore_detector(boundary.features(order_lines(spark, sf)).select("seq_id", "pos", "f0"))
+    found = boundary.zscore_detector(_kept(boundary.association(_kept(order_lines(spark, sf)))))
     return found.select("seq_id", "pos", (F.col("p") >= 0.5).alias("is_boundary"), (F.round("p", 5) + F.lit(0.0)).alias("p"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip01, normal_cdf
 from ..sources.corpora import by_sequence
+from ..storage import stored
 from .stats import ngram_counts, npmi, positional_entropy, symbol_counts, with_scalars
 
 N_FEATURES = 13
@@ -67,6 +68,13 @@ def features(corpus: DataFrame, entropy: DataFrame | None = None, diversity: Dat
     return near.filter("pos >= 1").select("seq_id", "pos", *[c.alias(n) for c, n in zip(f, FEATURES, strict=True)])
 
 
+def association(corpus: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """seq_id, pos, f0 of the candidate boundaries: the first feature alone, which takes bigram counts and one join."""
+    pairs = npmi(ngram_counts(corpus, 2), symbol_counts(corpus).select("sym", "n"), 2, alpha)
+    here = corpus.select("seq_id", "pos", F.lag("sym", 1).over(by_sequence()).alias("a"), F.col("sym").alias("b")).filter("pos >= 1")
+    return here.join(pairs.select("a", "b", "npmi"), ["a", "b"], "left").select("seq_id", "pos", F.coalesce("npmi", F.lit(-1.0)).alias("f0"))
+
+
 def zscore_detector(candidates: DataFrame) -> DataFrame:
     """seq_id, pos, p: unlikely pairs are boundaries. p >= 0.5 exactly where f0 is at most its mean."""
     own = candidates.agg(F.avg("f0").alias("mean"), F.stddev_pop("f0").alias("std"))
@@ -125,5 +133,5 @@ def segmented_lines(found: DataFrame) -> DataFrame:
 def segment_corpus(corpus: DataFrame, probabilities: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Segments of a corpus, by default by the z-score detector alone."""
     if probabilities is None:
-        probabilities = zscore_detector(features(corpus).select("seq_id", "pos", "f0"))
+        probabilities = zscore_detector(stored(association(corpus), "association"))
     return segments(choose(corpus, probabilities, threshold))

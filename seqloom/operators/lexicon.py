@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import COMMODITY, NAME, TITLE, numeric_like
+from ..storage import stored
 from .stats import shannon, with_scalars
 
 EXAMPLES = 10
@@ -18,6 +19,10 @@ EXAMPLES = 10
 MIXTURE_FEATURES = ["freq", "start_prob", "end_prob", "avg_pos", "mean_len", "H_total", "avg_pmi_left", "avg_pmi_right", "numeric_assoc", "burstiness", "idf", "coll_skew"]
 
 
+#: The order of segments in an inventory: descending freq, then key.
+_BY_FREQ = ["_exact", "seg_key"]
+
+
 def _examples(rows: DataFrame, most: int) -> DataFrame:
     """seg_key, examples: the first places of each segment. At most ``most`` a partition and key are kept
     before the rows are dealt by key, by the limit that Spark puts below a ranking."""
@@ -34,10 +39,10 @@ def top_examples(rows: DataFrame, most: int = EXAMPLES) -> DataFrame:
 def inventory(rows: DataFrame, most: int = EXAMPLES) -> DataFrame:
     """seg_key, seg_id, tokens, freq, examples. seg_id counts by (freq descending, key)."""
     counted = rows.groupBy("seg_key").agg(F.count(F.lit(1)).alias("freq"), F.first("tokens").alias("tokens"))
-    return numbered(counted, [F.col("freq").desc(), F.col("seg_key")]).join(_examples(rows, most), "seg_key").select("seg_key", "seg_id", "tokens", "freq", "examples")
+    return numbered(counted, _BY_FREQ).join(_examples(rows, most), "seg_key").select("seg_key", "seg_id", "tokens", "freq", "examples")
 
 
-def numbered(counted: DataFrame, order: list[Column]) -> DataFrame:
+def numbered(counted: DataFrame, order: list) -> DataFrame:
     """Adds seg_id, a place in a total order.
 
     The order is cut into ranges by freq and the beginning of the key: rows are numbered inside a range,
@@ -146,7 +151,7 @@ def sequence_count(rows: DataFrame) -> DataFrame:
 
 def feature_matrix(rows: DataFrame, sequences: DataFrame | None = None) -> DataFrame:
     """One row per segment with all its features, seg_id and first examples."""
-    counts, ctx = segment_counts(rows), contexts(rows)
+    counts, ctx = stored(segment_counts(rows), "counts"), stored(contexts(rows), "contexts")
     adjacent = numeric_neighbours(ctx, counts)
     sequences = sequence_count(rows) if sequences is None else sequences
     base = counts.select(
@@ -155,7 +160,8 @@ def feature_matrix(rows: DataFrame, sequences: DataFrame | None = None) -> DataF
     )
     wide = base.join(side_entropy(ctx), "seg_key", "left").join(average_pmi(ctx, counts), "seg_key").join(numeric_association(adjacent), "seg_key").join(burstiness_and_idf(counts, sequences), "seg_key")
     wide = wide.fillna(0.0, ["H_left", "H_right", "H_total", "coll_skew"])
-    return wide.join(inventory(rows).select("seg_key", "seg_id", "examples"), "seg_key")
+    ids = numbered(counts.select("seg_key", "freq"), _BY_FREQ).select("seg_key", "seg_id")
+    return wide.join(ids, "seg_key").join(_examples(rows, EXAMPLES), "seg_key")
 
 
 def seeds(matrix: DataFrame) -> DataFrame:

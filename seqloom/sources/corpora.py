@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+
 def by_sequence() -> WindowSpec:
     return W.partitionBy("seq_id").orderBy("pos")
 
@@ -34,11 +35,6 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered_corpus(table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), order, F.col("l_suppkey"))
 
 
-def event_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sequence per user: event types in time."""
-    return ordered_corpus(table(spark, sf_dir, "events"), F.col("user_id"), ["ts", "event_id"], F.col("event_type"))
-
-
 def array_corpus(sequences: DataFrame, seq_col: str = "seq_id", symbols_col: str = "symbols") -> DataFrame:
     """A corpus of sequences that are held as arrays; empty and null arrays have no rows."""
     return sequences.select(F.col(seq_col).alias("seq_id"), F.posexplode(symbols_col).alias("pos", "sym"), F.size(symbols_col).cast("long").alias("len"))
