@@ -94,13 +94,41 @@ def strip_diacritics(text: pd.Series) -> pd.Series:
     return text.map(without_marks, na_action="ignore")
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching characters by longest matching blocks. Not symmetric; no Spark function equals it.
+@F.pandas_udf(T.StructType([T.StructField("literal", T.DoubleType()), T.StructField("phonetic", T.DoubleType())]))
+def text_similarities(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Ratio of matching characters by longest matching blocks, of the texts and of the texts without marks.
 
-    To be called on distinct pairs.
+    Not symmetric; no Spark function equals it. To be called on distinct pairs. The index of a second text is
+    made once for all first texts that meet it, and texts without marks are compared once.
     """
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+    indexed: dict[str, SequenceMatcher] = {}
+
+    def ratio(x: str, y: str) -> float:
+        m = indexed.get(y)
+        if m is None:
+            if len(indexed) >= _INDEXED:
+                indexed.clear()
+            m = indexed[y] = SequenceMatcher(None, "", y)
+        m.set_seq1(x)
+        return m.ratio()
+
+    plain = {x: without_marks(x) for x in {*a.dropna(), *b.dropna()}}
+    rows = []
+    for x, y in zip(a, b, strict=True):
+        if x is None or y is None:
+            rows.append((None, None))
+            continue
+        literal = ratio(x, y)
+        rows.append((literal, literal if plain[x] == x and plain[y] == y else ratio(plain[x], plain[y])))
+    return pd.DataFrame(rows, columns=["literal", "phonetic"], dtype="float64")
+
+
+def sequence_similarity(a: Column | str, b: Column | str) -> Column:
+    return text_similarities(a, b)["literal"]
+
+
+#: Indexes of second texts that a batch keeps.
+_INDEXED = 2_000
 
 
 def normal_cdf(z: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import svo_pattern
+
 WEIGHT = 0.2
 
 
@@ -54,14 +56,15 @@ def dice(counts: DataFrame, one: str, two: str, key: str = "pattern", empty_side
     return f.select(value.alias("similarity"))
 
 
-def report(counts: DataFrame, structures: DataFrame, patterns: DataFrame, one: str, two: str) -> DataFrame:
+def report(counts: DataFrame, structures: DataFrame, patterns: DataFrame, one: str, two: str, labels: DataFrame | None = None) -> DataFrame:
     """One row with the five similarities (4 digits) and the overall one in percent (2 digits).
 
-    counts: corpus, label, n; structures and patterns: corpus, pattern, n.
+    counts: corpus, label, n; structures and patterns: corpus, pattern, n. labels: the counts that the order
+    is compared by, if they are others.
     """
     e = entropy_similarity(counts, one, two).withColumnRenamed("similarity", "entropy_similarity")
     parts = {
-        "order_similarity": cosine(counts, one, two), "semantic_similarity": jaccard(counts, one, two),
+        "order_similarity": cosine(counts if labels is None else labels, one, two), "semantic_similarity": jaccard(counts, one, two),
         "structure_similarity": dice(structures, one, two), "svo_similarity": dice(patterns, one, two, empty_side=None),
     }
     for name, frame in parts.items():
@@ -69,3 +72,31 @@ def report(counts: DataFrame, structures: DataFrame, patterns: DataFrame, one: s
     total = sum((F.col(c) for c in ["entropy_similarity", *parts]), F.lit(0.0)) * WEIGHT * 100
     rounded = [F.round(c, 4).alias(c) for c in ["entropy_similarity", *parts, "entropy_1", "entropy_2"]]
     return e.select(*rounded, F.round(total, 2).alias("overall_similarity_percent"))
+
+
+def of_summaries(summaries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Counts of lexicon summaries (corpus, class_counts, representatives): classes and labels (corpus, label, n),
+    structures and role patterns (corpus, pattern, n).
+
+    A representative counts with its label_sequence, by default its own label alone.
+    """
+    classes = summaries.select("corpus", F.explode("class_counts").alias("label", "n"))
+    lists = summaries.select("corpus", F.explode("representatives").alias("of", "list")).select("corpus", "of", F.explode("list").alias("r"))
+    labels = lists.select("corpus", F.coalesce("r.label_sequence", F.array(F.coalesce("r.assigned_label", "of"))).alias("labels"))
+    count = lambda df, key: df.groupBy("corpus", key).agg(F.count(F.lit(1)).alias("n"))
+    return (
+        classes, count(labels.select("corpus", F.explode("labels").alias("label")), "label"),
+        count(labels.select("corpus", F.array_join("labels", ",").alias("pattern")), "pattern"), count(labels.select("corpus", svo_pattern(F.col("labels")).alias("pattern")), "pattern"),
+    )
+
+
+def summary_report(summaries: DataFrame, one: str, two: str) -> DataFrame:
+    """One row: the report of two summaries with class counts, numbers of labels and role patterns of both."""
+    classes, labels, structures, patterns = of_summaries(summaries)
+    found = report(classes, structures, patterns, one, two, labels)
+    as_map = lambda df, key, c: df.filter(F.col("corpus") == c).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias("m"))
+    for i, c in enumerate((one, two), 1):
+        found = found.crossJoin(F.broadcast(as_map(classes, "label", c).withColumnRenamed("m", f"class_counts_{i}")))
+        found = found.crossJoin(F.broadcast(labels.filter(F.col("corpus") == c).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"n_labels_{i}"))))
+        found = found.crossJoin(F.broadcast(as_map(patterns, "pattern", c).withColumnRenamed("m", f"svo_patterns_{i}")))
+    return found

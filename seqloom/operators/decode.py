@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import UNKNOWN, bucket_of, class_weight, entropy_similarity, linguistic_weight, normalize_text, sentence, sequence_similarity, strip_diacritics, structure_similarity
+from ..functions.text import UNKNOWN, bucket_of, class_weight, entropy_similarity, linguistic_weight, normalize_text, sentence, structure_similarity, text_similarities
 
 TOP, REACH = 3, 2
 
@@ -14,8 +14,8 @@ TOP, REACH = 3, 2
 def candidate_pairs(queries: DataFrame, candidates: DataFrame, reach: int = REACH) -> DataFrame:
     """queries (text, ...) with each candidate (cand_id, text) whose length bucket is within ``reach``.
 
-    A band join, as an equi-join on the few buckets of each query. Queries without any such candidate
-    take all; they are few, since a length has none near it only beyond the candidates' longest.
+    A band join, as an equi-join on the few buckets of each query. Queries without any such candidate, those
+    far longer than all of them, take all, as the rule has it: so many comparisons as texts times candidates.
     """
     q = queries.withColumn("_bucket", bucket_of(F.col("text")))
     near = q.withColumn("bucket", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_bucket") - reach), F.col("_bucket") + reach)))
@@ -41,9 +41,7 @@ def fuzzy_top(queries: DataFrame, candidates: DataFrame, k: int = TOP, reach: in
     Texts are compared once per distinct pair. Ties keep the order of buckets, then of candidates.
     """
     pairs = candidate_pairs(queries.select("text", "label", "probability").distinct(), candidates, reach)
-    literal = sequence_similarity(F.col("text"), F.col("word"))
-    phonetic = sequence_similarity(strip_diacritics(F.col("text")), strip_diacritics(F.col("word")))
-    scored = pairs.withColumn("literal", literal).withColumn("phonetic", phonetic)
+    scored = pairs.withColumn("s", text_similarities("text", "word")).select("*", "s.literal", "s.phonetic")
     score = F.round(final_score(F.col("text"), F.col("word"), F.col("label"), F.col("probability"), F.col("phonetic"), F.col("literal")), 4)
     scored = scored.withColumn("score", score)
     place = F.row_number().over(W.partitionBy("text", "label", "probability").orderBy(F.col("score").desc(), "bucket", "cand_id"))
@@ -69,6 +67,12 @@ def class_lookup(segments: DataFrame, labelled: DataFrame | None = None) -> Data
     return joined.select(*segments.columns, F.coalesce("c.label", F.lit(UNKNOWN)).alias("label"), F.coalesce("c.probability", F.lit(0.0)).alias("probability"))
 
 
+def open_segments(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """text: the distinct normalized segments that the lexicon doesn't name."""
+    named = rows.select(normalize_text(F.col("text")).alias("text")).filter("text <> ''").distinct()
+    return lexicon_lookup(named, lexicon).filter("words IS NULL").select("text")
+
+
 def decode(rows: DataFrame, lexicon: DataFrame, candidates: DataFrame, labelled: DataFrame | None = None, k: int = TOP) -> DataFrame:
     """seq_id, decoded: the sentence of each sequence. rows: seq_id, seg_pos, text."""
     named = rows.select("seq_id", "seg_pos", normalize_text(F.col("text")).alias("text")).filter("text <> ''")
@@ -80,6 +84,14 @@ def decode(rows: DataFrame, lexicon: DataFrame, candidates: DataFrame, labelled:
     return chosen.groupBy("seq_id").agg(words.alias("words")).select("seq_id", sentence(F.col("words")).alias("decoded"))
 
 
+def decoded_records(lines: DataFrame, lexicon: DataFrame, candidates: DataFrame, labelled: DataFrame | None = None, k: int = TOP) -> DataFrame:
+    """seq_id, line, decoded, confidence_percent of lines (seq_id, text), whose segments a bar parts."""
+    rows = lines.select("seq_id", F.posexplode(F.split("text", r"\|")).alias("seg_pos", "text"))
+    sentences, sure = decode(rows, lexicon, candidates, labelled, k), line_confidence(lines, candidates, k)
+    found = lines.join(sentences, "seq_id", "left").join(sure, "seq_id")
+    return found.select("seq_id", F.col("text").alias("line"), F.coalesce("decoded", F.lit("")).alias("decoded"), "confidence_percent")
+
+
 def line_confidence(lines: DataFrame, candidates: DataFrame, k: int = TOP) -> DataFrame:
     """seq_id, confidence_percent: the k best scores of a whole line over k, whatever their number. lines: seq_id, text."""
     asked = lines.select("text").distinct().withColumn("label", F.lit(UNKNOWN)).withColumn("probability", F.lit(0.5))

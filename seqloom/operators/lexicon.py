@@ -239,7 +239,7 @@ def categories(matrix: DataFrame, labelled: DataFrame, adjacent: DataFrame, stab
     return matrix.join(labelled.drop("seg_id", "freq"), "seg_key").join(tests, "seg_key").join(stable, "seg_key")
 
 
-def summary(labelled: DataFrame, rows: DataFrame, seed_rates: DataFrame, most: int = 30) -> DataFrame:
+def summary(labelled: DataFrame, rows: DataFrame, seed_rates: DataFrame, most: int = 30, sequences: DataFrame | None = None) -> DataFrame:
     """One row: n_segments, n_sequences, class_counts, avg_posteriors, seed_evaluation, representatives
     and coverage of a lexicon. Lists hold three labels and ``most`` segments of each."""
     classes = (COMMODITY, TITLE, NAME)
@@ -253,5 +253,5 @@ def summary(labelled: DataFrame, rows: DataFrame, seed_rates: DataFrame, most: i
     best = representatives(labelled, most).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("place", *fields))).alias("best"))
     best = best.agg(as_map("label", F.col("best")).alias("representatives"))
     covered = coverage(rows, labelled.select("seg_key", "label"))
-    found = with_scalars(one, sequence_count(rows).withColumnRenamed("n", "n_sequences"))
+    found = with_scalars(one, (sequence_count(rows) if sequences is None else sequences).withColumnRenamed("n", "n_sequences"))
     return with_scalars(with_scalars(with_scalars(found, rates), best), covered.select(F.struct("*").alias("coverage")))

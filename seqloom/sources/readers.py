@@ -1,20 +1,31 @@
-"""Readers of text inputs. Line numbers are places in the file, kept through every shuffle."""
+"""Readers of text inputs. Lines are numbered through all files of an input, in the order of their paths."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import normalize_text
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
     """(line_no from 0, value), CRLF and LF alike; an empty last line is none.
 
-    A corpus file is read whole by one task, which its order needs; many files are read side by side.
+    keep: a condition on value; lines that don't meet it are left out and not counted. Large files are
+    read in splits: a line's number is its place in its split, after the lines of the splits before it,
+    which are counted in one row a split.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r?\n\z", "").alias("value"))
-    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    found = spark.read.text(path).select(F.regexp_replace("value", r"\r\z", "").alias("value"), *split, F.monotonically_increasing_id().alias("place"))
+    if keep is not None:
+        found = found.filter(keep)
+    own = W.partitionBy("file", "block").orderBy("place")
+    inside = found.select("file", "block", "value", (F.row_number().over(own) - 1).alias("inside"))
+    counts = found.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("file", "block", F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return inside.join(starts, ["file", "block"]).select((F.col("start") + F.col("inside")).alias("line_no"), "value")
 
 
 def integers(tokens: Column) -> Column:
@@ -64,6 +75,12 @@ def read_segmented(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select(F.col("line_no").cast("long").alias("seq_id"), parse_segments(F.col("value")).alias("segments"))
 
 
+def segment_rows(sequences: DataFrame) -> DataFrame:
+    """seq_id, seg_pos, n_segs, seg_key, tokens of (seq_id, segments)."""
+    each = sequences.select("seq_id", F.size("segments").cast("long").alias("n_segs"), F.posexplode("segments").alias("seg_pos", "tokens"))
+    return each.select("seq_id", "seg_pos", "n_segs", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("seg_key"), "tokens")
+
+
 def read_scalar_map(spark: SparkSession, path: str) -> DataFrame:
     """(sym, value) of lines ``symbol value``, by tab, comma, semicolon or blank; the last line of a symbol wins.
 
@@ -81,10 +98,9 @@ def read_scalar_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_phrases(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value): trimmed lines, blank ones left out and the others numbered anew."""
-    kept = lines(spark, path).select("line_no", F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("value")).filter("value <> ''")
-    together = kept.agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("all"))
-    return together.select(F.posexplode("all").alias("line_no", "row")).select("line_no", F.col("row.value").alias("value"))
+    """(line_no, value): trimmed lines, blank ones left out and the others numbered without them."""
+    trimmed = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
+    return lines(spark, path, trimmed != "").select("line_no", trimmed.alias("value"))
 
 
 def phrase_corpus(phrases: DataFrame) -> DataFrame:
@@ -111,3 +127,27 @@ SUMMARY_SCHEMA = f"n_segments bigint, n_sequences bigint, class_counts map<strin
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """A lexicon summary, one row."""
     return spark.read.schema(SUMMARY_SCHEMA).json(path, multiLine=True)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A comma file with a header, with line_no in the order of the input; its column names are trimmed."""
+    header = spark.read.option("header", True).csv(path).columns
+    rows = spark.read.option("header", True).csv(path).select("*", F.monotonically_increasing_id().alias("line_no"))
+    return rows.select(*[F.col(f"`{c}`").alias(c.strip("\u00a0 \ufeff")) for c in header], "line_no")
+
+
+def read_categories(spark: SparkSession, path: str) -> DataFrame:
+    """seg_key, label and posteriors of JSON files: one object each or a list of them, or of files of objects by line.
+
+    An object names its segment seg_key or seal_key and its class assigned_label or label; what is no
+    object, or names no segment, gives no row.
+    """
+    schema = T.StructType.fromDDL("seg_key string, seal_key string, label string, assigned_label string, post_commodity double, post_title double, post_proper_name double")
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    objects = lambda texts: F.transform(F.filter(texts, lambda x: F.trim(x).startswith("{")), lambda x: F.from_json(x, schema))
+    by_line, listed = objects(F.split("value", r"\r?\n")), objects(F.from_json("value", T.ArrayType(T.StringType())))
+    one = F.array(F.from_json("value", schema))
+    found = F.when(F.col("value").startswith("["), listed).when(F.col("value").rlike(r"(?s)\}\s*\n\s*\{"), by_line).when(F.col("value").startswith("{"), one)
+    rows = text.select(F.explode(found).alias("o")).select("o.*")
+    named = rows.select(F.coalesce("seg_key", "seal_key").alias("seg_key"), F.coalesce("assigned_label", "label").alias("label"), "post_commodity", "post_title", "post_proper_name")
+    return named.filter("seg_key IS NOT NULL")
