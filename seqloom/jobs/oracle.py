@@ -136,6 +136,11 @@ def _scale(c: str) -> str:
 _P = "t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE))))"
 _DOUBLES = ["start_prob", "end_prob", "avg_pos", "mean_len", "H_left", "H_right", "H_total", "coll_skew", "avg_pmi_left", "avg_pmi_right", "numeric_assoc", "burstiness", "idf"]
 
+#: The same of the first 30 orders of each corpus and first class.
+_REPRESENTATIVES = _CLASSES.replace("cl AS (", "cl0 AS (", 1).replace(
+    "lc AS (", "cl AS (SELECT corpus, seq_id, labels FROM (SELECT *, row_number() OVER (PARTITION BY corpus, labels[1] ORDER BY seq_id) AS k FROM cl0) WHERE k <= 30),\nlc AS (", 1
+)
+
 SQL = {
     "distribution_score": f"WITH {_CORPUS} SELECT sym, {_r('count(*) / CAST((SELECT count(*) FROM c) AS DOUBLE)')} AS score FROM c GROUP BY sym",
     "positional_entropy": f"WITH {_CORPUS}, {_ENTROPY} SELECT sym, {_r('entropy')} AS entropy FROM pe",
@@ -189,6 +194,12 @@ SELECT round(v_e.similarity, 4) AS entropy_similarity, round(v_c.similarity, 4)
        round(v_s.similarity, 4) AS svo_similarity, round(e1, 4) AS entropy_1, round(e2, 4) AS entropy_2,
        round(20 * (v_e.similarity + v_c.similarity + v_j.similarity + v_d.similarity + v_s.similarity), 2) AS overall_similarity_percent
 FROM v_e, v_c, v_j, v_d, v_s""",
+    "summary_comparison": f"""WITH a AS (WITH {_CLASSES} SELECT e1, e2, v_e.similarity AS e, v_j.similarity AS j FROM v_e, v_j),
+b AS (WITH {_REPRESENTATIVES} SELECT v_c.similarity AS c, v_d.similarity AS d, v_s.similarity AS s FROM v_c, v_d, v_s),
+n AS (WITH {_REPRESENTATIVES} SELECT CAST(sum(len(labels)) FILTER (corpus = 'F') AS BIGINT) AS n1, CAST(sum(len(labels)) FILTER (corpus = 'O') AS BIGINT) AS n2 FROM cl)
+SELECT round(e, 4) AS entropy_similarity, round(c, 4) AS order_similarity, round(j, 4) AS semantic_similarity, round(d, 4) AS structure_similarity, round(s, 4) AS svo_similarity,
+       round(e1, 4) AS entropy_1, round(e2, 4) AS entropy_2, round(20 * (e + c + j + d + s), 2) AS overall_similarity_percent, n1 AS n_labels_1, n2 AS n_labels_2
+FROM a, b, n""",
     "parse_sequences": r"""WITH b AS (SELECT event_id, regexp_replace(coalesce(props, ''), '^\s+|\s+$', '', 'g') AS v FROM events),
 i AS (SELECT event_id, CASE WHEN length(v) >= 2 AND (v[1] || v[length(v)] IN ('()', '[]', '{}')) THEN substring(v, 2, length(v) - 2) ELSE v END AS v FROM b),
 t AS (SELECT event_id, list_transform(string_split_regex(regexp_replace(v, '[;,|]+', ' ', 'g'), '\s+'), lambda x: regexp_extract(x, '(-?\d+)', 1)) AS t FROM i)

@@ -6,7 +6,7 @@ two line states, with the return flag of a line as its class. Target phrases are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
@@ -19,6 +19,8 @@ from . import oracle
 DIGITS = 6
 #: Bins of the association's histogram, and fits of the jackknife that leave a row out.
 BINS, ROUNDS = 60, 40
+#: Segments that stand for a class in a summary.
+REPRESENTATIVES = 30
 #: Fixed values of the comparison queries: the class of a return flag, and the two corpora.
 FLAG_CLASS = {"A": fx.TITLE, "N": fx.COMMODITY, "R": fx.NAME}
 ONE, TWO = "F", "O"
@@ -233,6 +235,20 @@ def overall_similarity(spark, sf):
     return compare.report(_label_counts(spark, sf), _structures(spark, sf), svo_patterns(spark, sf), ONE, TWO)
 
 
+def summary_comparison(spark, sf):
+    """The report of two lexicon summaries: class counts of all lines, and of each first class 30 orders as representatives."""
+    classes = _kept(_classes(spark, sf))
+    counts = classes.select("corpus", F.explode("labels").alias("label")).groupBy("corpus", "label").agg(F.count(F.lit(1)).alias("n"))
+    of = classes.withColumn("of", F.col("labels")[0])
+    place = F.row_number().over(Window.partitionBy("corpus", "of").orderBy("seq_id"))
+    best = of.withColumn("place", place).filter(F.col("place") <= REPRESENTATIVES)
+    listed = best.groupBy("corpus", "of").agg(F.collect_list(F.struct(F.col("of").alias("assigned_label"), F.col("labels").alias("label_sequence"))).alias("list"))
+    as_map = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key, value)))
+    summaries = counts.groupBy("corpus").agg(as_map("label", "n").alias("class_counts")).join(listed.groupBy("corpus").agg(as_map("of", "list").alias("representatives")), "corpus")
+    found = compare.summary_report(_kept(summaries), ONE, TWO)
+    return found.drop(*[f"{c}_{i}" for c in ("class_counts", "svo_patterns") for i in (1, 2)])
+
+
 # text
 
 
@@ -315,6 +331,16 @@ def decoded_sentences(spark, sf):
     return decode.decode(_segment_texts(spark, sf), _lexicon(spark, sf), _phrases(spark, sf))
 
 
+def decoded_by_class(spark, sf):
+    """seq_id, line, decoded, confidence_percent: scores of segments are weighed by the mixture's classes."""
+    rows = _segments(spark, sf)
+    matrix = _matrix_of(rows)
+    scaled = _kept(mixture.scaled_rows(matrix))
+    labelled = _kept(mixture.labelled(matrix, scaled, mixture.fit(matrix, scaled)[0]))
+    lines = _kept(boundary.segmented_lines(rows).select("seq_id", F.col("line").alias("text")))
+    return decode.decoded_records(lines, _lexicon(spark, sf), _phrases(spark, sf), labelled)
+
+
 def line_confidence(spark, sf):
     lines = boundary.segmented_lines(_segments(spark, sf)).select("seq_id", F.col("line").alias("text"))
     return decode.line_confidence(lines, _phrases(spark, sf))
@@ -386,10 +412,10 @@ def ensemble_boundary(spark, sf):
 _WITH_SQL = [
     distribution_score, positional_entropy, ngram_counts_uni, ngram_counts_bi, ngram_counts_tri, start_end_counts, npmi_bigram, npmi_trigram, score_lines, association_histogram, boundary_features, zscore_boundary, segmented_lines,
     segment_inventory, top_examples, segment_contexts, segment_entropy, segment_avg_pmi, segment_burstiness, segment_idf_skew, numeric_assoc, log_odds, g2_test, segment_features, seed_sets, seed_precision,
-    coverage, robust_scale, svo_patterns, class_entropy_similarity, label_cosine, jaccard_classes, dice_structure, svo_similarity, overall_similarity, parse_sequences, normalize_text, strip_diacritics,
+    coverage, robust_scale, svo_patterns, class_entropy_similarity, label_cosine, jaccard_classes, dice_structure, svo_similarity, overall_similarity, summary_comparison, parse_sequences, normalize_text, strip_diacritics,
     corpus_dedup, length_bucket_join, lexicon_lookup, linguistic_weight, structure_and_length,
 ]
-_WITHOUT_SQL = [structure_and_length_pairs, fuzzy_topk, decoded_words, lexicon_categories, lexicon_summary, decoded_sentences, line_confidence, em_mixture, representatives, jackknife_stability, bayes_gmm_detector, dbscan_detector, ensemble_boundary]
+_WITHOUT_SQL = [structure_and_length_pairs, fuzzy_topk, decoded_words, lexicon_categories, lexicon_summary, decoded_sentences, decoded_by_class, line_confidence, em_mixture, representatives, jackknife_stability, bayes_gmm_detector, dbscan_detector, ensemble_boundary]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
