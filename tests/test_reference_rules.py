@@ -334,3 +334,17 @@ def test_decoded_words_are_best_first(spark):
     best = spark.createDataFrame([("a", 2, "y", 0.1), ("a", 1, "x", 0.2), ("b", 1, "z", 0.3)], "text string, place int, word string, score double")
     found = {r.text: [c.word for c in r.top_candidates] for r in writers.decoded_words(best).collect()}
     assert found == {"a": ["x", "y"], "b": ["z"]}
+
+
+def test_all_noise_falls_back_to_the_score_itself(spark):
+    """No cluster: p is 1 - z, cut to 0 and 1, not the normal tail of z."""
+    f0 = [0.4, 0.1, 0.2, 0.9, 0.3, 0.15]
+    rows = [(i, 1, v, *[float(k == i) for k in range(12)]) for i, v in enumerate(f0)]
+    candidates = spark.createDataFrame(rows, "seq_id long, pos int, " + ", ".join(f"f{k} double" for k in range(13)))
+    p, reliability = detectors.density_detector(candidates)
+    z = (np.array(f0) - np.mean(f0)) / (np.std(f0) + 1e-12)
+    assert [r.p for r in p.orderBy("seq_id").collect()] == pytest.approx(np.clip(1 - z, 0, 1).tolist(), abs=1e-9)
+    assert reliability.first().reliability == 0.2
+    flat = candidates.withColumn("f0", F.lit(0.5))
+    p, reliability = detectors.density_detector(flat)
+    assert {r.p for r in p.collect()} == {0.5} and reliability.first().reliability == 0.1
