@@ -292,7 +292,7 @@ def test_learned_detectors_give_probabilities(spark):
     rng = np.random.default_rng(1)
     c = corpus(spark, [rng.integers(0, 6, 7).tolist() for _ in range(60)])
     f = boundary.features(c).cache()
-    for p, rel in (detectors.gmm_detector(f, components=3), detectors.density_detector(f)):
+    for p, rel in (detectors.gmm_detector(f, components=3, rounds=30), detectors.density_detector(f)):
         low, high, n = p.agg(F.min("p"), F.max("p"), F.count(F.lit(1))).first()
         assert 0 <= low <= high <= 1 and n == f.count() and 0 <= rel.first().reliability <= 1
 
