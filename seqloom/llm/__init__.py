@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, language_id, mixing, near_dedup, pii, topk, url_filter, warc_revisit
+from . import bpe, chat, exact_dedup, fill_in_middle, language_id, line_dedup, mixing, near_dedup, pii, topk, url_filter, warc_revisit, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_warc_revisits": warc_revisit.op8,
         "op9_mixing": mixing.op9,
         "op10_exact_dedup": exact_dedup.op10,
+        "op11_fill_in_middle": fill_in_middle.op11,
+        "op12_whitening": whitening.op12,
+        "op13_line_dedup": line_dedup.op13,
     }
 
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc_revisits": warc_revisit.OP8_SQL,
         "op9_mixing": mixing.OP9_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
+        "op11_fill_in_middle": fill_in_middle.OP11_SQL,
+        "op13_line_dedup": line_dedup.OP13_SQL,
     }
