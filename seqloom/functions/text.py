@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .matching import SecondText
+
 TITLE, COMMODITY, NAME, UNKNOWN = "title", "commodity", "proper_name", "unknown"
 
 # Weights (length, structure, semantics, class) of a segment's class, the suffixes that
@@ -101,16 +102,15 @@ def text_similarities(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     Not symmetric; no Spark function equals it. To be called on distinct pairs. The index of a second text is
     made once for all first texts that meet it, and texts without marks are compared once.
     """
-    indexed: dict[str, SequenceMatcher] = {}
+    indexed: dict[str, SecondText] = {}
 
     def ratio(x: str, y: str) -> float:
         m = indexed.get(y)
         if m is None:
             if len(indexed) >= _INDEXED:
                 indexed.clear()
-            m = indexed[y] = SequenceMatcher(None, "", y)
-        m.set_seq1(x)
-        return m.ratio()
+            m = indexed[y] = SecondText(y)
+        return m.ratio(x)
 
     plain = {x: without_marks(x) for x in {*a.dropna(), *b.dropna()}}
     rows = []

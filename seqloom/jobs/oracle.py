@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.text import CLASS_SUFFIXES
+
 
 def _r(x: str, digits: int = 6) -> str:
     return f"round({x}, {digits}) + CAST(0 AS DOUBLE)"
@@ -107,11 +109,10 @@ qp AS (SELECT qb.text, pb.word, pb.cand_id, pb.bucket FROM qb JOIN pb ON pb.buck
        UNION ALL SELECT qb.text, pb.word, pb.cand_id, pb.bucket FROM qb, pb
        WHERE NOT EXISTS (SELECT 1 FROM pb p2 WHERE p2.bucket BETWEEN greatest(1, qb.bucket - 2) AND qb.bucket + 2))"""
 _WORDS = "wd AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)"
-_ENDS = {"title": ["ar", "karar", "nāyakan", "mudaliar", "rājan"], "proper_name": ["vel", "an", "al"], "commodity": ["am", "vu", "mai"]}
 
 
 def _suffixes() -> str:
-    return " * ".join(f"CASE WHEN label = '{label}' AND ends_with(w, '{x}') THEN CAST(1.1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END" for label, ends in _ENDS.items() for x in ends)
+    return " * ".join(f"CASE WHEN label = '{label}' AND ends_with(w, '{x}') THEN CAST(1.1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END" for label, ends in CLASS_SUFFIXES.items() for x in ends)
 
 
 def _similar(a: str, b: str) -> str:
@@ -212,7 +213,10 @@ SELECT event_id, array_to_string(list_transform(list_filter(t, lambda x: x <> ''
 SELECT qt.text, words FROM qt LEFT JOIN lx ON lx.key = qt.text AND words <> ''""",
     "linguistic_weight": f"""WITH {_WORDS}, wl AS (SELECT word, unnest(['title', 'proper_name', 'commodity']) AS label, {_norm("word")} AS w FROM wd)
 SELECT word, label, {_r(f"greatest(0.75::DOUBLE, least(1.25::DOUBLE, {_suffixes()} * CASE WHEN length(w) <= 2 THEN 0.9::DOUBLE ELSE 1::DOUBLE END))")} AS weight FROM wl""",
-    "structure_and_length": f"""WITH {_QUERIES}, o AS (SELECT text, bucket, arg_min(word, cand_id) AS word FROM qp GROUP BY text, bucket),
-d AS (SELECT *, length(text) AS a, length(word) AS b, greatest(1, length(word) // 3) AS k FROM o)
-SELECT text, bucket, word, {_r(_similar("a", "b"))} AS length_similarity, {_r(_similar("1", "k"))} AS structure_similarity FROM d""",
+    "structure_and_length_pairs": f"""WITH {_QUERIES},
+d AS (SELECT text, bucket, {_similar("length(text)", "length(word)")} AS e, {_similar("1", "greatest(1, length(word) // 3)")} AS s FROM qp)
+SELECT text, bucket, count(*) AS n_pairs, {_r("sum(e)")} AS length_sum, {_r("max(e)")} AS length_most, {_r("sum(s)")} AS structure_sum, {_r("max(s)")} AS structure_most FROM d GROUP BY text, bucket""",
+    "summary_maps": f"""WITH a AS (WITH {_CLASSES} SELECT corpus, label, n FROM lc), b AS (WITH {_REPRESENTATIVES} SELECT corpus, pattern, count(*) AS n FROM sp GROUP BY corpus, pattern)
+SELECT CASE corpus WHEN 'F' THEN 1 ELSE 2 END AS side, 'class_counts' AS map, label AS key, CAST(n AS BIGINT) AS n FROM a
+UNION ALL SELECT CASE corpus WHEN 'F' THEN 1 ELSE 2 END, 'svo_patterns', pattern, CAST(n AS BIGINT) FROM b""",
 }

@@ -91,8 +91,12 @@ def npmi_trigram(spark, sf):
     return _npmi(spark, sf, 3)
 
 
+def _candidates(spark, sf):
+    return boundary.features(_kept(order_lines(spark, sf)))
+
+
 def boundary_features(spark, sf):
-    return _rounded(boundary.features(order_lines(spark, sf)), *boundary.FEATURES)
+    return _rounded(_candidates(spark, sf), *boundary.FEATURES)
 
 
 def score_lines(spark, sf):
@@ -199,16 +203,22 @@ def _classes(spark, sf):
     return rows.agg(F.transform(F.array_sort(F.collect_list(place)), lambda p: p["label"]).alias("labels"))
 
 
-def _label_counts(spark, sf):
-    return _classes(spark, sf).select("corpus", F.explode("labels").alias("label")).groupBy("corpus", "label").agg(F.count(F.lit(1)).alias("n"))
+def _label_counts(spark, sf, classes=None):
+    classes = _classes(spark, sf) if classes is None else classes
+    return classes.select("corpus", F.explode("labels").alias("label")).groupBy("corpus", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _structures(spark, sf, classes=None):
+    classes = _classes(spark, sf) if classes is None else classes
+    return classes.select("corpus", F.array_join("labels", ",").alias("pattern")).groupBy("corpus", "pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _structures(spark, sf):
-    return _classes(spark, sf).select("corpus", F.array_join("labels", ",").alias("pattern")).groupBy("corpus", "pattern").agg(F.count(F.lit(1)).alias("n"))
+def _patterns(classes):
+    return classes.select("corpus", fx.svo_pattern(F.col("labels")).alias("pattern")).groupBy("corpus", "pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
 def svo_patterns(spark, sf):
-    return _classes(spark, sf).select("corpus", fx.svo_pattern(F.col("labels")).alias("pattern")).groupBy("corpus", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    return _patterns(_classes(spark, sf))
 
 
 def class_entropy_similarity(spark, sf):
@@ -232,21 +242,32 @@ def svo_similarity(spark, sf):
 
 
 def overall_similarity(spark, sf):
-    return compare.report(_label_counts(spark, sf), _structures(spark, sf), svo_patterns(spark, sf), ONE, TWO)
+    classes = _kept(_classes(spark, sf))
+    return compare.report(_label_counts(spark, sf, classes), _structures(spark, sf, classes), _patterns(classes), ONE, TWO)
 
 
-def summary_comparison(spark, sf):
+def _summary_report(spark, sf):
     """The report of two lexicon summaries: class counts of all lines, and of each first class 30 orders as representatives."""
     classes = _kept(_classes(spark, sf))
-    counts = classes.select("corpus", F.explode("labels").alias("label")).groupBy("corpus", "label").agg(F.count(F.lit(1)).alias("n"))
     of = classes.withColumn("of", F.col("labels")[0])
     place = F.row_number().over(Window.partitionBy("corpus", "of").orderBy("seq_id"))
     best = of.withColumn("place", place).filter(F.col("place") <= REPRESENTATIVES)
     listed = best.groupBy("corpus", "of").agg(F.collect_list(F.struct(F.col("of").alias("assigned_label"), F.col("labels").alias("label_sequence"))).alias("list"))
     as_map = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key, value)))
-    summaries = counts.groupBy("corpus").agg(as_map("label", "n").alias("class_counts")).join(listed.groupBy("corpus").agg(as_map("of", "list").alias("representatives")), "corpus")
-    found = compare.summary_report(_kept(summaries), ONE, TWO)
-    return found.drop(*[f"{c}_{i}" for c in ("class_counts", "svo_patterns") for i in (1, 2)])
+    counts = _label_counts(spark, sf, classes).groupBy("corpus").agg(as_map("label", "n").alias("class_counts"))
+    summaries = counts.join(listed.groupBy("corpus").agg(as_map("of", "list").alias("representatives")), "corpus")
+    return compare.summary_report(_kept(summaries), ONE, TWO)
+
+
+def summary_comparison(spark, sf):
+    return _summary_report(spark, sf).drop(*[f"{c}_{i}" for c in ("class_counts", "svo_patterns") for i in (1, 2)])
+
+
+def summary_maps(spark, sf):
+    """The maps of the report, a row per entry: class counts and role patterns of both summaries."""
+    maps = [(i, c) for i in (1, 2) for c in ("class_counts", "svo_patterns")]
+    entries = F.concat(*[F.transform(F.map_entries(f"{c}_{i}"), lambda e, i=i, c=c: F.struct(F.lit(i).alias("side"), F.lit(c).alias("map"), e["key"].alias("key"), e["value"].alias("n"))) for i, c in maps])
+    return _summary_report(spark, sf).select(F.explode(entries).alias("e")).select("e.side", "e.map", "e.key", "e.n")
 
 
 # text
@@ -283,8 +304,7 @@ def _queries(spark, sf):
 
 
 def length_bucket_join(spark, sf):
-    pairs = decode.candidate_pairs(_queries(spark, sf), _phrases(spark, sf))
-    return pairs.groupBy("text").agg(F.count(F.lit(1)).alias("n_candidates"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
+    return decode.candidate_counts(_queries(spark, sf), _phrases(spark, sf))
 
 
 def _lexicon(spark, sf):
@@ -301,14 +321,6 @@ def linguistic_weight(spark, sf):
     return _rounded(words.select("word", classes.alias("label")).withColumn("weight", fx.linguistic_weight(F.col("word"), F.col("label"))), "weight")
 
 
-def structure_and_length(spark, sf):
-    """Length and structure similarity of each segment with the first phrase of each length bucket."""
-    pairs = decode.candidate_pairs(_queries(spark, sf), _phrases(spark, sf)).filter("cand_id IS NOT NULL")
-    one = pairs.groupBy("text", "bucket").agg(F.min_by("word", "cand_id").alias("word"))
-    e = fx.entropy_similarity(F.length("text"), F.length("word")).alias("length_similarity")
-    return _rounded(one.select("text", "bucket", "word", e, fx.structure_similarity(F.col("text"), F.col("word")).alias("structure_similarity")), "length_similarity", "structure_similarity")
-
-
 def structure_and_length_pairs(spark, sf):
     """Length and structure similarity of each segment with all phrases of each length bucket: number, sum and most.
 
@@ -392,15 +404,15 @@ def decoded_words(spark, sf):
 
 
 def bayes_gmm_detector(spark, sf):
-    return detectors.gmm_detector(_kept(boundary.features(order_lines(spark, sf))))[0]
+    return detectors.gmm_detector(_kept(_candidates(spark, sf)))[0]
 
 
 def dbscan_detector(spark, sf):
-    return detectors.density_detector(_kept(boundary.features(order_lines(spark, sf))))[0]
+    return detectors.density_detector(_kept(_candidates(spark, sf)))[0]
 
 
 def ensemble_boundary(spark, sf):
-    corpus = order_lines(spark, sf)
+    corpus = _kept(order_lines(spark, sf))
     candidates = _kept(boundary.features(corpus))
     p = boundary.ensemble({
         "mixture": detectors.gmm_detector(candidates), "density": detectors.density_detector(candidates),
@@ -412,10 +424,10 @@ def ensemble_boundary(spark, sf):
 _WITH_SQL = [
     distribution_score, positional_entropy, ngram_counts_uni, ngram_counts_bi, ngram_counts_tri, start_end_counts, npmi_bigram, npmi_trigram, score_lines, association_histogram, boundary_features, zscore_boundary, segmented_lines,
     segment_inventory, top_examples, segment_contexts, segment_entropy, segment_avg_pmi, segment_burstiness, segment_idf_skew, numeric_assoc, log_odds, g2_test, segment_features, seed_sets, seed_precision,
-    coverage, robust_scale, svo_patterns, class_entropy_similarity, label_cosine, jaccard_classes, dice_structure, svo_similarity, overall_similarity, summary_comparison, parse_sequences, normalize_text, strip_diacritics,
-    corpus_dedup, length_bucket_join, lexicon_lookup, linguistic_weight, structure_and_length,
+    coverage, robust_scale, svo_patterns, class_entropy_similarity, label_cosine, jaccard_classes, dice_structure, svo_similarity, overall_similarity, summary_comparison, summary_maps, parse_sequences, normalize_text, strip_diacritics,
+    corpus_dedup, length_bucket_join, lexicon_lookup, linguistic_weight, structure_and_length_pairs,
 ]
-_WITHOUT_SQL = [structure_and_length_pairs, fuzzy_topk, decoded_words, lexicon_categories, lexicon_summary, decoded_sentences, decoded_by_class, line_confidence, em_mixture, representatives, jackknife_stability, bayes_gmm_detector, dbscan_detector, ensemble_boundary]
+_WITHOUT_SQL = [fuzzy_topk, decoded_words, lexicon_categories, lexicon_summary, decoded_sentences, decoded_by_class, line_confidence, em_mixture, representatives, jackknife_stability, bayes_gmm_detector, dbscan_detector, ensemble_boundary]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

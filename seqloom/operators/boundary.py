@@ -94,8 +94,10 @@ def ensemble(detectors: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """seq_id, pos, p: the mean of detectors' p, weighted by their reliabilities (equally if all are 0).
 
     detectors: name -> ((seq_id, pos, p), one row of reliability). One aggregation over the union, in
-    place of a join per detector.
+    place of a join per detector. Detectors without rows say nothing; there has to be one at least.
     """
+    if not detectors:
+        raise ValueError("an ensemble needs a detector")
     every = None
     for p, rel in detectors.values():
         own = with_scalars(p.select("seq_id", "pos", "p"), rel.select(F.greatest(F.lit(0.0), "reliability").alias("w")))

@@ -3,28 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import UNKNOWN, bucket_of, class_weight, entropy_similarity, linguistic_weight, normalize_text, sentence, structure_similarity, text_similarities
+from ..functions.text import UNKNOWN, bucket_of, class_weight, entropy_similarity, linguistic_weight, normalize_text, sentence, structure_similarity
+from ..storage import settled
+from . import fuzzy
 
 TOP, REACH = 3, 2
 
 
-def candidate_pairs(queries: DataFrame, candidates: DataFrame, reach: int = REACH) -> DataFrame:
-    """queries (text, ...) with each candidate (cand_id, text) whose length bucket is within ``reach``.
+def with_buckets(queries: DataFrame, candidates: DataFrame, reach: int = REACH) -> DataFrame:
+    """queries (text, ...) once for each length bucket of candidates (bucket, ...) that they are compared with: those within
+    ``reach`` of their own, or all where there is none, as for a text far longer than all candidates.
 
-    A band join, as an equi-join on the few buckets of each query. Queries without any such candidate, those
-    far longer than all of them, take all, as the rule has it: so many comparisons as texts times candidates.
+    The driver holds the buckets that occur, at most about the root of the candidates' characters.
     """
-    q = queries.withColumn("_bucket", bucket_of(F.col("text")))
-    near = q.withColumn("bucket", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_bucket") - reach), F.col("_bucket") + reach)))
-    c = candidates.select("cand_id", F.col("text").alias("word"), bucket_of(F.col("text")).alias("bucket"))
-    pairs = near.join(c, "bucket").drop("_bucket")
-    known = c.select("bucket").distinct()
-    none = near.join(known, "bucket", "left_semi").select("text").distinct()
-    alone = q.join(none, "text", "left_anti").drop("_bucket")
-    return pairs.unionByName(alone.crossJoin(c).select(*pairs.columns))
+    known = F.array(*[F.lit(r["bucket"]) for r in candidates.select("bucket").distinct().orderBy("bucket").collect()]).cast("array<int>")
+    own = bucket_of(F.col("text"))
+    near = F.filter(known, lambda b: (b >= F.greatest(F.lit(1), own - reach)) & (b <= own + reach))
+    return queries.withColumn("bucket", F.explode(F.when(F.size(near) > 0, near).otherwise(known)))
+
+
+def candidate_pairs(queries: DataFrame, candidates: DataFrame, reach: int = REACH) -> DataFrame:
+    """queries (text, ...) with each candidate (cand_id, text) that they are compared with: an equi-join on buckets."""
+    c = candidates.filter("text IS NOT NULL").select("cand_id", F.col("text").alias("word"), bucket_of(F.col("text")).alias("bucket"))
+    return with_buckets(queries, c, reach).join(c, "bucket")
+
+
+def candidate_counts(queries: DataFrame, candidates: DataFrame, reach: int = REACH) -> DataFrame:
+    """text, n_candidates, first_word, last_word of what queries (text) are compared with, from counts of each bucket."""
+    c = candidates.filter("text IS NOT NULL").groupBy(bucket_of(F.col("text")).alias("bucket"))
+    c = c.agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("low"), F.max("text").alias("high"))
+    met = with_buckets(queries.select("text").distinct(), c, reach).join(c, "bucket")
+    return met.groupBy("text").agg(F.sum("n").alias("n_candidates"), F.min("low").alias("first_word"), F.max("high").alias("last_word"))
 
 
 def final_score(segment: Column, word: Column, label: Column, probability: Column, phonetic: Column, literal: Column) -> Column:
@@ -36,16 +47,9 @@ def final_score(segment: Column, word: Column, label: Column, probability: Colum
 
 
 def fuzzy_top(queries: DataFrame, candidates: DataFrame, k: int = TOP, reach: int = REACH) -> DataFrame:
-    """text, place, word, score: the k best candidates of each distinct query (text, label, probability).
-
-    Texts are compared once per distinct pair. Ties keep the order of buckets, then of candidates.
-    """
-    pairs = candidate_pairs(queries.select("text", "label", "probability").distinct(), candidates, reach)
-    scored = pairs.withColumn("s", text_similarities("text", "word")).select("*", "s.literal", "s.phonetic")
-    score = F.round(final_score(F.col("text"), F.col("word"), F.col("label"), F.col("probability"), F.col("phonetic"), F.col("literal")), 4)
-    scored = scored.withColumn("score", score)
-    place = F.row_number().over(W.partitionBy("text", "label", "probability").orderBy(F.col("score").desc(), "bucket", "cand_id"))
-    return scored.withColumn("place", place).filter(F.col("place") <= k).select("text", "label", "probability", "place", "word", "score")
+    """text, label, probability, place, word, score: the k best candidates of each distinct query (text, label,
+    probability). Ties keep the order of buckets, then of candidates."""
+    return settled(queries.sparkSession, "fuzzy", lambda: fuzzy.fuzzy_top(queries, candidates, k, reach))
 
 
 def lexicon_lookup(segments: DataFrame, lexicon: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ for other machines would not see the files.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
 import uuid
@@ -24,7 +25,7 @@ _PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.m
 def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is unset: steps need a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
         root = spark.sparkContext.getCheckpointDir()
@@ -62,6 +63,11 @@ def settled(spark: SparkSession, purpose: str, make: Callable[[], DataFrame]) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def removed(spark: SparkSession, paths: list[str]) -> None:
     """Deletes folders that were made here."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

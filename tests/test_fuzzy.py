@@ -1,0 +1,94 @@
+"""Fuzzy matching by bounds against all comparisons, and the ratio of longest blocks against the definition."""
+
+import random
+from difflib import SequenceMatcher
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from seqloom.functions.matching import SecondText
+from seqloom.functions.text import text_similarities
+from seqloom.operators import decode, fuzzy
+
+
+def some_text(rnd, longest=25):
+    alphabet = rnd.choice(["ab", "abc ", "0123 ", "abcdefgh 012", "aாணஂ "])
+    return "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, longest)))
+
+
+def test_ratio_equals_the_definition():
+    rnd = random.Random(1)
+    for turn in range(1_500):
+        second = some_text(rnd)
+        if turn % 10 == 0:  # long texts, in which frequent characters begin no block
+            second = "".join(rnd.choice("ab " + "".join(chr(200 + i) for i in range(rnd.choice([5, 150])))) for _ in range(rnd.choice([199, 200, 201, 320])))
+        known = SecondText(second)
+        for _ in range(3):
+            first = list(rnd.choice([some_text(rnd), second[rnd.randint(0, len(second)) :], second + second]))
+            for _ in range(rnd.randint(0, 3)):
+                if first:
+                    first[rnd.randrange(len(first))] = rnd.choice("ab 0")
+            assert known.ratio("".join(first)) == SequenceMatcher(None, "".join(first), second).ratio()
+
+
+def by_all_comparisons(queries, candidates, k, reach):
+    own = fuzzy.bucket_of(F.col("text"))
+    c = candidates.select("cand_id", F.col("text").alias("word"), own.alias("bucket"))
+    q = queries.distinct().withColumn("own", own)
+    near = q.crossJoin(c).withColumn("close", (F.col("bucket") >= F.greatest(F.lit(1), F.col("own") - reach)) & (F.col("bucket") <= F.col("own") + reach))
+    key = W.partitionBy("text", "label", "probability")
+    pairs = near.withColumn("any", F.max("close").over(key)).filter("close OR NOT any").withColumn("s", text_similarities("text", "word"))
+    score = F.round(decode.final_score(F.col("text"), F.col("word"), F.col("label"), F.col("probability"), F.col("s.phonetic"), F.col("s.literal")), 4)
+    place = F.row_number().over(key.orderBy(F.col("score").desc(), "bucket", "cand_id"))
+    return pairs.withColumn("score", score).withColumn("place", place).filter(F.col("place") <= k).select("text", "label", "probability", "place", "word", "score")
+
+
+def tables(spark, seed):
+    rnd = random.Random(seed)
+    words = [*{some_text(rnd, 30) for _ in range(160)}, "velan", "malai", "நாயகன்", "nāyakan", "x" * 80, "y " * 45]
+    rows = [(some_text(rnd, 30), rnd.choice(["title", "commodity", "proper_name", "unknown", None]), rnd.choice([0.0, 0.5, 0.9, None])) for _ in range(150)]
+    rows += [("long " * 60 + str(i), "unknown", 0.5) for i in range(5)] + [("1, 2 | 3, 4", "unknown", 0.5), ("", "title", 0.2), (rows[0][0], rows[0][1], rows[0][2])]
+    rows += [("a" * 130, "title", 0.1), ("நாயகன்", "title", 0.7)]
+    queries = spark.createDataFrame(rows, "text string, label string, probability double")
+    order = rnd.sample(range(1_000), len(words))
+    return queries, spark.createDataFrame(list(zip(order, words, strict=True)), "cand_id long, text string")
+
+
+@pytest.mark.parametrize(("seed", "k", "reach", "limits"), [(1, 3, 2, {}), (2, 2, 0, {"TEXTS": 16, "PHRASES": 7, "PAIRS_PER_TASK": 2}), (3, 5, 1, {"SENT_BYTES": 0, "SPREAD": 3, "TEXTS": 8})])
+def test_best_phrases_equal_all_comparisons(spark, monkeypatch, seed, k, reach, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(fuzzy, name, value)
+    queries, candidates = tables(spark, seed)
+    found = decode.fuzzy_top(queries, candidates, k, reach)
+    assert sorted(map(str, found.collect())) == sorted(map(str, by_all_comparisons(queries, candidates, k, reach).collect()))
+
+
+def test_no_phrases_or_texts(spark):
+    queries, candidates = tables(spark, 4)
+    for found in (decode.fuzzy_top(queries, candidates.limit(0)), decode.fuzzy_top(queries.limit(0), candidates)):
+        assert found.columns == ["text", "label", "probability", "place", "word", "score"] and found.count() == 0
+    assert decode.candidate_pairs(queries, candidates.limit(0)).count() == 0
+
+
+def test_few_phrases_are_compared():
+    rnd = random.Random(5)
+    text = lambda alphabet: "".join(rnd.choice(alphabet) for _ in range(rnd.randint(8, 20)))
+    texts, phrases = [text("0123456789 ") for _ in range(80)], [text("abcdefghij ") for _ in range(500)]
+    numbers = {"length": 1.0, "parts": 1, "of_class": 3, "p": 0.5, "w0": 0.3, "w1": 0.25, "w2": 0.25, "w3": 0.2}
+    q = pa.StructArray.from_arrays([pa.array(texts), *[pa.array([len(t) if n == "length" else v for t in texts]) for n, v in numbers.items()]], ["text", *numbers])
+    held = {"cand_id": list(range(500)), "length": [len(t) for t in phrases], "parts": [max(1, len(t) // 3) for t in phrases], **{f"lw{i}": [1.0] * 500 for i in range(4)}}
+    c = pa.StructArray.from_arrays([pa.array(phrases), *[pa.array(v) for v in held.values()]], ["word", *held])
+    rows = list(fuzzy.best_of_block(fuzzy.Texts(q, ["text", *numbers], "text"), fuzzy.Texts(c, ["word", *held], "word"), 3, SecondText))
+    assert len(rows) == 240 and rows[-1][3] < 0.05 * 80 * 500
+
+
+def test_bounds_hold():
+    rnd = random.Random(6)
+    a, b = [some_text(rnd) for _ in range(60)], [some_text(rnd) for _ in range(60)]
+    most = fuzzy.most_matching(fuzzy.counts_of(a), fuzzy.counts_of(b))
+    exact = np.array([[SecondText(y).matching(x) for y in b] for x in a])
+    assert (most >= exact).all() and most.sum() < 2 * exact.sum()
+    assert [fuzzy.rounded(x) for x in (0.12345, 0.123449999, 0.00005, 1.0)] == [1235, 1234, 1, 10_000]

@@ -257,14 +257,14 @@ def test_density_clusters():
     assert detectors.density_clusters(x, 0.35, 4).tolist() == [0, 0, 0, 0, 1, 1, 1, 1, -1]
 
 
-@pytest.mark.parametrize(("eps", "local"), [(0.5, 40), (0.25, 2_000), (0.02, 40), (1.1, 100)])
-def test_clusters_of_all_rows_equal_the_definition(spark, eps, local):
+@pytest.mark.parametrize(("eps", "local", "cell"), [(0.5, 40, 10), (0.25, 2_000, 2_000), (0.02, 40, 25), (1.1, 100, 50)])
+def test_clusters_of_all_rows_equal_the_definition(spark, eps, local, cell):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(c, 0.2, (k, 3)) for c, k in ((0, 150), (1.2, 90), (3, 8), (-4, 5))] + [rng.uniform(-5, 5, (60, 3)), np.repeat([[8.0, 8, 8]], 5, 0), [[9.0, 9, 9]]])
     x = np.round(x, 1)[rng.permutation(len(x))]
     rows = spark.createDataFrame([(int(i // 4), int(i % 4), 0.0, v.tolist()) for i, v in enumerate(x)], "seq_id long, pos int, f0 double, x array<double>")
     points = density.points(rows).cache()
-    of = dict(density.clusters(points, x[:50], eps, 4, local=local).collect())
+    of = dict(density.clusters(points, x[:50], eps, 4, local=local, cell=cell).collect())
     found = {r.id: (tuple(r.x), r.n, of[r.id]) for r in points.collect()}
     first = {v: i for i, v in reversed(list(enumerate(map(tuple, x.tolist()))))}
     assert [found[i][0] for i in sorted(found)] == sorted(first, key=first.get) and sum(n for _, n, _ in found.values()) == len(x)
@@ -273,6 +273,22 @@ def test_clusters_of_all_rows_equal_the_definition(spark, eps, local):
     assert [own[v] for v in map(tuple, x.tolist())] == detectors.density_clusters(x, eps, 4).tolist()
 
 
+@pytest.mark.parametrize("block", [4, 7, 1_000])
+def test_nearest_centers_by_blocks(spark, block):
+    rng = np.random.default_rng(8)
+    centers = np.round(rng.normal(size=(30, 3)), 1)
+    centers[20:25] = centers[3]  # equal distances: the least cluster
+    x = np.concatenate([np.round(rng.normal(size=(40, 3)), 1), centers[:5]])
+    rows = spark.createDataFrame([(i, v.tolist(), 2) for i, v in enumerate(x)], "id long, x array<double>, n long").repartition(3)
+    frame = spark.createDataFrame([(100 + 3 * i, v.tolist(), i / 30) for i, v in enumerate(centers)], "cluster long, center array<double>, w double")
+    found = {r.id: r for r in density.nearest(rows, frame, block).collect()}
+    far = np.sqrt(((x[:, None] - centers[None]) ** 2).sum(2))
+    assert len(found) == len(x) and density.nearest(rows.limit(0), frame, block).count() == 0
+    for i, d in enumerate(far):
+        best = min(range(30), key=lambda k, d=d: (d[k], k))
+        assert (found[i].cluster, found[i].w, found[i].n) == (100 + 3 * best, best / 30, 2) and found[i].d == pytest.approx(d[best])
+
+
 def test_density_detector_scores_rare_clusters_by_their_own_center(spark):
     rng = np.random.default_rng(6)
     f = np.concatenate([rng.normal(0, 0.1, (3_000, 13)), rng.normal(2, 0.1, (3_000, 13)), rng.normal(7, 0.01, (5, 13))])
@@ -345,6 +361,10 @@ def test_all_noise_falls_back_to_the_score_itself(spark):
     z = (np.array(f0) - np.mean(f0)) / (np.std(f0) + 1e-12)
     assert [r.p for r in p.orderBy("seq_id").collect()] == pytest.approx(np.clip(1 - z, 0, 1).tolist(), abs=1e-9)
     assert reliability.first().reliability == 0.2
+    same, reliability = detectors.density_detector(candidates.limit(1).union(candidates.limit(1)))  # no distance at all
+    assert [r.p for r in same.collect()] == [0.5, 0.5] and reliability.first().reliability == 0.1
+    none, reliability = detectors.density_detector(candidates.limit(0))
+    assert none.count() == 0 and reliability.first().reliability == 0.0
     flat = candidates.withColumn("f0", F.lit(0.5))
     p, reliability = detectors.density_detector(flat)
     assert {r.p for r in p.collect()} == {0.5} and reliability.first().reliability == 0.1
