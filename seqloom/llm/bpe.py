@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import free_names, table
 
 #: Places of a piece after which tokens are emitted where they are certain.
 EMIT_EVERY = 256
@@ -319,22 +319,23 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
 
 def with_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text", tokens_col: str = "tokens", remembered: int = REMEMBERED) -> DataFrame:
-    """docs with a column of token ids (array<int>)."""
+    """docs with a column of token ids (array<int>); an own column of that name gets underscores before its name."""
     vocabulary = _broadcast(docs.sparkSession, path)
+    own = next((c for c in docs.columns if c.lower() == tokens_col.lower()), None)
+    kept = docs if own is None else docs.withColumnRenamed(own, *free_names(docs, own))
+    (held,) = free_names(kept, "bpe_text")
 
     def run(batches):
         encoder = Encoder(vocabulary.value, pattern, remembered)
         for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
-            lists = [np.frombuffer(encoder.encode(x.as_py()), "<i4") for x in batch.column(batch.schema.names.index("__bpe_text"))]
+            lists = [np.frombuffer(encoder.encode(x.as_py()), "<i4") for x in batch.column(batch.num_columns - 1)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             values = np.concatenate(lists) if lists else np.zeros(0, np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            names = [x for x in batch.schema.names if x != "__bpe_text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(x)) for x in names], tokens], [*names, tokens_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], [*batch.schema.names[:-1], tokens_col])
 
-    kept = docs.drop(tokens_col)
     schema = T.StructType([*kept.schema.fields, T.StructField(tokens_col, T.ArrayType(T.IntegerType()))])
-    return kept.withColumn("__bpe_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return kept.withColumn(held, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def decoded(frame: DataFrame, path: str, tokens_col: str = "tokens", text_col: str = "decoded") -> DataFrame:

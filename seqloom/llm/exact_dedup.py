@@ -11,7 +11,7 @@ per task of each text that has copies, since the grouping combines before it shu
 
 The state outlives a call where it is given a folder (``state_dir``): rows that come later meet what came
 before, and the rows that stay are decided over both. The rows of earlier calls are then given too, as the
-content that locators point to.
+content that locators point to. What a call brings has a name, and the state takes each name once.
 
 Defined cases: a null text counts as the empty text; an empty table gives an empty result; rows
 that repeat both id and text are copies of each other and one of them stays (the last by locator);
@@ -26,7 +26,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, settled, shared_dir, stored, table
+from ..storage import exists
+from .common import free_names, has_rows_of_files, of_files, settled, shared_dir, stored, table
 
 #: State on disk; many small stores need no space set aside in advance.
 STATE_CONF = {
@@ -39,21 +40,10 @@ BROADCAST_DIGESTS = 200_000
 FILES_PER_BATCH = 1_000
 
 
-def _has_rows_of_files(docs: DataFrame) -> bool:
-    """Whether the rows of docs can be told apart by file and row in it."""
-    if "_metadata" in docs.columns:
-        return False
-    try:
-        docs.select("_metadata.row_index")
-    except AnalysisException:
-        return False
-    return True
-
-
 def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, digest, file, row): file and row are the locator of the content. Rows that come from no file
     are written first, for their place to be the same whenever it is asked for."""
-    if not _has_rows_of_files(docs):
+    if not has_rows_of_files(docs):
         docs = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "dedup-rows")
         id_col, text_col = "id", "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -107,22 +97,34 @@ def stream_groups(spark: SparkSession, staged: str, schema, state: str, out: str
     return found.groupBy("digest").agg(F.max_by("keep", "n").alias("keep"), F.max("n").alias("n"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_digests: int = BROADCAST_DIGESTS, state_dir: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_digests: int = BROADCAST_DIGESTS, state_dir: str | None = None, earlier: DataFrame | None = None, arrival: str | None = None) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256, file, row.
 
     state_dir: a shared folder in which the state is kept between calls; earlier: the rows of the calls
-    before, with the columns of docs, whose texts are compared in full where digests meet.
+    before, with the columns of docs, whose texts are compared in full where digests meet. arrival: a name of what
+    comes in this call, by default a digest of the names, sizes and times of its files. An arrival whose name the state has
+    seen isn't counted again, so a call that failed at any point can be repeated.
     """
     spark = docs.sparkSession
-    return settled(spark, "dedup", lambda: _exact_dedup(spark, docs, id_col, text_col, broadcast_digests, state_dir, earlier))
+    return settled(spark, "dedup", lambda: _exact_dedup(spark, docs, id_col, text_col, broadcast_digests, state_dir, earlier, arrival))
+
+
+def _arrival(docs: DataFrame) -> str:
+    """A digest of the files that rows come from; a new name each time where they come from none."""
+    if not has_rows_of_files(docs):
+        return uuid.uuid4().hex
+    each = F.sha2(F.concat_ws(":", "_metadata.file_path", "_metadata.file_size", F.unix_micros("_metadata.file_modification_time")), 256)
+    files = docs.select(each.alias("f")).distinct().agg(F.array_join(F.array_sort(F.collect_list("f")), ",").alias("all"))
+    return files.select(F.sha2("all", 256)).first()[0]
 
 
-def _exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, broadcast_digests: int, state_dir: str | None, earlier: DataFrame | None) -> DataFrame:
+def _exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, broadcast_digests: int, state_dir: str | None, earlier: DataFrame | None, arrival: str | None) -> DataFrame:
     own = _located(docs, id_col, text_col)
     located = own if earlier is None else own.unionByName(_located(earlier, id_col, text_col))
     place = state_dir.rstrip("/") if state_dir else shared_dir(spark, "dedup-state")
-    narrow, arrived = own.drop("body"), f"{place}/digests/{uuid.uuid4().hex}"
-    narrow.write.parquet(arrived)
+    narrow, arrived = own.drop("body"), f"{place}/digests/{(arrival or _arrival(docs)) if state_dir else 'all'}"
+    if not exists(spark, f"{arrived}/_SUCCESS"):  # else an earlier call has written it, and the stream knows its files
+        narrow.write.mode("overwrite").parquet(arrived)
     rows = spark.read.schema(narrow.schema).parquet(arrived)
     groups = stored(stream_groups(spark, f"{place}/digests/*", narrow.schema, f"{place}/state", f"{place}/groups"), "dedup-final")
 
@@ -149,17 +151,13 @@ def _exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str, text_col: st
 def dropped_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are copies; all columns as they came. Null texts are copies of each other
     and of empty ones. Rows that come from no file, or have a column ``_metadata``, are written first."""
+    docs, hidden = of_files(docs, "dedup-rows")
     columns = docs.columns
-    if not _has_rows_of_files(docs):
-        (hidden,) = free_names(docs, "metadata")
-        renamed = docs.withColumnRenamed("_metadata", hidden) if "_metadata" in columns else docs
-        kept = dropped_copies(stored(renamed, "dedup-rows"), id_col, text_col)
-        return kept.withColumnRenamed(hidden, "_metadata") if "_metadata" in columns else kept
     file, row, own_file, own_row = free_names(docs, "gone_file", "gone_row", "own_file", "own_row")
     gone = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("file").alias(file), F.col("row").alias(row))
     place = docs.select("*", F.col("_metadata.file_path").alias(own_file), F.col("_metadata.row_index").alias(own_row))
     held = place.join(gone, (F.col(own_file) == F.col(file)) & (F.col(own_row) == F.col(row)), "left_anti")
-    return held.select(*columns)
+    return held.select(*columns).withColumnRenamed(hidden, "_metadata") if hidden else held.select(*columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

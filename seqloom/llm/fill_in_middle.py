@@ -59,8 +59,8 @@ class Rule:
             raise ValueError("there are three sentinels, none of them empty")
         for i, a in enumerate(marks):
             for j, b in enumerate(marks):
-                if i != j and a in b or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)))):
-                    raise ValueError("sentinels may not hold or overlap one another: they could not be told apart in an output")
+                if (i != j and a in b) or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)))):
+                    raise ValueError("sentinels may not hold or overlap one another or themselves: they could not be told apart in an output")
 
     def numbers(self, doc_id: int | None) -> list[int]:
         digest = hashlib.sha256(f"{self.seed}:{'' if doc_id is None else doc_id}".encode()).digest()

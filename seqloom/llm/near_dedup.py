@@ -1,12 +1,12 @@
 """Operator 7: near-duplicate documents by SetSketch registers.
 
 A document's set is that of its distinct 5-word shingles; two documents are linked when
-``100 * |a & b| >= percent * |a | b|``. Documents of equal sets form a class, and classes are
-compared by their smallest id:
+``100 * |a & b| >= percent * |a | b|``. Rows of equal sets form a class. Rows are told apart by a number
+that follows from file and place, and a class is compared by its row of smallest number:
 
 1. Each class gets 160 SetSketch registers. Bands of 5 registers are hashed to bucket keys; a pair
    at similarity 0.85 shares none of the 32 bands with a chance of 7e-9, one at 0.8 with 3e-6.
-2. In each bucket every member meets the bucket's hub, its smallest id. A joint likelihood of the
+2. In each bucket every member meets the bucket's hub, its smallest number. A joint likelihood of the
    registers rules pairs out only where the threshold is implausible; the others are confirmed or refused on
    the full sets. A group of copies is thereby linked with as many pairs as it has members.
 3. Buckets that still hold several components go on: members that are not in the bucket's largest
@@ -23,10 +23,14 @@ Cost of step 3: members outside a bucket's largest component times the bucket. I
 copies resemble their hub, and grows with the square only for large families whose members lie just
 below the threshold, which an exact answer has to compare.
 
-Defined cases: a text that is null, empty or white space has an empty set, no links and itself as
-component; documents with fewer than five words count their whole sequence as one shingle; rows of
-equal id are one document with the links of all; a null id is linked with nothing, has no component
-and is not kept; an empty table gives an empty result; further columns are ignored.
+Two readings of the result: ``near_duplicates`` takes rows of equal id for one document, which has the links of
+all of them, and names a group by its smallest id; ``dropped_near_duplicates`` takes every row for a document and
+keeps the one of smallest id, and of equal ids the one of smallest number, of each group.
+
+Defined cases: a text that is null, empty or white space has an empty set and no links; documents with fewer than five
+words count their whole sequence as one shingle; a row of null id links nothing: its component is that of the rows of an
+equal set, or none, it is not kept in op7, and it stays in ``dropped_near_duplicates``; an empty table gives an empty result;
+rows that come from no file are written first; further columns are ignored or kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,13 +42,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, settled, stored, table
+from .common import free_names, of_files, settled, stored, table, with_row_number
 from .components import connected_components
 from .setsketch import BANDS, REGISTERS, ROWS_PER_BAND, WordHashes, counts_of_pairs, fewest_equal, intersections, likely, linked, registers, shingles
 
 PERCENT = 85
 SHORT_SET, SMALL_BUCKET, CHUNK = 256, 32, 512
-#: Ids of candidates (8 bytes each) are broadcast up to this count, beyond it they are joined by shuffle.
+#: Numbers of candidates (8 bytes each) are broadcast up to this count, beyond it they are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Blocks that a task compares, and the most tasks they are dealt to.
 BLOCKS_PER_TASK, MOST_TASKS = 4, 20_000
@@ -54,13 +58,13 @@ LINK, OPEN = 1, 2
 def _sketch(batches):
     hashes = WordHashes()
     for batch in batches:
-        ids, n, digests, sketches = batch.column(0), [], [], []
-        for text in batch.column(1):
+        n, digests, sketches = [], [], []
+        for text in batch.column(2):
             s = shingles(text.as_py(), hashes)
             n.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sketches.append(registers(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["id", "n", "digest", "regs"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["row", "id", "n", "digest", "regs"])
 
 
 def _sets(batches):
@@ -204,16 +208,41 @@ def _chunks(rest: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, broadcast_ids: int = BROADCAST_IDS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component."""
-    return settled(docs.sparkSession, "near-duplicates", lambda: _near_duplicates(docs, id_col, text_col, percent, broadcast_ids, small_bucket))
-
-
-def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int, broadcast_ids: int, small_bucket: int) -> DataFrame:
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = stored(texts.mapInArrow(_sketch, "id long, n long, digest binary, regs binary"), "near-sketches")
+    """One row per row of docs: id, n_shingles, component, the smallest id that links reach."""
+    return settled(docs.sparkSession, "near-duplicates", lambda: _documents(_groups(docs, id_col, text_col, percent, broadcast_ids, small_bucket)))
+
+
+def _documents(rows: DataFrame) -> DataFrame:
+    """Rows (row, id, n, component) -> id, n_shingles, component by id: groups that share an id are one."""
+    rows = stored(rows, "near-rows")
+    per = rows.filter("component IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    per = stored(per, "near-ids")
+    several = per.filter("low <> high")
+    if several.isEmpty():
+        joined = rows.withColumn("united", F.col("component"))
+    else:
+        edges = rows.join(several, "id").filter("component <> low").select(F.col("component").alias("u"), F.col("low").alias("v")).distinct()
+        united = connected_components(edges).withColumnRenamed("component", "united").withColumnRenamed("node", "component")
+        joined = rows.join(united, "component", "left").withColumn("united", F.coalesce("united", "component"))
+    joined = stored(joined.select("id", "n", "component", "united"), "near-united")
+    least = joined.filter("united IS NOT NULL").groupBy("united").agg(F.min("id").alias("least"))
+    linked_rows = joined.filter("united IS NOT NULL").join(least, "united").select("id", "n", "least")
+    # a row without words has the links of the other rows of its id
+    beside = linked_rows.groupBy("id").agg(F.min("least").alias("least"))
+    others = joined.filter("united IS NULL").select("id", "n").join(beside, "id", "left")
+    return linked_rows.unionByName(others).select("id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component"))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, percent: int, broadcast_ids: int = BROADCAST_IDS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """One row per row of docs: row (its number), id, n and component, a row number; null for rows without words, and
+    for those of null id whose set no row with an id has."""
+    docs, _ = of_files(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "near-docs")
+    texts = with_row_number(docs, "row").select("row", "id", "text")
+    sketches = stored(texts.mapInArrow(_sketch, "row long, id long, n long, digest binary, regs binary"), "near-sketches")
     classes = stored(
-        sketches.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("regs").alias("regs")), "near-classes"
+        sketches.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("row").alias("id"), F.first("regs").alias("regs")), "near-classes"
     )
+    texts = texts.select(F.col("row").alias("id"), "text")
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring(F.col("regs"), j * (2 * ROWS_PER_BAND) + 1, F.lit(2 * ROWS_PER_BAND))))
     banded = classes.select("id", F.posexplode(keys).alias("band", "key"))
@@ -257,18 +286,25 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int,
 
     of_class = classes.select("digest", "id").join(component.withColumnRenamed("node", "id"), "id", "left")
     of_class = stored(of_class.select("digest", F.coalesce("component", "id").alias("component")), "near-of-class")
-    return sketches.join(of_class, "digest", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    joined = sketches.drop("regs").join(of_class, "digest", "left")
+    return joined.select("row", "id", "n", "component")
 
 
 def dropped_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs without those that are linked, over any chain, with one of smaller id; all columns as they came.
+    """docs without the rows that are linked, over any chain, with one of smaller id, or of equal id and smaller number;
+    all columns as they came."""
+    placed, hidden = of_files(docs, "near-docs")
 
-    Rows of null id stay, rows of equal id stay or go together; an empty table stays empty.
-    """
-    (gone_id,) = free_names(docs, "gone")
-    found = settled(docs.sparkSession, "near-gone", lambda: near_duplicates(docs, id_col, text_col, percent).filter("id <> component").select(F.col("id").alias(gone_id)).distinct())
+    def gone() -> DataFrame:
+        rows = stored(_groups(placed, id_col, text_col, percent).filter("component IS NOT NULL AND id IS NOT NULL").select("row", "id", "component"), "near-rows")
+        stay = rows.groupBy("component").agg(F.min(F.struct("id", "row"))["row"].alias("stays"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+        return rows.join(stay, "component").filter("row <> stays").select(F.col("row").alias(gone_row))
+
+    own_row, gone_row = free_names(placed, "own_row", "gone_row")
+    found = settled(docs.sparkSession, "near-gone", gone)
     few = found.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(found) if few else found, F.col(id_col).cast("long") == F.col(gone_id), "left_anti")
+    kept = with_row_number(placed, own_row).join(F.broadcast(found) if few else found, F.col(own_row) == F.col(gone_row), "left_anti").select(*placed.columns)
+    return kept.withColumnRenamed(hidden, "_metadata") if hidden else kept
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,9 +38,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group of near duplicates: that of the smallest id.
+    """One row stays of each group of near duplicates: that of the smallest id, of equal ids the first by file and row.
 
-    Rows of equal id stay or go together; rows of null id and texts without words are linked with nothing.
+    Every row is judged by its own text, whatever other rows of its id hold; rows of null id and texts without words
+    are linked with nothing and stay; an empty table stays empty.
     """
     return near.dropped_near_duplicates(docs, percent=NEAR_PERCENT)
 
@@ -73,7 +74,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds token ids (array<int>; of a null or empty text an empty one) and drops the text; all rows stay."""
+    """Adds token ids (array<int>; of a null or empty text an empty one) and drops the text; all rows stay.
+
+    An own column ``tokens`` is called ``_tokens`` then; other columns keep their names.
+    """
     import public_tokenizers
 
     found = bpe_coding.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, remembered=REMEMBERED)

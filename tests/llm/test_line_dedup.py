@@ -1,0 +1,130 @@
+"""Line deduplication: levelled runs, whole tables and arrivals against brute force."""
+
+import hashlib
+import os
+import random
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+from test_set_operators import documents
+
+from seqloom import storage
+from seqloom.llm import line_dedup as ld
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def key_of(line, least):
+    key = line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    return key if len(key) >= least else None
+
+
+def by_definition(rows, least_chars=40, least_docs=5):
+    """doc_id, n_lines, n_dropped, text of each row."""
+    holders = {}
+    for i, t, _ in rows:
+        for line in (t or "").split("\n"):
+            holders.setdefault(key_of(line, least_chars), set()).add(i)
+    rank = lambda i: (i is not None, i or 0)
+    keeper = {k: max(ids, key=rank) for k, ids in holders.items() if k is not None and len(ids) >= least_docs}
+    out = []
+    for i, t, _ in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if (k := key_of(x, least_chars)) not in keeper or keeper[k] == i]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+def rows_with_lines(seed=1):
+    rnd = random.Random(seed)
+    shared = [f"Passage {k} of some length that comes again and again é" + "x" * k for k in range(8)]
+    shared += ["É" * 40, "é" * 39, "a" * 39, "short", "B" * 40]
+    rows = []
+    for i in range(120):
+        lines = [rnd.choice(["", "own line " + str(rnd.random()) * 3, "\t" + rnd.choice(shared).upper() + " \r", rnd.choice(shared)]) for _ in range(rnd.randint(0, 9))]
+        rows.append((i * 7 % 50 if i % 4 == 0 else 1000 + i, "\n".join(lines), "s"))
+    hot = "the line that a third of all documents hold, and some hold it twice"
+    rows += [(5000 + i, f"{hot}\n{i}\n{hot.title()}" if i % 2 else hot, "h") for i in range(60)]
+    long = "\n".join([shared[0], *[f"line {k} of a long text, longer than forty characters" for k in range(20_000)]])
+    return rows + [(None, shared[0] + "\n" + hot, "n"), (None, shared[1], "n"), (1, None, "n"), (2, "", "n"), (3, long, "n"), (9000, "\n\n", "n")]
+
+
+def digest(rows):
+    return sorted(((i, n, gone, hashlib.sha256(t.encode()).hexdigest()) for i, n, gone, t in rows), key=str)
+
+
+def test_digests_equal_the_definition(spark, tmp_path):
+    rows = rows_with_lines()
+    docs = documents(spark, tmp_path, rows)
+    found = sorted((tuple(r) for r in ld.digests(docs).collect()), key=str)
+    assert found == digest(by_definition(rows)) and sum(r[2] for r in found) > 100
+    again = sorted((tuple(r) for r in ld.digests(docs, batches=7, fanout=2).collect()), key=str)
+    assert again == found
+    other = sorted((tuple(r) for r in ld.digests(docs, least_chars=5, least_docs=2, batches=1).collect()), key=str)
+    assert other == digest(by_definition(rows, 5, 2))
+
+
+def test_digests_equal_sql(spark, tmp_path):
+    rows = [r for r in rows_with_lines(2) if r[0] is not None]
+    rows = [(n, t, s) for n, (_, t, s) in enumerate(rows)]
+    docs = documents(spark, tmp_path, rows)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted((tuple(r) for r in ld.digests(docs).collect()), key=str) == sorted(con.sql(ld.OP13_SQL).fetchall(), key=str)
+
+
+def test_texts_and_columns_stay(spark, tmp_path):
+    rows = rows_with_lines(3)
+    docs = documents(spark, tmp_path, rows).select("*", *[F.lit(k).alias(n) for k, n in enumerate(["id", "key", "of", "lost", "n", "top"])])
+    found = ld.deduplicated(docs)
+    assert found.columns == docs.columns
+    wanted = [(i, t if was is not None else None) for (i, _, _, t), (_, was, _) in zip(by_definition(rows), rows, strict=True)]
+    assert sorted(((r.doc_id, r.text) for r in found.collect()), key=str) == sorted(wanted, key=str)
+    assert all((r.id, r.key, r.lost, r.top) == (0, 1, 3, 5) for r in found.limit(9).collect())
+    assert ld.deduplicated(docs.limit(0)).count() == 0 and ld.digests(docs.limit(0)).count() == 0
+
+
+def test_arrivals_lose_what_came_before(spark, tmp_path):
+    rnd, shared = random.Random(4), [f"shared line number {k} with enough characters to count" for k in range(30)]
+    runs, seen = ld.LineRuns(spark, str(tmp_path / "runs"), fanout=2), set()
+    for batch in range(5):
+        rows = [(100 * batch + i, "\n".join([*rnd.choices(shared, k=3), "tiny", f"own {batch} {i} " + "y" * 40]), "s") for i in range(8)]
+        (tmp_path / str(batch)).mkdir()
+        found = {r.doc_id: r.text for r in ld.arrived(documents(spark, tmp_path / str(batch), rows), runs).collect()}
+        assert found == {i: "\n".join(x for x in t.split("\n") if key_of(x, 40) not in seen) for i, t, _ in rows}
+        seen |= {key_of(x, 40) for _, t, _ in rows for x in t.split("\n")} - {None}
+        assert runs.rows().count() == len(seen)
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+
+
+def test_runs_are_sorted_levelled_and_merged(spark, tmp_path):
+    runs, fanout = ld.LineRuns(spark, str(tmp_path / "runs"), fanout=3), 3
+    for batch in range(10):
+        ids = spark.range(batch * 20, batch * 20 + 20).select("id", F.unhex(F.md5((F.col("id") % 25).cast("string"))).alias("key"))
+        runs.add(ids)
+        assert all(len(level) < fanout for level in runs.levels)
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    on_disk = [f"{d}/{x}" for d, _, names in os.walk(tmp_path / "runs") for x in names if x.endswith(".parquet")]
+    for path in on_disk:
+        keys = [bytes(r.key) for r in spark.read.parquet(path).collect()]
+        assert keys == sorted(keys)
+    assert len({os.path.dirname(p) for p in on_disk}) == 2
+    total = {bytes(r.key): (r.n, r.top) for r in runs.rows().collect()}
+    wanted = {}
+    for i in range(200):
+        k = hashlib.md5(str(i % 25).encode()).digest()
+        wanted[k] = (wanted.get(k, (0, 0))[0] + 1, i)
+    assert total == wanted
+
+
+def test_nothing_but_the_result_is_left(spark, tmp_path):
+    folder = f"{storage.checkpoint_root(spark).removeprefix('file:')}/seqloom"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    ld.digests(documents(spark, tmp_path, rows_with_lines(5)[:20])).collect()
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["line"]
+
+
+@pytest.mark.parametrize(("line", "least", "held"), [(b"  abc \r", 3, True), ("é".encode() * 2, 3, False), ("é".encode() * 3, 3, True), (b"", 0, True)])
+def test_short_keys(line, least, held):
+    assert (ld.line_key(line, least) is not None) == held

@@ -65,6 +65,35 @@ def test_later_arrivals_meet_the_state(spark, tmp_path, monkeypatch):
         before = docs if before is None else before.unionByName(docs)
 
 
+@pytest.mark.parametrize("breaks_at", ["stream_groups", "stored"])
+def test_a_call_that_broke_is_repeated(spark, tmp_path, monkeypatch, breaks_at):
+    """The stream has taken the rows, or only their folder is written, when the call fails; it is repeated then."""
+    state, before = str(tmp_path / "state"), None
+    wanted = [{1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True)}, {4: (4, 3, True), 0: (3, 2, False)}]
+    for n, rows in enumerate([[(1, "a"), (2, "a"), (3, "b")], [(4, "a"), (0, "b")]]):
+        path = str(tmp_path / f"part{n}")
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+        docs = spark.read.parquet(path)
+
+        def broken(*a, real=getattr(exact_dedup, breaks_at)):
+            if breaks_at == "stored":
+                real(*a)
+            raise InterruptedError
+
+        with monkeypatch.context() as m:
+            m.setattr(exact_dedup, breaks_at, broken)
+            with pytest.raises(InterruptedError):
+                exact_dedup.exact_dedup(docs, state_dir=state, earlier=before)
+        for _ in range(2):
+            found = {r.id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, state_dir=state, earlier=before).collect()}
+            assert found == wanted[n]
+        before = docs if before is None else before.unionByName(docs)
+    named = spark.createDataFrame([(9, "a")], "doc_id long, text string")
+    for _ in range(2):
+        found = exact_dedup.exact_dedup(named, state_dir=state, earlier=before, arrival="third").collect()
+        assert [(r.id, r.keep_id, r.group_size) for r in found] == [(9, 9, 4)]
+
+
 def test_dropped_copies_of_any_frame(spark):
     rows = spark.createDataFrame([(1, "a", 7), (2, "a", 8), (3, "b", 9)], "doc_id long, text string, x int")
     assert sorted(tuple(r) for r in exact_dedup.dropped_copies(rows).collect()) == [(2, "a", 8), (3, "b", 9)]
@@ -104,6 +133,34 @@ def brute_components(rows, percent=85):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def brute_ids(rows, percent=85):
+    """As ``brute_components``, where rows of equal id are one document with the links of all."""
+    sets, root = [(i, shingle_set(t)) for i, t in rows if i is not None], {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        n = len(a & b)
+        if n and 100 * n >= percent * (len(a) + len(b) - n):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    of_set = {frozenset(s): find(i) for i, s in sets if s}  # a null id has the component of its equals
+    return sorted(((i, len(shingle_set(t)), of_set.get(frozenset(shingle_set(t))) if i is None else find(i)) for i, t in rows), key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_of_repeated_and_null_ids(spark, tmp_path, seed):
+    rnd = random.Random(seed)
+    rows = [(rnd.choice([i, i, i % 7, None]), t) for i, t in near_rows(seed)[:140]]
+    rows += [(3000, "b c d e f g"), (5000, "a unlike the others in every word"), (5000, "b c d e f g"), (5000, ""), (6001, ""), (6001, None), (None, "b c d e f g")]
+    docs = documents(spark, tmp_path, [(i, t, "s") for i, t in rows])
+    found = near_dedup.near_duplicates(docs)
+    assert found.columns == ["id", "n_shingles", "component"]
+    assert sorted((tuple(r) for r in found.collect()), key=str) == brute_ids(rows)
+
+
 def near_rows(seed=4):
     rnd, rows = random.Random(seed), []
     vocabulary = [f"w{i}" for i in range(400)]
