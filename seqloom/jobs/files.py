@@ -6,6 +6,7 @@ Every stage reads text files (one path, a folder or a pattern) and writes folder
 from __future__ import annotations
 
 from dataclasses import asdict
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,18 @@ from ..sources.corpora import array_corpus
 FEATURE_BINS, DETECTOR_BINS, POSTERIOR_BINS = 60, 50, 40
 
 
+def _clearing(stage):
+    """The stage with what it stored on the way deleted once its outputs are written."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, *args, **options) -> None:
+        with storage.clearing(spark):
+            stage(spark, *args, **options)
+
+    return run
+
+
+@_clearing
 def symbol_statistics(spark: SparkSession, sequences: str, out: str) -> None:
     """distribution_score and normalized_positional_entropy: lines of symbol, tab and value."""
     corpus = storage.stored(array_corpus(readers.read_tokens(spark, sequences)), "corpus")
@@ -26,6 +39,7 @@ def symbol_statistics(spark: SparkSession, sequences: str, out: str) -> None:
     writers.write_lines(writers.score_lines(stats.positional_entropy(corpus), "entropy"), f"{out}/normalized_positional_entropy")
 
 
+@_clearing
 def segmentation(spark: SparkSession, sequences: str, entropy: str, diversity: str, out: str, threshold: float = 0.5, diagnostics: bool = True) -> None:
     """segmented: a line for each sequence, by all three detectors. entropy, diversity: scalar maps of symbols.
 
@@ -33,7 +47,7 @@ def segmentation(spark: SparkSession, sequences: str, entropy: str, diversity: s
     """
     given = storage.stored(readers.read_sequences(spark, sequences), "sequences")
     corpus = storage.stored(array_corpus(given), "corpus")
-    candidates = storage.stored(boundary.features(corpus, readers.read_scalar_map(spark, entropy), readers.read_scalar_map(spark, diversity)), "candidates")
+    candidates = boundary.features(corpus, readers.read_scalar_map(spark, entropy), readers.read_scalar_map(spark, diversity))
     found = {
         "mixture": detectors.gmm_detector(candidates), "density": detectors.density_detector(candidates),
         "zscore": (boundary.zscore_detector(candidates), boundary.zscore_reliability(candidates)),
@@ -48,6 +62,7 @@ def segmentation(spark: SparkSession, sequences: str, entropy: str, diversity: s
             writers.write_table(stats.histogram(p, "p", DETECTOR_BINS).orderBy("bin"), f"{out}/histogram_{name}")
 
 
+@_clearing
 def segment_lexicon(spark: SparkSession, segmented: str, out: str, rounds: int = 40, diagnostics: bool = True) -> None:
     """categories (a table of segments) and summary (an object). Blank lines count as sequences.
 
@@ -86,12 +101,14 @@ def parameters(spark: SparkSession, model: mixture.Mixture, labels: list[str]) -
     return spark.createDataFrame(rows, "component int, label string, pi double, mu array<double>, sigma array<double>")
 
 
+@_clearing
 def comparison(spark: SparkSession, one: str, two: str, out: str) -> None:
     """report: the similarities of two summaries, their counts and role patterns, as an object."""
     both = [readers.read_summary(spark, path).withColumn("corpus", F.lit(name)) for name, path in (("1", one), ("2", two))]
     writers.write_objects(compare.summary_report(both[0].unionByName(both[1]), "1", "2"), f"{out}/report")
 
 
+@_clearing
 def decoding(spark: SparkSession, segmented: str, lexicon_table: str, phrases: str, out: str, categories: str | None = None) -> None:
     """decoded (sentences by line), decoded_words (the best phrases of each segment that no lexicon entry
     names) and decoded_lines (objects with line, sentence and confidence).

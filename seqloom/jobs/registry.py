@@ -404,16 +404,16 @@ def decoded_words(spark, sf):
 
 
 def bayes_gmm_detector(spark, sf):
-    return detectors.gmm_detector(_kept(_candidates(spark, sf)))[0]
+    return detectors.gmm_detector(_candidates(spark, sf))[0]
 
 
 def dbscan_detector(spark, sf):
-    return detectors.density_detector(_kept(_candidates(spark, sf)))[0]
+    return detectors.density_detector(_candidates(spark, sf))[0]
 
 
 def ensemble_boundary(spark, sf):
     corpus = _kept(order_lines(spark, sf))
-    candidates = _kept(boundary.features(corpus))
+    candidates = boundary.features(corpus)
     p = boundary.ensemble({
         "mixture": detectors.gmm_detector(candidates), "density": detectors.density_detector(candidates),
         "zscore": (boundary.zscore_detector(candidates), boundary.zscore_reliability(candidates)),
@@ -430,12 +430,22 @@ _WITH_SQL = [
 _WITHOUT_SQL = [fuzzy_topk, decoded_words, lexicon_categories, lexicon_summary, decoded_sentences, decoded_by_class, line_confidence, em_mixture, representatives, jackknife_stability, bayes_gmm_detector, dbscan_detector, ensemble_boundary]
 
 
+def _tidy(query):
+    """The query with what it stored on the way deleted: its result alone is left, if anything had to be stored."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return storage.tidy(spark, query.__name__, lambda: query(spark, sf))
+
+    run.__name__, run.__doc__ = query.__name__, query.__doc__
+    return run
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return segmented_lines(spark, sf)
+    return _tidy(segmented_lines)(spark, sf)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in [*_WITH_SQL, *_WITHOUT_SQL]}
+    return {f.__name__: _tidy(f) for f in [*_WITH_SQL, *_WITHOUT_SQL]}
 
 
 def oracle_sql() -> dict[str, str]:

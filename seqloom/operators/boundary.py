@@ -7,28 +7,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clip01, normal_cdf
-from ..sources.corpora import by_sequence
-from ..storage import stored
-from .stats import ngram_counts, npmi, positional_entropy, symbol_counts, with_scalars
+from ..sources.corpora import BLOCK, block_of, by_block, carried, with_guests
+from ..storage import settled, stored
+from .stats import entropy_of_positions, gram_counts, ngram_counts, npmi, placed, symbol_counts, with_scalars
 
 N_FEATURES = 13
 FEATURES = [f"f{i}" for i in range(N_FEATURES)]
 
 
 def features(corpus: DataFrame, entropy: DataFrame | None = None, diversity: DataFrame | None = None, alpha: float = 1.0) -> DataFrame:
+    """seq_id, pos and f0..f12 of ``_features``, stored; what is written on the way is deleted."""
+    return settled(corpus.sparkSession, "features", lambda: _features(corpus, entropy, diversity, alpha))
+
+
+def _features(corpus: DataFrame, entropy: DataFrame | None, diversity: DataFrame | None, alpha: float) -> DataFrame:
     """seq_id, pos and f0..f12 for each candidate boundary, before position pos >= 1.
 
     entropy and diversity: (sym, value); by default the corpus's own positional entropy and shares.
-    Every statistic is joined once to the position it belongs to and reaches the neighbouring
-    candidates by windows over the sequence: three joins and one return to sequence order in all.
+    All counts come from one pass. Every statistic is joined once to the position it belongs to and reaches the
+    neighbouring candidates by windows over blocks of a sequence: three joins and one return to sequence order in all.
     """
-    symbols = symbol_counts(corpus)
+    here = stored(placed(corpus), "placed")
+    grams = stored(gram_counts(here), "grams")
+    symbols = grams.filter("kind = 1").select(F.col("a").alias("sym"), "n", "starts", "ends")
     if entropy is None:
-        entropy = positional_entropy(corpus).select("sym", F.col("entropy").alias("value"))
+        at = grams.filter("kind = 0").select(F.col("a").alias("sym"), F.col("at").alias("pos"), "n")
+        entropy = entropy_of_positions(at, here.agg(F.max("len").alias("longest"))).select("sym", F.col("entropy").alias("value"))
     if diversity is None:
         total = symbols.agg(F.sum("n").alias("total"))
         diversity = with_scalars(symbols, total).select("sym", (F.col("n") / F.col("total")).alias("value"))
-    bi, tri = npmi(ngram_counts(corpus, 2), symbols.select("sym", "n"), 2, alpha), npmi(ngram_counts(corpus, 3), symbols.select("sym", "n"), 3, alpha)
+    bi = npmi(grams.filter("kind = 2").select("a", "b", "n"), symbols.select("sym", "n"), 2, alpha)
+    tri = npmi(grams.filter("kind = 3").select("a", "b", "c", "n"), symbols.select("sym", "n"), 3, alpha)
 
     scalars = symbols.agg(
         F.greatest(F.sum("starts"), F.lit(1)).alias("all_starts"), F.greatest(F.sum("ends"), F.lit(1)).alias("all_ends"), F.greatest(F.count(F.lit(1)), F.lit(1)).alias("v")
@@ -36,15 +45,14 @@ def features(corpus: DataFrame, entropy: DataFrame | None = None, diversity: Dat
     means = entropy.agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean_h")).crossJoin(F.broadcast(diversity.agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean_d"))))
     known = symbols.join(entropy.withColumnRenamed("value", "h"), "sym", "left").join(diversity.withColumnRenamed("value", "d"), "sym", "left")
 
-    here = corpus.select("seq_id", "pos", "len", "sym", F.lag("sym", 1).over(by_sequence()).alias("s1"), F.lag("sym", 2).over(by_sequence()).alias("s2"))
     here = here.join(known, "sym")
     here = here.join(bi.select(F.col("a").alias("s1"), F.col("b").alias("sym"), F.col("npmi").alias("bi")), ["s1", "sym"], "left")
     here = here.join(tri.select(F.col("a").alias("s2"), F.col("b").alias("s1"), F.col("c").alias("sym"), F.col("npmi").alias("tri")), ["s2", "s1", "sym"], "left")
     here = with_scalars(with_scalars(here, scalars), means)
-    near = here.select(
-        "seq_id", "pos", "len", "bi", "tri", "n", "starts", "ends", "all_starts", "all_ends", "v",
+    near = with_guests(here, 1).select(
+        "seq_id", "pos", "len", "guest", "bi", "tri", "n", "starts", "ends", "all_starts", "all_ends", "v",
         F.coalesce("h", "mean_h").alias("h"), F.coalesce("d", "mean_d").alias("d"),
-        *[f.over(by_sequence()).alias(name) for name, f in (
+        *[f.over(by_block()).alias(name) for name, f in (
             ("bi_before", F.lag("bi")), ("bi_after", F.lead("bi")), ("tri_after", F.lead("tri")), ("n_left", F.lag("n")), ("starts_left", F.lag("starts")),
             ("h_left", F.lag(F.coalesce("h", "mean_h"))), ("d_left", F.lag(F.coalesce("d", "mean_d"))),
         )],
@@ -65,13 +73,14 @@ def features(corpus: DataFrame, entropy: DataFrame | None = None, diversity: Dat
         (F.col("starts_left") > 0.01 * F.col("all_starts")).cast("double"),
         (F.col("ends") > 0.01 * F.col("all_ends")).cast("double"),
     ]
-    return near.filter("pos >= 1").select("seq_id", "pos", *[c.alias(n) for c, n in zip(f, FEATURES, strict=True)])
+    return near.filter("pos >= 1 AND NOT guest").select("seq_id", "pos", *[c.alias(n) for c, n in zip(f, FEATURES, strict=True)])
 
 
 def association(corpus: DataFrame, alpha: float = 1.0) -> DataFrame:
     """seq_id, pos, f0 of the candidate boundaries: the first feature alone, which takes bigram counts and one join."""
     pairs = npmi(ngram_counts(corpus, 2), symbol_counts(corpus).select("sym", "n"), 2, alpha)
-    here = corpus.select("seq_id", "pos", F.lag("sym", 1).over(by_sequence()).alias("a"), F.col("sym").alias("b")).filter("pos >= 1")
+    back = with_guests(corpus, 1).select("seq_id", "pos", "guest", F.lag("sym", 1).over(by_block()).alias("a"), F.col("sym").alias("b"))
+    here = back.filter("pos >= 1 AND NOT guest").drop("guest")
     return here.join(pairs.select("a", "b", "npmi"), ["a", "b"], "left").select("seq_id", "pos", F.coalesce("npmi", F.lit(-1.0)).alias("f0"))
 
 
@@ -109,21 +118,32 @@ def ensemble(detectors: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
 def choose(corpus: DataFrame, probabilities: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The corpus with ``boundary``: p reaches the threshold, or, where it does nowhere in a sequence of
     several symbols, p is largest there (the first of equals); without any p the middle is taken."""
-    joined = corpus.join(probabilities.select("seq_id", "pos", "p"), ["seq_id", "pos"], "left")
-    own = W.partitionBy("seq_id")
-    best = F.min_by("pos", F.when(F.col("p").isNotNull(), F.struct(-F.col("p"), F.col("pos")))).over(own)
-    some, any_p = F.max(F.coalesce(F.col("p") >= threshold, F.lit(False))).over(own), F.count("p").over(own) > 0
+    joined = corpus.join(probabilities.select("seq_id", "pos", "p"), ["seq_id", "pos"], "left").withColumn("block", block_of())
+    rank, reached = F.when(F.col("p").isNotNull(), F.struct(-F.col("p"), F.col("pos"))), F.coalesce(F.col("p") >= threshold, F.lit(False))
+    summary = {"best": F.min_by("pos", rank), "some": F.max(reached), "any_p": F.max(F.col("p").isNotNull())}
+    own = W.partitionBy("seq_id", "block")
+    # sequences of several blocks: the same over all of them, which is a row for each such sequence
+    whole = joined.filter(F.col("len") > BLOCK).groupBy("seq_id").agg(*[c.alias(f"whole_{name}") for name, c in summary.items()])
+    marked = joined.select("seq_id", "pos", "sym", "len", "p", *[c.over(own).alias(name) for name, c in summary.items()]).join(whole, "seq_id", "left")
+    best, some, any_p = (F.coalesce(f"whole_{name}", name) for name in summary)
+    best = F.when(F.col("len") > BLOCK, F.col("whole_best")).otherwise(F.col("best"))
     forced = F.when(any_p, best).otherwise(F.greatest(F.lit(1), F.floor(F.col("len") / 2)))
     chosen = F.when(some, F.coalesce(F.col("p") >= threshold, F.lit(False))).otherwise(F.col("pos") == forced)
-    return joined.select("seq_id", "pos", "sym", "len", (chosen & (F.col("pos") >= 1)).alias("boundary"))
+    return marked.select("seq_id", "pos", "sym", "len", (chosen & (F.col("pos") >= 1)).alias("boundary"))
 
 
 def segments(marked: DataFrame) -> DataFrame:
     """seq_id, seg_pos, n_segs, seg_key, tokens: the runs of symbols between boundaries."""
-    running = W.partitionBy("seq_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    numbered = marked.withColumn("seg_pos", F.sum(F.col("boundary").cast("int")).over(running).cast("int"))
-    whole = numbered.groupBy("seq_id", "seg_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sym"))), lambda t: t["sym"]).alias("tokens"))
-    return whole.select("seq_id", "seg_pos", F.count(F.lit(1)).over(W.partitionBy("seq_id")).alias("n_segs"), F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("seg_key"), "tokens")
+    marked = marked.withColumn("block", block_of())
+    running = W.partitionBy("seq_id", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cut = F.col("boundary").cast("int")
+    before = carried(marked, F.sum(cut))
+    total = marked.filter(F.col("len") > BLOCK).groupBy("seq_id").agg(F.sum(cut).alias("whole_cuts"))
+    numbered = marked.select("seq_id", "block", "pos", "sym", F.sum(cut).over(running).alias("inside"), F.sum(cut).over(W.partitionBy("seq_id", "block")).alias("cuts"))
+    numbered = numbered.join(before, ["seq_id", "block"], "left").join(total, "seq_id", "left")
+    numbered = numbered.withColumn("seg_pos", (F.coalesce("carried", F.lit(0)) + F.col("inside")).cast("int")).withColumn("n_segs", F.coalesce("whole_cuts", "cuts") + 1)
+    whole = numbered.groupBy("seq_id", "seg_pos").agg(F.first("n_segs").alias("n_segs"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "sym"))), lambda t: t["sym"]).alias("tokens"))
+    return whole.select("seq_id", "seg_pos", "n_segs", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("seg_key"), "tokens")
 
 
 def segmented_lines(found: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import COMMODITY, NAME, TITLE, numeric_like
 from ..storage import stored
-from .stats import shannon, with_scalars
+from ..sources.corpora import by_block, with_guests
+from .stats import percentiles, shannon, with_scalars
 
 EXAMPLES = 10
 #: The features of the mixture model, in its order.
@@ -45,21 +46,21 @@ def inventory(rows: DataFrame, most: int = EXAMPLES) -> DataFrame:
 def numbered(counted: DataFrame, order: list) -> DataFrame:
     """Adds seg_id, a place in a total order.
 
-    The order is cut into ranges by freq and the beginning of the key: rows are numbered inside a range,
-    and each range starts after the rows of the ranges before it, so no task sees all rows.
+    Rows are dealt by ranges of the order and numbered inside a range, after the rows of the ranges before it, so no
+    task sees all rows, however many there are of one freq.
     """
-    part = counted.withColumn("_exact", -F.col("freq")).withColumn("_k", F.substring("seg_key", 1, 4))
-    sizes = part.groupBy("_exact", "_k").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.withColumn("_start", F.sum("_n").over(W.orderBy("_exact", "_k")) - F.col("_n")).drop("_n")
-    inside = F.row_number().over(W.partitionBy("_exact", "_k").orderBy(*order))
-    ranked = part.withColumn("_in", inside).join(starts, ["_exact", "_k"])
-    return ranked.withColumn("seg_id", F.format_string("seg_%05d", (F.col("_start") + F.col("_in")).cast("long"))).drop("_exact", "_k", "_start", "_in")
+    part = counted.withColumn("_exact", -F.col("freq")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    part = stored(part, "ranges")
+    sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row for each range
+    ranked = part.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(*order))).join(starts, "_part")
+    return ranked.withColumn("seg_id", F.format_string("seg_%05d", (F.col("_start") + F.col("_in")).cast("long"))).drop("_exact", "_part", "_start", "_in")
 
 
 def contexts(rows: DataFrame) -> DataFrame:
     """seg_key, side (left, right), nbr, n: neighbours in the same sequence."""
-    by = W.partitionBy("seq_id").orderBy("seg_pos")
-    pairs = rows.select(F.col("seg_key").alias("b"), F.lag("seg_key").over(by).alias("a")).filter("a IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    back = with_guests(rows.select("seq_id", "seg_pos", "n_segs", "seg_key"), 1, "seg_pos", "n_segs").select("guest", F.col("seg_key").alias("b"), F.lag("seg_key").over(by_block("seg_pos")).alias("a"))
+    pairs = back.filter("a IS NOT NULL AND NOT guest").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     both = F.array(
         F.struct(F.col("b").alias("seg_key"), F.lit("left").alias("side"), F.col("a").alias("nbr")), F.struct(F.col("a").alias("seg_key"), F.lit("right").alias("side"), F.col("b").alias("nbr"))
     )
@@ -166,12 +167,13 @@ def feature_matrix(rows: DataFrame, sequences: DataFrame | None = None) -> DataF
 
 def seeds(matrix: DataFrame) -> DataFrame:
     """seg_key and whether it is a seed of each class; a segment may be one of several."""
-    marks = matrix.agg(F.expr("percentile(freq, 0.5)").alias("mid"), F.expr("percentile(H_total, 0.6)").alias("high"))
-    return with_scalars(matrix, marks).select(
+    marks = percentiles(matrix, {"freq": [0.5], "H_total": [0.6]})
+    mid, high = (F.lit(marks[c][0]).cast("double") for c in ("freq", "H_total"))
+    return matrix.select(
         "seg_key",
-        ((F.col("numeric_assoc") >= 0.6) & (F.col("freq") >= F.col("mid"))).alias(COMMODITY),
+        ((F.col("numeric_assoc") >= 0.6) & (F.col("freq") >= mid)).alias(COMMODITY),
         ((F.col("start_prob") >= 0.6) & (F.col("coll_skew") >= 0.12)).alias(TITLE),
-        ((F.col("freq") <= F.col("mid")) & (F.col("H_total") >= F.col("high"))).alias(NAME),
+        ((F.col("freq") <= mid) & (F.col("H_total") >= high)).alias(NAME),
     )
 
 
@@ -198,15 +200,13 @@ def rule_labels(matrix: DataFrame) -> DataFrame:
 
 def robust_scale(matrix: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     """(x - median) / (P75 - P25) of each column; a range below 1e-9 counts as 1."""
-    marks = matrix.agg(*[F.expr(f"percentile({c}, array(0.25, 0.5, 0.75))").alias(f"q_{c}") for c in columns])
-    joined = with_scalars(matrix, marks)
+    marks = percentiles(matrix, dict.fromkeys(columns, [0.25, 0.5, 0.75]))
 
     def scaled(c: str) -> Column:
-        q = F.col(f"q_{c}")
-        spread = q[2] - q[0]
-        return ((F.col(c) - q[1]) / F.when(spread < 1e-9, F.lit(1.0)).otherwise(spread)).alias(c)
+        low, mid, high = (F.lit(q).cast("double") for q in marks[c])
+        return ((F.col(c) - mid) / F.when(high - low < 1e-9, F.lit(1.0)).otherwise(high - low)).alias(c)
 
-    return joined.select(*keep, *[scaled(c) for c in columns])
+    return matrix.select(*keep, *[scaled(c) for c in columns])
 
 
 def coverage(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import COMMODITY, NAME, TITLE
 from .lexicon import MIXTURE_FEATURES, robust_scale
+from .stats import percentiles
+from .variational import vectors
 
 K, MAX_ROUNDS, TOLERANCE, LEAST_SIGMA = 3, 250, 1e-6, 1e-4
 PROTOTYPES = 10
@@ -62,8 +64,9 @@ def _statistics(models: dict[int, Mixture]):
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float)
-            rows = batch.column(0).to_numpy()
+            if not batch.num_rows:
+                continue
+            x, rows = vectors(batch.column(1)), batch.column(0).to_numpy()
             for fit, m in models.items():
                 here = x if m.left_out < 0 else x[rows != m.left_out]
                 if not len(here):
@@ -154,14 +157,14 @@ def fit(matrix: DataFrame, scaled: DataFrame, left_out: list[int] = (), rounds:
 
 def component_labels(model: Mixture, matrix: DataFrame) -> list[str]:
     """The labels of components 0, 1, 2: each takes its best label of those left, in this order."""
-    marks = matrix.agg(*[F.expr(f"percentile({c}, array(0.25, 0.5, 0.75))").alias(c) for c in MIXTURE_FEATURES], F.max("freq").alias("most")).first()
-    q = np.array([list(marks[c]) for c in MIXTURE_FEATURES])
+    marks, most = percentiles(matrix, dict.fromkeys(MIXTURE_FEATURES, [0.25, 0.5, 0.75])), matrix.agg(F.max("freq")).first()[0]
+    q = np.array([marks[c] for c in MIXTURE_FEATURES])
     spread = np.where(q[:, 2] - q[:, 0] < 1e-9, 1.0, q[:, 2] - q[:, 0])
     mu = model.mu * spread + q[:, 1]
     at = {c: i for i, c in enumerate(MIXTURE_FEATURES)}
     out: list[str] = []
     for k in range(K):
-        common = mu[k, at["freq"]] / (marks["most"] + 1e-9)
+        common = mu[k, at["freq"]] / (most + 1e-9)
         scores = {
             COMMODITY: 0.6 * mu[k, at["numeric_assoc"]] + 0.4 * common,
             TITLE: 0.6 * mu[k, at["start_prob"]] + 0.4 * mu[k, at["coll_skew"]],
@@ -176,17 +179,14 @@ def assignments(scaled: DataFrame, models: list[Mixture]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x, rows = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1), batch.column(0).to_numpy()
-            out = {"row": [], "fit": [], "component": [], "r": []}
+            if not batch.num_rows:
+                continue
+            x, rows = vectors(batch.column(1)), batch.column(0).to_numpy()
             for i, m in enumerate(models):
                 use = rows != m.left_out
-                if use.any():
-                    r, _ = _responsibilities(x[use], m)
-                    out["row"] += rows[use].tolist()
-                    out["fit"] += [i] * len(r)
-                    out["component"] += r.argmax(1).tolist()
-                    out["r"] += r.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int64()), pa.array(out["fit"], pa.int32()), pa.array(out["component"], pa.int32()), pa.array(out["r"], pa.list_(pa.float64()))], list(out))
+                r = _responsibilities(x[use], m)[0]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * K), pa.array(r.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[use]), pa.array(np.full(len(r), i, np.int32)), pa.array(r.argmax(1).astype(np.int32)), lists], ["row", "fit", "component", "r"])
 
     return scaled.select("row", "x").mapInArrow(run, "row long, fit int, component int, r array<double>")
 
@@ -209,9 +209,19 @@ def left_out_rows(n: int, rounds: int, few: int = 200) -> list[int]:
 def agreement(scaled: DataFrame, models: list[Mixture]) -> DataFrame:
     """seg_key, stability: the share of fits that agree on a segment's most frequent component. A
     segment that a fit leaves out counts as disagreeing there."""
-    votes = assignments(scaled, models).groupBy("row", "component").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("row").agg((F.max("n") / len(models)).alias("stability"))
-    return scaled.select("row", "seg_key").join(best, "row").select("seg_key", "stability")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, rows = vectors(batch.column(1)), batch.column(0).to_numpy()
+            votes = np.zeros((len(x), K), np.int64)
+            for m in models:
+                use = np.flatnonzero(rows != m.left_out)
+                votes[use, _responsibilities(x[use], m)[0].argmax(1)] += 1
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(votes.max(1) / len(models))], ["seg_key", "stability"])
+
+    return scaled.select("row", "x", "seg_key").mapInArrow(run, "seg_key string, stability double")
 
 
 def stability(matrix: DataFrame, scaled: DataFrame, rounds: int = 40) -> DataFrame:

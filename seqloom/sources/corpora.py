@@ -1,19 +1,48 @@
 """Corpora of symbol sequences as (seq_id, pos, sym, len) rows.
 
-A corpus row is one symbol; ``pos`` counts from 0 in its sequence of ``len`` symbols. The rows of a
-sequence are dealt together once, and the windows of all later operators reuse that.
+A corpus row is one symbol; ``pos`` counts from 0 in its sequence of ``len`` symbols. Windows run over blocks of
+``BLOCK`` places of a sequence, so a long one is spread over tasks: rows near a border are guests in the block beyond it,
+where lags and leads reach them, and what depends on a whole sequence is summed up by block and carried on.
+Sequences of one block, which nearly all are, have no guests and nothing to carry.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 
-def by_sequence() -> WindowSpec:
-    return W.partitionBy("seq_id").orderBy("pos")
+#: Places of a sequence that a window holds.
+BLOCK = 4_096
+
+
+def block_of(place: str = "pos", block: int | None = None) -> Column:
+    return F.floor(F.col(place) / (block or BLOCK))
+
+
+def by_block(place: str = "pos") -> WindowSpec:
+    """Inside a block of ``with_guests``, in order."""
+    return W.partitionBy("seq_id", "block").orderBy(place)
+
+
+def with_guests(rows: DataFrame, reach: int, place: str = "pos", size: str = "len", block: int | None = None) -> DataFrame:
+    """rows with block and guest: each in its own block, and as a guest in the neighbouring one if that is at most
+    ``reach`` places away."""
+    block = block or BLOCK
+    own, inside = block_of(place, block), F.col(place) % block
+    before = F.when((inside < reach) & (own > 0), own - 1)
+    after = F.when((inside >= block - reach) & (own < F.floor((F.col(size) - 1) / block)), own + 1)
+    every = F.when(F.col(size) <= block, F.array(own)).otherwise(F.filter(F.array(own, before, after), lambda b: b.isNotNull()))
+    return rows.withColumn("block", F.explode(every)).withColumn("guest", F.col("block") != own)
+
+
+def carried(rows: DataFrame, total: Column, place: str = "pos", size: str = "len", block: int | None = None) -> DataFrame:
+    """seq_id, block, carried: the sum of ``total`` over the blocks before, for blocks of sequences that have several."""
+    of = rows.filter(F.col(size) > (block or BLOCK)).groupBy("seq_id", block_of(place, block).alias("block")).agg(total.alias("own"))
+    before = W.partitionBy("seq_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    return of.select("seq_id", "block", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("carried"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

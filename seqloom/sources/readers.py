@@ -61,11 +61,13 @@ def read_sequences(spark: SparkSession, path: str, first_cell: bool = False) ->
     """(seq_id, symbols array<bigint>); blank lines stay as empty sequences.
 
     first_cell: only the first cell that isn't empty counts, and blank lines go, as where a comma file
-    is taken for a table.
+    is taken for a table. A cell in double quotes may hold commas, and a doubled quote stands for one.
     """
     found = lines(spark, path)
     if first_cell:
-        cells = F.filter(F.split("value", ","), lambda c: F.trim(c) != "")
+        raw = F.regexp_extract_all("value", F.lit(r'\s*("(?:[^"]|"")*"|[^,"]*)\s*(?:,|$)'), F.lit(1))
+        bare = F.transform(raw, lambda c: F.when(c.startswith('"'), F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"')).otherwise(c))
+        cells = F.filter(bare, lambda c: F.trim(c) != "")
         found = found.filter(F.trim("value") != "").withColumn("value", F.get(cells, F.lit(0)))
     return found.select(F.col("line_no").cast("long").alias("seq_id"), parse_sequence(F.col("value")).alias("symbols"))
 

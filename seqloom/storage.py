@@ -11,7 +11,8 @@ import re
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,18 +50,49 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settled(spark: SparkSession, purpose: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The frame that ``make`` gives, stored; all that make stored on the way is deleted."""
-    path = shared_dir(spark, purpose)
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at the end what is stored inside, whose paths the list gets."""
     if not hasattr(_scopes, "open"):
         _scopes.open = []
     _scopes.open.append([])
     try:
-        df = make()
-        df.write.options(**_PAGES).parquet(path)
+        yield _scopes.open[-1]
     finally:
         removed(spark, _scopes.open.pop())
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, purpose: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The frame that ``make`` gives, stored; all that make stored on the way is deleted."""
+    return settled_all(spark, purpose, lambda: (make(),))[0]
+
+
+def settled_all(spark: SparkSession, purpose: str, make: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """The frames that ``make`` gives, each stored; all that make stored on the way is deleted."""
+    outer, out = [], []
+    try:
+        with clearing(spark):
+            for df in make():
+                outer.append(f"{checkpoint_root(spark)}/seqloom/{purpose}-{uuid.uuid4().hex}")
+                df.write.options(**_PAGES).parquet(outer[-1])
+                out.append(spark.read.schema(df.schema).parquet(outer[-1]))
+    except BaseException:
+        removed(spark, outer)
+        raise
+    if getattr(_scopes, "open", []):
+        _scopes.open[-1] += outer
+    return tuple(out)
+
+
+def tidy(spark: SparkSession, purpose: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The frame that ``make`` gives: as it is if nothing was stored on the way, else ``settled``."""
+    path = f"{checkpoint_root(spark)}/seqloom/{purpose}-{uuid.uuid4().hex}"
+    with clearing(spark) as stored_paths:
+        df = make()
+        if stored_paths:
+            df.write.options(**_PAGES).parquet(path)
+            df = spark.read.schema(df.schema).parquet(path)
+    return df
 
 
 def exists(spark: SparkSession, path: str) -> bool:
