@@ -8,8 +8,9 @@ presence by landmarks, and landmarks by languages.
 
 The model is fitted on the driver on a bounded sample: about ``PER_LANGUAGE`` labelled rows of each
 language and ``MOST_FITTED`` in all, those of smallest id hash, of texts of up to ``LONGEST_FITTED``
-characters. Its size is bounded too: ``LANDMARKS`` texts over that universe. It is applied
-to every row and whole text.
+characters. Its size is bounded too: ``LANDMARKS`` texts over that universe, taken from the languages in
+turn, so of more than 256 languages some have no landmark and are told by those of the others. Labels beyond the
+1,000 most frequent ones are not learned. It is applied to every row and whole text.
 
 Defined cases: a text that is null, empty or without a letter is ``und`` with score 0; where no row can
 be learned from, every row is; a null id counts as the empty string in the fold; repeated rows are

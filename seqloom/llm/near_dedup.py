@@ -225,7 +225,8 @@ def _documents(rows: DataFrame) -> DataFrame:
         united = connected_components(edges).withColumnRenamed("component", "united").withColumnRenamed("node", "component")
         joined = rows.join(united, "component", "left").withColumn("united", F.coalesce("united", "component"))
     joined = stored(joined.select("id", "n", "component", "united"), "near-united")
-    least = joined.filter("united IS NOT NULL").groupBy("united").agg(F.min("id").alias("least"))
+    # written, so that the join deals both sides itself and the rows of a hot group can be split
+    least = stored(joined.filter("united IS NOT NULL").groupBy("united").agg(F.min("id").alias("least")), "near-least")
     linked_rows = joined.filter("united IS NOT NULL").join(least, "united").select("id", "n", "least")
     # a row without words has the links of the other rows of its id
     beside = linked_rows.groupBy("id").agg(F.min("least").alias("least"))
