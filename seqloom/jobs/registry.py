@@ -266,7 +266,11 @@ def summary_comparison(spark, sf):
 def summary_maps(spark, sf):
     """The maps of the report, a row per entry: class counts and role patterns of both summaries."""
     maps = [(i, c) for i in (1, 2) for c in ("class_counts", "svo_patterns")]
-    entries = F.concat(*[F.transform(F.map_entries(f"{c}_{i}"), lambda e, i=i, c=c: F.struct(F.lit(i).alias("side"), F.lit(c).alias("map"), e["key"].alias("key"), e["value"].alias("n"))) for i, c in maps])
+
+    def rows(side: int, name: str):
+        return F.transform(F.map_entries(f"{name}_{side}"), lambda e: F.struct(F.lit(side).alias("side"), F.lit(name).alias("map"), e["key"].alias("key"), e["value"].alias("n")))
+
+    entries = F.concat(*[rows(side, name) for side, name in maps])
     return _summary_report(spark, sf).select(F.explode(entries).alias("e")).select("e.side", "e.map", "e.key", "e.n")
 
 
