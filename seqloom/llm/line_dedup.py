@@ -41,7 +41,7 @@ LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Runs of a level that are merged, and how many batches a table that comes at once is taken in.
 FANOUT, BATCHES = 3, 4
 BLANKS = b" \t\n\v\f\r"
-_RUN = "key binary, n long, top long"
+_RUN, _MANIFEST = "key binary, n long, top long", "level int, run long, written long"
 
 
 def line_key(line: bytes, least_chars: int) -> bytes | None:
@@ -72,22 +72,47 @@ def document_keys(docs: DataFrame, id_col: str, text_col: str, least_chars: int
 
 
 class LineRuns:
-    """Levelled runs of (key, n, top) in a shared folder. Runs are never changed: merged ones are deleted
-    once the run that replaces them is written. levels: per level the paths of its runs."""
+    """Levelled runs of (key, n, top) in a shared folder. Runs are never changed.
 
-    def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT):
-        self.spark, self.folder, self.fanout = spark, folder.rstrip("/"), fanout
+    Where the runs are to outlive the driver (``durable``), each change ends with a manifest of the runs that count, and
+    what it replaces is deleted only then: a folder is opened again at its last manifest, and what an ``add`` that failed
+    has left counts for nothing. levels: per level the paths of its runs.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT, durable: bool = True):
+        self.spark, self.folder, self.fanout, self.durable = spark, folder.rstrip("/"), fanout, durable
         self.levels: list[list[str]] = []
-        self.written = 0
+        self.written = self.version = 0
+        if durable:
+            self._opened()
+
+    def _opened(self) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest=*/_SUCCESS")
+        found = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(place) or []
+        self.version = max((int(f.getPath().getParent().getName().partition("=")[2]) for f in found), default=0)
+        if self.version:
+            rows = self.spark.read.schema(_MANIFEST).parquet(f"{self.folder}/manifest={self.version}").orderBy("level", "run").collect()
+            self.written = max(r["written"] for r in rows)
+            for r in rows:
+                self.levels += [[] for _ in range(r["level"] + 1 - len(self.levels))]
+                self.levels[r["level"]].append(f"{self.folder}/level={r['level']}/run={r['run']}")
 
     def _write(self, level: int, rows: DataFrame) -> None:
         path = f"{self.folder}/level={level}/run={self.written}"
         self.written += 1
         rows.sortWithinPartitions("key").write.mode("overwrite").parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
+        self.levels += [[] for _ in range(level + 1 - len(self.levels))]
         self.levels[level].append(path)
 
+    def _committed(self, replaced: list[str]) -> None:
+        """The runs of now are those that count; the replaced ones go."""
+        if self.durable:
+            rows = [(level, int(p.rpartition("=")[2]), self.written) for level, paths in enumerate(self.levels) for p in paths]
+            self.version += 1
+            self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest={self.version}")
+            replaced = [*replaced, f"{self.folder}/manifest={self.version - 1}"]
+        removed(self.spark, replaced)
+
     def _merged(self, paths: list[str]) -> DataFrame:
         rows = self.spark.read.schema(_RUN).parquet(*paths)
         return rows if len(paths) == 1 else rows.groupBy("key").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
@@ -96,12 +121,13 @@ class LineRuns:
         """The run of a batch of (id, key), and the merges that it causes."""
         once = keys.distinct()
         self._write(0, once.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")))
-        level = 0
+        level, replaced = 0, []
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._write(level + 1, self._merged(full))
-            removed(self.spark, full)
+            replaced += full
             level += 1
+        self._committed(replaced)
 
     def rows(self) -> DataFrame:
         """(key, n, top) over all runs."""
@@ -142,7 +168,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, least_chars: int, leas
     spark = docs.sparkSession
     batch = F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch")
     keys = stored(document_keys(docs, id_col, text_col, least_chars).select("id", "key", batch), "line-keys")
-    runs = LineRuns(spark, shared_dir(spark, "line-runs"), fanout)
+    runs = LineRuns(spark, shared_dir(spark, "line-runs"), fanout, durable=False)
     for k in range(batches):
         runs.add(keys.filter(F.col("batch") == k).select("id", "key"))
     return runs.losses(keys.select("id", "key").distinct(), least_docs)

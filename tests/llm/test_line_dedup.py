@@ -105,11 +105,11 @@ def test_runs_are_sorted_levelled_and_merged(spark, tmp_path):
         runs.add(ids)
         assert all(len(level) < fanout for level in runs.levels)
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    on_disk = [f"{d}/{x}" for d, _, names in os.walk(tmp_path / "runs") for x in names if x.endswith(".parquet")]
+    on_disk = [f"{d}/{x}" for d, _, names in os.walk(tmp_path / "runs") for x in names if x.endswith(".parquet") and "level=" in d]
     for path in on_disk:
         keys = [bytes(r.key) for r in spark.read.parquet(path).collect()]
         assert keys == sorted(keys)
-    assert len({os.path.dirname(p) for p in on_disk}) == 2
+    assert len({os.path.dirname(p) for p in on_disk if "level=" in p}) == 2
     total = {bytes(r.key): (r.n, r.top) for r in runs.rows().collect()}
     wanted = {}
     for i in range(200):
@@ -118,6 +118,29 @@ def test_runs_are_sorted_levelled_and_merged(spark, tmp_path):
     assert total == wanted
 
 
+def test_runs_are_opened_again(spark, tmp_path, monkeypatch):
+    """A new driver goes on where the last one was, whatever an add that failed has left."""
+    folder, keys = str(tmp_path / "runs"), lambda a, b: spark.range(a, b).select("id", F.unhex(F.md5((F.col("id") % 9).cast("string"))).alias("key"))
+    for k in range(3):
+        ld.LineRuns(spark, folder, fanout=2).add(keys(10 * k, 10 * k + 10))
+    held = sorted((bytes(r.key), r.n, r.top) for r in ld.LineRuns(spark, folder, fanout=2).rows().collect())
+    assert sum(n for _, n, _ in held) == 30
+
+    def broken(*a):
+        raise InterruptedError
+
+    for name in ("_committed", "_merged"):
+        with monkeypatch.context() as m, pytest.raises(InterruptedError):
+            m.setattr(ld.LineRuns, name, broken)
+            ld.LineRuns(spark, folder, fanout=2).add(keys(30, 40))
+        again = ld.LineRuns(spark, folder, fanout=2)
+        assert sorted((bytes(r.key), r.n, r.top) for r in again.rows().collect()) == held
+    again.add(keys(30, 40))
+    assert ld.LineRuns(spark, folder, fanout=2).levels == again.levels and [len(x) for x in again.levels] == [0, 0, 1]
+    assert ld.LineRuns(spark, folder, fanout=2).rows().agg(F.sum("n")).first()[0] == 40
+    assert sorted(os.listdir(folder)) == ["level=0", "level=1", "level=2", "manifest=4"]
+
+
 def test_nothing_but_the_result_is_left(spark, tmp_path):
     folder = f"{storage.checkpoint_root(spark).removeprefix('file:')}/seqloom"
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
