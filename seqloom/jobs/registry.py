@@ -178,13 +178,13 @@ def seed_sets(spark, sf):
 
 
 def seed_precision(spark, sf):
-    matrix = _matrix(spark, sf)
-    return _rounded(lexicon.seed_precision(lexicon.rule_labels(matrix), lexicon.seeds(matrix)), "precision_proxy", "recall_proxy")
+    seed = lexicon.seeds(_matrix(spark, sf))
+    return _rounded(lexicon.seed_precision(lexicon.rule_labels(seed), seed), "precision_proxy", "recall_proxy")
 
 
 def coverage(spark, sf):
     rows = _segments(spark, sf)
-    return _rounded(lexicon.coverage(rows, lexicon.rule_labels(_matrix_of(rows))), "pct")
+    return _rounded(lexicon.coverage(rows, lexicon.rule_labels(lexicon.seeds(_matrix_of(rows)))), "pct")
 
 
 def robust_scale(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clip01, normal_cdf
-from ..sources.corpora import BLOCK, block_of, by_block, carried, with_guests
+from ..sources.corpora import BLOCK, block_of, by_block, carried, has_long, with_guests
 from ..storage import settled, stored
 from .stats import entropy_of_positions, gram_counts, ngram_counts, npmi, placed, symbol_counts, with_scalars
 
@@ -27,7 +27,8 @@ def _features(corpus: DataFrame, entropy: DataFrame | None, diversity: DataFrame
     All counts come from one pass. Every statistic is joined once to the position it belongs to and reaches the
     neighbouring candidates by windows over blocks of a sequence: three joins and one return to sequence order in all.
     """
-    here = stored(placed(corpus), "placed")
+    long = has_long(corpus)
+    here = stored(placed(corpus, long), "placed")
     grams = stored(gram_counts(here), "grams")
     symbols = grams.filter("kind = 1").select(F.col("a").alias("sym"), "n", "starts", "ends")
     if entropy is None:
@@ -49,7 +50,7 @@ def _features(corpus: DataFrame, entropy: DataFrame | None, diversity: DataFrame
     here = here.join(bi.select(F.col("a").alias("s1"), F.col("b").alias("sym"), F.col("npmi").alias("bi")), ["s1", "sym"], "left")
     here = here.join(tri.select(F.col("a").alias("s2"), F.col("b").alias("s1"), F.col("c").alias("sym"), F.col("npmi").alias("tri")), ["s2", "s1", "sym"], "left")
     here = with_scalars(with_scalars(here, scalars), means)
-    near = with_guests(here, 1).select(
+    near = with_guests(here, 1, long=long).select(
         "seq_id", "pos", "len", "guest", "bi", "tri", "n", "starts", "ends", "all_starts", "all_ends", "v",
         F.coalesce("h", "mean_h").alias("h"), F.coalesce("d", "mean_d").alias("d"),
         *[f.over(by_block()).alias(name) for name, f in (
@@ -79,7 +80,7 @@ def _features(corpus: DataFrame, entropy: DataFrame | None, diversity: DataFrame
 def association(corpus: DataFrame, alpha: float = 1.0) -> DataFrame:
     """seq_id, pos, f0 of the candidate boundaries: the first feature alone, which takes bigram counts and one join."""
     pairs = npmi(ngram_counts(corpus, 2), symbol_counts(corpus).select("sym", "n"), 2, alpha)
-    back = with_guests(corpus, 1).select("seq_id", "pos", "guest", F.lag("sym", 1).over(by_block()).alias("a"), F.col("sym").alias("b"))
+    back = with_guests(corpus, 1, long=has_long(corpus)).select("seq_id", "pos", "guest", F.lag("sym", 1).over(by_block()).alias("a"), F.col("sym").alias("b"))
     here = back.filter("pos >= 1 AND NOT guest").drop("guest")
     return here.join(pairs.select("a", "b", "npmi"), ["a", "b"], "left").select("seq_id", "pos", F.coalesce("npmi", F.lit(-1.0)).alias("f0"))
 
@@ -115,33 +116,37 @@ def ensemble(detectors: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     return every.groupBy("seq_id", "pos").agg(clip01(mean).alias("p"))
 
 
-def choose(corpus: DataFrame, probabilities: DataFrame, threshold: float = 0.5) -> DataFrame:
+def choose(corpus: DataFrame, probabilities: DataFrame, threshold: float = 0.5, long: bool = True) -> DataFrame:
     """The corpus with ``boundary``: p reaches the threshold, or, where it does nowhere in a sequence of
-    several symbols, p is largest there (the first of equals); without any p the middle is taken."""
+    several symbols, p is largest there (the first of equals); without any p the middle is taken.
+    long: whether a sequence may have several blocks."""
     joined = corpus.join(probabilities.select("seq_id", "pos", "p"), ["seq_id", "pos"], "left").withColumn("block", block_of())
     rank, reached = F.when(F.col("p").isNotNull(), F.struct(-F.col("p"), F.col("pos"))), F.coalesce(F.col("p") >= threshold, F.lit(False))
     summary = {"best": F.min_by("pos", rank), "some": F.max(reached), "any_p": F.max(F.col("p").isNotNull())}
     own = W.partitionBy("seq_id", "block")
-    # sequences of several blocks: the same over all of them, which is a row for each such sequence
-    whole = joined.filter(F.col("len") > BLOCK).groupBy("seq_id").agg(*[c.alias(f"whole_{name}") for name, c in summary.items()])
-    marked = joined.select("seq_id", "pos", "sym", "len", "p", *[c.over(own).alias(name) for name, c in summary.items()]).join(whole, "seq_id", "left")
-    best, some, any_p = (F.coalesce(f"whole_{name}", name) for name in summary)
-    best = F.when(F.col("len") > BLOCK, F.col("whole_best")).otherwise(F.col("best"))
+    marked = joined.select("seq_id", "pos", "sym", "len", "p", *[c.over(own).alias(name) for name, c in summary.items()])
+    best, some, any_p = (F.col(name) for name in summary)
+    if long:  # sequences of several blocks: the same over all of them, which is a row for each such sequence
+        whole = joined.filter(F.col("len") > BLOCK).groupBy("seq_id").agg(*[c.alias(f"whole_{name}") for name, c in summary.items()])
+        marked = marked.join(whole, "seq_id", "left")
+        best, some, any_p = (F.when(F.col("len") > BLOCK, F.col(f"whole_{name}")).otherwise(F.col(name)) for name in summary)
     forced = F.when(any_p, best).otherwise(F.greatest(F.lit(1), F.floor(F.col("len") / 2)))
     chosen = F.when(some, F.coalesce(F.col("p") >= threshold, F.lit(False))).otherwise(F.col("pos") == forced)
     return marked.select("seq_id", "pos", "sym", "len", (chosen & (F.col("pos") >= 1)).alias("boundary"))
 
 
-def segments(marked: DataFrame) -> DataFrame:
-    """seq_id, seg_pos, n_segs, seg_key, tokens: the runs of symbols between boundaries."""
+def segments(marked: DataFrame, long: bool = True) -> DataFrame:
+    """seq_id, seg_pos, n_segs, seg_key, tokens: the runs of symbols between boundaries. long: as for ``choose``."""
     marked = marked.withColumn("block", block_of())
     running = W.partitionBy("seq_id", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     cut = F.col("boundary").cast("int")
-    before = carried(marked, F.sum(cut))
-    total = marked.filter(F.col("len") > BLOCK).groupBy("seq_id").agg(F.sum(cut).alias("whole_cuts"))
     numbered = marked.select("seq_id", "block", "pos", "sym", F.sum(cut).over(running).alias("inside"), F.sum(cut).over(W.partitionBy("seq_id", "block")).alias("cuts"))
-    numbered = numbered.join(before, ["seq_id", "block"], "left").join(total, "seq_id", "left")
-    numbered = numbered.withColumn("seg_pos", (F.coalesce("carried", F.lit(0)) + F.col("inside")).cast("int")).withColumn("n_segs", F.coalesce("whole_cuts", "cuts") + 1)
+    inside, cuts = F.col("inside"), F.col("cuts")
+    if long:
+        total = marked.filter(F.col("len") > BLOCK).groupBy("seq_id").agg(F.sum(cut).alias("whole_cuts"))
+        numbered = numbered.join(carried(marked, F.sum(cut)), ["seq_id", "block"], "left").join(total, "seq_id", "left")
+        inside, cuts = F.coalesce("carried", F.lit(0)) + inside, F.coalesce("whole_cuts", "cuts")
+    numbered = numbered.withColumn("seg_pos", inside.cast("int")).withColumn("n_segs", cuts + 1)
     whole = numbered.groupBy("seq_id", "seg_pos").agg(F.first("n_segs").alias("n_segs"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "sym"))), lambda t: t["sym"]).alias("tokens"))
     return whole.select("seq_id", "seg_pos", "n_segs", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("seg_key"), "tokens")
 
@@ -156,4 +161,5 @@ def segment_corpus(corpus: DataFrame, probabilities: DataFrame | None = None, th
     """Segments of a corpus, by default by the z-score detector alone."""
     if probabilities is None:
         probabilities = zscore_detector(stored(association(corpus), "association"))
-    return segments(choose(corpus, probabilities, threshold))
+    long = has_long(corpus)
+    return segments(choose(corpus, probabilities, threshold, long), long)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import COMMODITY, NAME, TITLE, numeric_like
 from ..storage import stored
-from ..sources.corpora import by_block, with_guests
+from ..sources.corpora import by_block, has_long, with_guests
 from .stats import percentiles, shannon, with_scalars
 
 EXAMPLES = 10
@@ -59,7 +59,7 @@ def numbered(counted: DataFrame, order: list) -> DataFrame:
 
 def contexts(rows: DataFrame) -> DataFrame:
     """seg_key, side (left, right), nbr, n: neighbours in the same sequence."""
-    back = with_guests(rows.select("seq_id", "seg_pos", "n_segs", "seg_key"), 1, "seg_pos", "n_segs").select("guest", F.col("seg_key").alias("b"), F.lag("seg_key").over(by_block("seg_pos")).alias("a"))
+    back = with_guests(rows.select("seq_id", "seg_pos", "n_segs", "seg_key"), 1, "seg_pos", "n_segs", long=has_long(rows, "n_segs")).select("guest", F.col("seg_key").alias("b"), F.lag("seg_key").over(by_block("seg_pos")).alias("a"))
     pairs = back.filter("a IS NOT NULL AND NOT guest").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     both = F.array(
         F.struct(F.col("b").alias("seg_key"), F.lit("left").alias("side"), F.col("a").alias("nbr")), F.struct(F.col("a").alias("seg_key"), F.lit("right").alias("side"), F.col("b").alias("nbr"))
@@ -191,11 +191,10 @@ def seed_precision(labels: DataFrame, seed: DataFrame) -> DataFrame:
     return per.select("label", rate("pred_count").alias("precision_proxy"), rate("seed_count").alias("recall_proxy"), "tp", "pred_count", "seed_count")
 
 
-def rule_labels(matrix: DataFrame) -> DataFrame:
-    """seg_key, label by the seeds alone, where a label is needed without the mixture: numbers first,
-    then titles, else names."""
-    s = seeds(matrix)
-    return s.select("seg_key", F.when(F.col(COMMODITY), COMMODITY).when(F.col(TITLE), TITLE).otherwise(NAME).alias("label"))
+def rule_labels(seed: DataFrame) -> DataFrame:
+    """seg_key, label by the seeds (seg_key and one column a class) alone, where a label is needed without the mixture:
+    numbers first, then titles, else names."""
+    return seed.select("seg_key", F.when(F.col(COMMODITY), COMMODITY).when(F.col(TITLE), TITLE).otherwise(NAME).alias("label"))
 
 
 def robust_scale(matrix: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:

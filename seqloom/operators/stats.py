@@ -60,10 +60,10 @@ def ngram_counts(corpus: DataFrame, n: int) -> DataFrame:
     return ngrams(corpus, n).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
 
 
-def placed(corpus: DataFrame) -> DataFrame:
+def placed(corpus: DataFrame, long: bool = True) -> DataFrame:
     """seq_id, pos, len, sym with s1 and s2, the symbols one and two places before."""
     back = [F.lag("sym", k).over(by_block()).alias(f"s{k}") for k in (1, 2)]
-    return with_guests(corpus, 2).select("seq_id", "pos", "len", "sym", "guest", *back).filter(~F.col("guest")).drop("guest")
+    return with_guests(corpus, 2, long=long).select("seq_id", "pos", "len", "sym", "guest", *back).filter(~F.col("guest")).drop("guest")
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:

@@ -27,9 +27,16 @@ def by_block(place: str = "pos") -> WindowSpec:
     return W.partitionBy("seq_id", "block").orderBy(place)
 
 
-def with_guests(rows: DataFrame, reach: int, place: str = "pos", size: str = "len", block: int | None = None) -> DataFrame:
+def has_long(rows: DataFrame, size: str = "len") -> bool:
+    """Whether a sequence has several blocks. On a stored corpus that takes the statistics of its files."""
+    return not rows.filter(F.col(size) > BLOCK).isEmpty()
+
+
+def with_guests(rows: DataFrame, reach: int, place: str = "pos", size: str = "len", block: int | None = None, long: bool = True) -> DataFrame:
     """rows with block and guest: each in its own block, and as a guest in the neighbouring one if that is at most
-    ``reach`` places away."""
+    ``reach`` places away. long: whether a sequence may have several blocks; without any there are no guests."""
+    if not long:
+        return rows.withColumn("block", F.lit(0).cast("long")).withColumn("guest", F.lit(False))
     block = block or BLOCK
     own, inside = block_of(place, block), F.col(place) % block
     before = F.when((inside < reach) & (own > 0), own - 1)
