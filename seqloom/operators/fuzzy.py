@@ -13,6 +13,10 @@ A text without phrases in its own and the neighbouring buckets is compared with
 highest bound first, then two, four and so on, until no bucket left can hold one of its best. A bucket is bounded by its
 least and largest lengths and by the most that one of its phrases has of each kind of character. The driver holds that
 summary of the buckets, whose number is at most about the root of the phrases' characters: a bucket takes phrases of its length.
+
+Characters that no phrase has match nothing, whichever they are. So texts are compared by their shape, in which one
+such character stands for all: texts of equal shape, label and probability have the same best phrases, which are
+looked for once. Commas and blanks stay, for they part a text.
 """
 
 from __future__ import annotations
@@ -34,10 +38,12 @@ from ..storage import stored
 
 #: Phrases and texts of a block, pairs of blocks of a task, bytes of phrases that go to all tasks, and groups beyond that.
 PHRASES, TEXTS, PAIRS_PER_TASK, MOST_TASKS, SENT_BYTES, SPREAD = 512, 256, 8, 10_000, 32 << 20, 32
+#: Shapes whose best phrases go to all tasks.
+SENT_LISTS = 50_000
 #: Kinds of characters that bounds count: code points by their remainder.
 KINDS = 128
-#: Second texts whose indexes a task keeps.
-_KEPT = 4_000
+#: Second texts whose indexes a task keeps, and ratios that each keeps.
+_KEPT, _RATIOS = 4_000, 5_000
 DIGITS = 4
 _CLASSES = [*CLASS_SUFFIXES, UNKNOWN]
 _TEXT = ["text", "label", "probability", "length", "parts", "of_class", "p", "w0", "w1", "w2", "w3"]
@@ -151,6 +157,22 @@ def best_of_block(q: Texts, c: Texts, k: int, index: Callable[[str], SecondText]
             yield i, j, -minus, compared
 
 
+class Remembered(SecondText):
+    """A second text that keeps ratios, for first texts that come with many labels and probabilities."""
+
+    def __init__(self, text: str):
+        super().__init__(text)
+        self._ratios: dict[str, float] = {}
+
+    def ratio(self, first: str) -> float:
+        found = self._ratios.get(first)
+        if found is None:
+            if len(self._ratios) >= _RATIOS:
+                self._ratios.clear()
+            found = self._ratios[first] = super().ratio(first)
+        return found
+
+
 _FOUND = "text string, label string, probability double, bucket int, cand_id long, word string, score double"
 
 
@@ -167,7 +189,7 @@ def _compared(pairs: DataFrame, k: int) -> DataFrame:
             if found is None:
                 if len(indexes) >= _KEPT:
                     indexes.clear()
-                found = indexes[text] = SecondText(text)
+                found = indexes[text] = Remembered(text)
             return found
 
         for batch in batches:
@@ -203,15 +225,17 @@ class Buckets:
             sums: dict[int, list] = {}
             for batch in batches:
                 n = [batch.column(i).to_pylist() for i in range(4)]
-                counts, plain = counts_of(n[0]), counts_of([without_marks(t) for t in n[0]])
+                bare = [without_marks(t) for t in n[0]]
+                counts, plain = counts_of(n[0]), counts_of(bare)
                 weights = np.stack([batch.column(4 + i).to_numpy() for i in range(len(_CLASSES))], 1) if batch.num_rows else None
                 for at, bucket in enumerate(n[1]):
-                    have = sums.setdefault(bucket, [0, n[2][at], n[2][at], n[3][at], n[3][at], 0, np.zeros(KINDS, np.int32), np.zeros(KINDS, np.int32), np.zeros(len(_CLASSES))])
+                    have = sums.setdefault(bucket, [0, n[2][at], n[2][at], n[3][at], n[3][at], 0, np.zeros(KINDS, np.int32), np.zeros(KINDS, np.int32), np.zeros(len(_CLASSES)), np.zeros(128)])
                     have[0] += 1
                     have[1], have[2] = min(have[1], n[2][at]), max(have[2], n[2][at])
                     have[3], have[4] = min(have[3], n[3][at]), max(have[4], n[3][at])
                     have[5] += len(n[0][at].encode()) + 100
                     have[6], have[7], have[8] = np.maximum(have[6], counts[at]), np.maximum(have[7], plain[at]), np.maximum(have[8], weights[at])
+                    have[9][[ord(x) for x in {*n[0][at], *bare[at]} if x.isascii()]] = 1
             names = list(sums)
             columns = [pa.array(names, pa.int32()), *[pa.array([sums[b][i] for b in names], pa.int64()) for i in range(6)]]
             most = pa.array([np.concatenate(sums[b][6:]).astype(float).tolist() for b in names], pa.list_(pa.float64()))
@@ -223,11 +247,13 @@ class Buckets:
         column = lambda c: np.array([r[c] for r in found], int)
         self.bucket, self.n, self.bytes = column("bucket"), column("n"), int(column("size").sum())
         self.low, self.high, self.parts_low, self.parts_high = (column(c) for c in ("low", "high", "parts_low", "parts_high"))
-        most = np.zeros((len(found), 2 * KINDS + len(_CLASSES)))
+        most = np.zeros((len(found), 2 * KINDS + len(_CLASSES) + 128))
         at = {b: i for i, b in enumerate(self.bucket.tolist())}
         for r in per.select("bucket", F.posexplode("most").alias("kind", "most")).groupBy("bucket", "kind").agg(F.max("most").alias("most")).filter("most > 0").collect():
             most[at[r["bucket"]], r["kind"]] = r["most"]
-        self.counts, self.plain, self.weights = most[:, :KINDS], most[:, KINDS : 2 * KINDS], most[:, 2 * KINDS :]
+        self.counts, self.plain, self.weights = most[:, :KINDS], most[:, KINDS : 2 * KINDS], most[:, 2 * KINDS : -128]
+        #: visible ASCII characters that no phrase has, with or without marks
+        self.foreign = "".join(x for x in map(chr, range(33, 127)) if x != "," and not most[:, ord(x) - 128].any())
         parts = F.create_map(*[F.lit(int(x)) for b, n in zip(self.bucket, self.n, strict=True) for x in (b, -(-n // PHRASES))]) if len(found) else F.lit(None)
         dealt = phrases.withColumn("part", F.pmod(F.xxhash64("cand_id"), parts[F.col("bucket")]).cast("int")) if len(found) else phrases.withColumn("part", F.lit(0))
         inner = F.struct("cand_id", "word", "length", "parts", *[f"lw{i}" for i in range(len(_CLASSES))])
@@ -300,11 +326,28 @@ def fuzzy_top(queries: DataFrame, candidates: DataFrame, k: int, reach: int) ->
     Those of the buckets in reach, or of all where there are none in reach. Equal scores rank by bucket, then cand_id.
     """
     known = Buckets(stored(target_phrases(candidates), "fuzzy-phrases"))
-    asked = stored(asked_texts(queries), "fuzzy-texts")
-    columns = ["text", "label", "probability", "place", "word", "score"]
+    texts = queries.select("text", "label", F.col("probability").cast("double").alias("probability")).filter("text IS NOT NULL").distinct()
     if not len(known.bucket):
-        return asked.limit(0).select("text", "label", "probability", F.lit(0).alias("place"), F.lit("").alias("word"), F.lit(0.0).alias("score"))
+        return texts.limit(0).select("text", "label", "probability", F.lit(0).alias("place"), F.lit("").alias("word"), F.lit(0.0).alias("score"))
+    named = stored(texts.withColumn("shape", shape(F.col("text"), known.foreign)), "fuzzy-texts")
+    best = _best(stored(asked_texts(named.select(F.col("shape").alias("text"), "label", "probability")), "fuzzy-shapes"), known, k, reach)
+    lists = best.groupBy(F.col("text").alias("shape"), "label", "probability").agg(F.array_sort(F.collect_list(F.struct("place", "word", "score"))).alias("best"))
+    lists = stored(lists, "fuzzy-lists")
+    if lists.count() <= SENT_LISTS:
+        lists = F.broadcast(lists)
+    own = [F.col(f"t.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("shape", "label", "probability")]
+    found = named.alias("t").join(lists.alias("b"), own[0] & own[1] & own[2]).select("t.text", "t.label", "t.probability", F.explode("b.best").alias("best"))
+    return found.select("text", "label", "probability", "best.place", "best.word", "best.score")
+
+
+def shape(text: Column, foreign: str) -> Column:
+    """text with the first of the foreign characters in place of each of them."""
+    return F.translate(text, foreign, foreign[0] * len(foreign)) if foreign else text
 
+
+def _best(asked: DataFrame, known: Buckets, k: int, reach: int) -> DataFrame:
+    """text, label, probability, place, word, score of ``asked_texts``."""
+    columns = ["text", "label", "probability", "place", "word", "score"]
     near = lambda q: [known.near(b, reach) for b in q.number["bucket"]]
     found = stored(_met(asked, known, lambda q, _: near(q), k), "fuzzy-near")
     some = F.array(*[F.lit(int(b)) for b in known.bucket])

@@ -92,3 +92,17 @@ def test_bounds_hold():
     exact = np.array([[SecondText(y).matching(x) for y in b] for x in a])
     assert (most >= exact).all() and most.sum() < 2 * exact.sum()
     assert [fuzzy.rounded(x) for x in (0.12345, 0.123449999, 0.00005, 1.0)] == [1235, 1234, 1, 10_000]
+
+
+def test_texts_of_equal_shape_are_compared_once(spark, monkeypatch):
+    """Digits that no phrase has stand for one another; those that a phrase has, marks and commas don't."""
+    phrases = ["hot ring 7", "cold plate", "old gear", "café bolt", "a, b"]
+    texts = [f"{a} {b}" for a in range(100, 130) for b in range(200, 210)] + ["17 71", "7 7", "12, 345 | 6", "1é7", "#", "e e", ""]
+    asked = []
+    real = fuzzy._best
+    monkeypatch.setattr(fuzzy, "_best", lambda rows, *rest: asked.append(rows.count()) or real(rows, *rest))
+    q = spark.createDataFrame([(t, label, p) for t in texts for label, p in (("unknown", 0.0), ("title", 0.9))], "text string, label string, probability double")
+    c = spark.createDataFrame(list(enumerate(phrases)), "cand_id long, text string")
+    found = {tuple(r) for r in fuzzy.fuzzy_top(q, c, 3, 50).collect()}
+    assert asked[0] < 50 and len(found) == 3 * 2 * len(texts)
+    assert found == {tuple(r) for r in by_all_comparisons(q, c, 3, 50).collect()}
