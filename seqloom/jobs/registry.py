@@ -13,7 +13,7 @@ from ..functions import text as fx
 from .. import storage
 from ..operators import boundary, compare, decode, detectors, lexicon, mixture, stats
 from ..sources import readers, writers
-from ..sources.corpora import order_lines, table
+from ..sources.corpora import long_orders, order_lines, order_sequences, table
 from . import oracle
 
 DIGITS = 6
@@ -43,7 +43,12 @@ def _kept(df: DataFrame) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
-    return storage.settled(spark, "segments", lambda: boundary.segment_corpus(_kept(order_lines(spark, sf))))
+    def make() -> DataFrame:
+        if long_orders(spark, sf):
+            return boundary.segment_corpus(_kept(order_lines(spark, sf)))
+        return boundary.segment_sequences(_kept(order_sequences(spark, sf)))
+
+    return storage.settled(spark, "segments", make)
 
 
 def _matrix_of(rows: DataFrame) -> DataFrame:

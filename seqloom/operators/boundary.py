@@ -163,3 +163,37 @@ def segment_corpus(corpus: DataFrame, probabilities: DataFrame | None = None, th
         probabilities = zscore_detector(stored(association(corpus), "association"))
     long = has_long(corpus)
     return segments(choose(corpus, probabilities, threshold, long), long)
+
+
+def sequence_association(sequences: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """``association`` of sequences (seq_id, symbols) of a block at most: neighbours are in the row, so only counts of
+    pairs and the pairs themselves are shuffled."""
+    spots = F.when(F.size("symbols") > 1, F.sequence(F.lit(1), F.size("symbols") - 1))
+    each = sequences.select("seq_id", "symbols", F.explode(spots).alias("pos"))
+    here = each.select("seq_id", "pos", F.get("symbols", F.col("pos") - 1).alias("a"), F.get("symbols", F.col("pos")).alias("b"))
+    symbols = stored(sequences.select(F.explode("symbols").alias("sym")).groupBy("sym").agg(F.count(F.lit(1)).alias("n")), "symbols")
+    places = sequences.select(F.greatest(F.lit(0), F.size("symbols") - 1).alias("n"))
+    pairs = npmi(here.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), symbols, 2, alpha, places)
+    return here.join(pairs.select("a", "b", "npmi"), ["a", "b"], "left").select("seq_id", "pos", F.coalesce("npmi", F.lit(-1.0)).alias("f0"))
+
+
+def sequence_segments(sequences: DataFrame, probabilities: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``segments`` of what ``choose`` marks, for sequences (seq_id, symbols) of a block at most, with ``before``, the key of
+    the segment before. probabilities: seq_id, pos, p of places of the sequences, from 1 on. A sequence meets its cuts in one row."""
+    rank = F.when(F.col("p").isNotNull(), F.struct(-F.col("p"), F.col("pos")))
+    found = probabilities.groupBy("seq_id").agg(F.collect_list(F.when(F.col("p") >= threshold, F.col("pos"))).alias("reached"), F.min_by("pos", rank).alias("best"))
+    size = F.size("symbols")
+    forced = F.coalesce("best", F.greatest(F.lit(1), F.floor(size / 2)).cast("int"))
+    cuts = F.when(size < 2, F.array().cast("array<int>")).when(F.size("reached") > 0, F.sort_array("reached")).otherwise(F.array(forced))
+    rows = sequences.join(found, "seq_id", "left").select("seq_id", "symbols", F.concat(F.array(F.lit(0)), cuts).alias("starts"))
+    each = rows.select("seq_id", "symbols", "starts", F.posexplode("starts").alias("seg_pos", "start"))
+    stop, back = F.coalesce(F.get("starts", F.col("seg_pos") + 1), size), F.get("starts", F.col("seg_pos") - 1)
+    part = lambda low, high: F.slice("symbols", low + 1, high - low)
+    key = lambda tokens: F.array_join(tokens.cast("array<string>"), ",")
+    tokens, before = part(F.col("start"), stop), F.when(F.col("seg_pos") > 0, key(part(back, F.col("start"))))
+    return each.select("seq_id", "seg_pos", F.size("starts").cast("long").alias("n_segs"), key(tokens).alias("seg_key"), tokens.alias("tokens"), before.alias("before"))
+
+
+def segment_sequences(sequences: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``segment_corpus`` of sequences (seq_id, symbols) of a block at most, by the z-score detector."""
+    return sequence_segments(sequences, zscore_detector(stored(sequence_association(sequences), "association")), threshold)

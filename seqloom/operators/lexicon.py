@@ -58,8 +58,11 @@ def numbered(counted: DataFrame, order: list) -> DataFrame:
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """seg_key, side (left, right), nbr, n: neighbours in the same sequence."""
-    back = with_guests(rows.select("seq_id", "seg_pos", "n_segs", "seg_key"), 1, "seg_pos", "n_segs", long=has_long(rows, "n_segs")).select("guest", F.col("seg_key").alias("b"), F.lag("seg_key").over(by_block("seg_pos")).alias("a"))
+    """seg_key, side (left, right), nbr, n: neighbours in the same sequence. rows may name the segment before in ``before``."""
+    if "before" in rows.columns:
+        back = rows.select(F.lit(False).alias("guest"), F.col("seg_key").alias("b"), F.col("before").alias("a"))
+    else:
+        back = with_guests(rows.select("seq_id", "seg_pos", "n_segs", "seg_key"), 1, "seg_pos", "n_segs", long=has_long(rows, "n_segs")).select("guest", F.col("seg_key").alias("b"), F.lag("seg_key").over(by_block("seg_pos")).alias("a"))
     pairs = back.filter("a IS NOT NULL AND NOT guest").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     both = F.array(
         F.struct(F.col("b").alias("seg_key"), F.lit("left").alias("side"), F.col("a").alias("nbr")), F.struct(F.col("a").alias("seg_key"), F.lit("right").alias("side"), F.col("b").alias("nbr"))

@@ -129,14 +129,14 @@ def percentiles(rows: DataFrame, wanted: dict[str, list[float]]) -> dict[str, li
     return {c: [value(i, share) for share in wanted[c]] for i, c in enumerate(columns)}
 
 
-def npmi(grams: DataFrame, symbols: DataFrame, n: int, alpha: float = 1.0) -> DataFrame:
+def npmi(grams: DataFrame, symbols: DataFrame, n: int, alpha: float = 1.0, places: DataFrame | None = None) -> DataFrame:
     """Adds ``npmi`` to n-gram counts (a, b, ..., n): smoothed, normalized pointwise mutual information.
 
-    symbols: sym, n.
+    symbols: sym, n. places: rows whose ``n`` sum up to that of the n-grams, where they are easier to sum up.
     """
     names = "abcdefgh"[:n]
     uni = symbols.agg(F.greatest(F.sum("n"), F.lit(1)).cast("double").alias("n1"), F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double").alias("v"))
-    total = grams.agg(F.greatest(F.sum("n"), F.lit(1)).cast("double").alias("nn"))
+    total = (grams if places is None else places).agg(F.greatest(F.sum("n"), F.lit(1)).cast("double").alias("nn"))
     joined = grams.withColumnRenamed("n", "count")
     for x in names:
         joined = joined.join(symbols.select(F.col("sym").alias(x), F.col("n").alias(f"n_{x}")), x)

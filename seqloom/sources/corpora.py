@@ -65,10 +65,24 @@ def ordered_corpus(rows: DataFrame, seq, order: list, sym) -> DataFrame:
     )
 
 
+_LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sequence per order: the suppliers of its lines. Closest to short inscriptions."""
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
-    return ordered_corpus(table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), order, F.col("l_suppkey"))
+    return ordered_corpus(table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), _LINE_ORDER, F.col("l_suppkey"))
+
+
+def long_orders(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether an order has more lines than a block holds."""
+    sizes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return not sizes.filter(F.col("n") > BLOCK).isEmpty()
+
+
+def order_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq_id, symbols: ``order_lines`` with a sequence in each row, where none is longer than a block."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("seq_id")).agg(F.sort_array(F.collect_list(F.struct(*_LINE_ORDER))).alias("lines"))
+    return lines.select("seq_id", F.col("lines.l_suppkey").alias("symbols"))
 
 
 def array_corpus(sequences: DataFrame, seq_col: str = "seq_id", symbols_col: str = "symbols") -> DataFrame:
