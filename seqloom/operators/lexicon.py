@@ -110,6 +110,35 @@ def average_pmi(ctx: DataFrame, counts: DataFrame, alpha: float = 1.0) -> DataFr
     return found.select("seg_key", *[F.coalesce(f"avg_pmi_{s}", F.lit(0.0)).alias(f"avg_pmi_{s}") for s in ("left", "right")])
 
 
+def context_features(ctx: DataFrame, counts: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """``side_entropy``, ``average_pmi`` and ``numeric_association`` of segments that have neighbours, in one pass.
+
+    ctx is shuffled twice, by neighbour and by segment. Totals of a side need no sums over ctx: a segment has a left
+    neighbour wherever it is not the first, and a right one wherever it is not the last.
+    """
+    uni = counts.agg(
+        F.sum("freq").cast("double").alias("n1"), F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double").alias("v"), F.coalesce(F.sum(F.col("freq") - F.col("ends")), F.lit(0)).cast("double").alias("n2")
+    )
+    beside = counts.select(F.col("seg_key").alias("nbr"), F.col("freq").alias("fy"), numeric_like(F.col("tokens")).alias("numeric"))
+    own = counts.select("seg_key", F.col("freq").alias("fx"), "starts", "ends")
+    named = with_scalars(ctx.join(beside, "nbr").join(own, "seg_key"), uni)
+    left = F.col("side") == "left"
+    total = F.col("fx") - F.when(left, F.col("starts")).otherwise(F.col("ends"))
+    p = F.col("n") / total
+    share = lambda c: F.log((F.col(c) + alpha) / (F.col("n1") + alpha * F.col("v")))
+    pmi = F.log((F.col("n") + alpha) / (F.col("n2") + alpha * F.col("v") * F.col("v"))) - share("fx") - share("fy")
+    values = named.select("seg_key", left.alias("left"), "n", "numeric", shannon(F.col("n"), total).alias("h"), (p * p).alias("hhi"), pmi.alias("pmi"))
+    of = lambda side, f, c: f(F.when(F.col("left") == F.lit(side), F.col(c)))
+    sums = values.groupBy("seg_key").agg(
+        *[F.coalesce(of(side, F.sum, c), F.lit(0.0)).alias(f"{c}_{side}") for side in (True, False) for c in ("h", "hhi")], *[F.coalesce(of(side, F.avg, "pmi"), F.lit(0.0)).alias(f"pmi_{side}") for side in (True, False)],
+        F.sum(F.when(F.col("numeric"), F.col("n")).otherwise(F.lit(0))).alias("num_adj"), F.sum("n").alias("total_adj"),
+    )
+    return sums.select(
+        "seg_key", F.col("h_True").alias("H_left"), F.col("h_False").alias("H_right"), (F.col("h_True") + F.col("h_False")).alias("H_total"), (0.5 * (F.col("hhi_True") + F.col("hhi_False"))).alias("coll_skew"),
+        F.col("pmi_True").alias("avg_pmi_left"), F.col("pmi_False").alias("avg_pmi_right"), (F.col("num_adj") / F.greatest(F.lit(1), F.col("total_adj"))).alias("numeric_assoc"),
+    )
+
+
 def numeric_neighbours(ctx: DataFrame, counts: DataFrame) -> DataFrame:
     """seg_key, num_adj, total_adj for every segment: neighbours that look like numbers, and all."""
     flags = counts.select(F.col("seg_key").alias("nbr"), numeric_like(F.col("tokens")).alias("numeric"))
@@ -155,15 +184,14 @@ def sequence_count(rows: DataFrame) -> DataFrame:
 
 def feature_matrix(rows: DataFrame, sequences: DataFrame | None = None) -> DataFrame:
     """One row per segment with all its features, seg_id and first examples."""
-    counts, ctx = stored(segment_counts(rows), "counts"), stored(contexts(rows), "contexts")
-    adjacent = numeric_neighbours(ctx, counts)
+    counts = stored(segment_counts(rows), "counts")
     sequences = sequence_count(rows) if sequences is None else sequences
     base = counts.select(
         "seg_key", "tokens", "freq", "docfreq", (F.col("starts") / F.greatest(F.lit(1), F.col("freq"))).alias("start_prob"), (F.col("ends") / F.greatest(F.lit(1), F.col("freq"))).alias("end_prob"),
         F.coalesce("avg_pos", F.lit(0.5)).alias("avg_pos"), F.size("tokens").cast("double").alias("mean_len"),
     )
-    wide = base.join(side_entropy(ctx), "seg_key", "left").join(average_pmi(ctx, counts), "seg_key").join(numeric_association(adjacent), "seg_key").join(burstiness_and_idf(counts, sequences), "seg_key")
-    wide = wide.fillna(0.0, ["H_left", "H_right", "H_total", "coll_skew"])
+    wide = base.join(context_features(contexts(rows), counts), "seg_key", "left").join(burstiness_and_idf(counts, sequences), "seg_key")
+    wide = wide.fillna(0.0, ["H_left", "H_right", "H_total", "coll_skew", "avg_pmi_left", "avg_pmi_right", "numeric_assoc"])
     ids = numbered(counts.select("seg_key", "freq"), _BY_FREQ).select("seg_key", "seg_id")
     return wide.join(ids, "seg_key").join(_examples(rows, EXAMPLES), "seg_key")
 

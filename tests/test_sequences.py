@@ -37,3 +37,13 @@ def test_sequences_without_probabilities(spark):
     none = array_corpus(sequences(spark, 4))
     wanted = boundary.segment_corpus(none, none.select("seq_id", "pos", F.lit(None).cast("double").alias("p")).limit(0))
     assert as_set(found, *KEYS) == as_set(wanted, *KEYS)
+
+
+def test_context_features_equal_those_taken_apart(spark):
+    rows = boundary.segment_sequences(sequences(spark, 5))
+    counts, ctx = lexicon.segment_counts(rows), lexicon.contexts(rows)
+    found = {r.seg_key: r.asDict() for r in lexicon.context_features(ctx, counts).collect()}
+    apart = lexicon.side_entropy(ctx).join(lexicon.average_pmi(ctx, counts), "seg_key").join(lexicon.numeric_association(lexicon.numeric_neighbours(ctx, counts)), "seg_key").collect()
+    assert found.keys() == {r.seg_key for r in apart} and len(apart) > 10
+    for r in apart:
+        assert found[r.seg_key] == pytest.approx(r.asDict(), abs=1e-12)
