@@ -30,7 +30,8 @@ def _features(corpus: DataFrame, entropy: DataFrame | None, diversity: DataFrame
     long = has_long(corpus)
     here = stored(placed(corpus, long), "placed")
     grams = stored(gram_counts(here), "grams")
-    symbols = grams.filter("kind = 1").select(F.col("a").alias("sym"), "n", "starts", "ends")
+    # symbols are stored by themselves, so that their size is known and joins send them to all tasks while they are few
+    symbols = stored(grams.filter("kind = 1").select(F.col("a").alias("sym"), "n", "starts", "ends"), "symbols")
     if entropy is None:
         at = grams.filter("kind = 0").select(F.col("a").alias("sym"), F.col("at").alias("pos"), "n")
         entropy = entropy_of_positions(at, here.agg(F.max("len").alias("longest"))).select("sym", F.col("entropy").alias("value"))
@@ -44,7 +45,7 @@ def _features(corpus: DataFrame, entropy: DataFrame | None, diversity: DataFrame
         F.greatest(F.sum("starts"), F.lit(1)).alias("all_starts"), F.greatest(F.sum("ends"), F.lit(1)).alias("all_ends"), F.greatest(F.count(F.lit(1)), F.lit(1)).alias("v")
     )
     means = entropy.agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean_h")).crossJoin(F.broadcast(diversity.agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean_d"))))
-    known = symbols.join(entropy.withColumnRenamed("value", "h"), "sym", "left").join(diversity.withColumnRenamed("value", "d"), "sym", "left")
+    known = stored(symbols.join(entropy.withColumnRenamed("value", "h"), "sym", "left").join(diversity.withColumnRenamed("value", "d"), "sym", "left"), "known")
 
     here = here.join(known, "sym")
     here = here.join(bi.select(F.col("a").alias("s1"), F.col("b").alias("sym"), F.col("npmi").alias("bi")), ["s1", "sym"], "left")
