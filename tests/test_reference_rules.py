@@ -273,6 +273,26 @@ def test_clusters_of_all_rows_equal_the_definition(spark, eps, local, cell):
     assert [own[v] for v in map(tuple, x.tolist())] == detectors.density_clusters(x, eps, 4).tolist()
 
 
+def test_clusters_far_from_all_others_meet_no_points(spark, monkeypatch):
+    """Two clusters, apart along one axis only and overlapping on the others: none of their points is compared with the other's."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 0.4, (1_200, 6))
+    x[:300, 5] = 4 + 0.01 * x[:300, 5]
+    points = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, x array<double>, n long").cache()
+    met, whole = [], density._reaching
+
+    def watched(*args):
+        found = whole(*args)
+        met.append(found.filter("label >= 0").count())
+        return found
+
+    monkeypatch.setattr(density, "_reaching", watched)
+    of = dict(density.clusters(points, x[:50], 1.1, 4, local=200, cell=50).collect())
+    number = {c: k for k, c in enumerate(sorted({c for c in of.values() if c is not None}))}
+    assert [-1 if of[i] is None else number[of[i]] for i in range(len(x))] == detectors.density_clusters(x, 1.1, 4).tolist()
+    assert len(number) == 2 and met and met[-1] == 0
+
+
 @pytest.mark.parametrize("block", [4, 7, 1_000])
 def test_nearest_centers_by_blocks(spark, block):
     rng = np.random.default_rng(8)
