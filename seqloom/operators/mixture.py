@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import COMMODITY, NAME, TITLE
+from ..storage import clearing, stored
 from .lexicon import MIXTURE_FEATURES, robust_scale
 from .stats import percentiles
-from .variational import vectors
+from .variational import matrices, packed, vectors
 
 K, MAX_ROUNDS, TOLERANCE, LEAST_SIGMA = 3, 250, 1e-6, 1e-4
 PROTOTYPES = 10
@@ -42,40 +43,39 @@ def scaled_rows(matrix: DataFrame) -> DataFrame:
     return scaled.select(row.alias("row"), "seg_key", "seg_id", F.col("freq_raw").alias("freq"), F.array(*MIXTURE_FEATURES).alias("x"))
 
 
-def _log_joint(x: np.ndarray, m: Mixture) -> np.ndarray:
-    out = np.empty((len(x), K))
+def _shares(squares: list[np.ndarray], m: Mixture) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the components in rows, and their log-likelihoods. squares: those of the rows less each component's mean."""
+    joint = np.empty((len(squares[0]), K))
     for k in range(K):
         var = m.sigma[k] ** 2
-        out[:, k] = np.log(m.pi[k] + 1e-300) - 0.5 * np.log(2 * np.pi * var + 1e-300).sum() - 0.5 * ((x - m.mu[k]) ** 2 / (var + 1e-300)).sum(1)
-    return out
-
-
-def _responsibilities(x: np.ndarray, m: Mixture) -> tuple[np.ndarray, np.ndarray]:
-    joint = _log_joint(x, m)
+        joint[:, k] = np.log(m.pi[k] + 1e-300) - 0.5 * np.log(2 * np.pi * var + 1e-300).sum() - 0.5 * (squares[k] @ (1 / (var + 1e-300)))
     top = joint.max(1, keepdims=True)
     norm = np.log(np.exp(joint - top).sum(1, keepdims=True)) + top
     return np.exp(joint - norm), norm[:, 0]
 
 
+def _responsibilities(x: np.ndarray, m: Mixture) -> tuple[np.ndarray, np.ndarray]:
+    return _shares([(x - m.mu[k]) ** 2 for k in range(K)], m)
+
+
 def _statistics(models: dict[int, Mixture]):
     """Partitions to rows (fit, place, value) of sums: log-likelihood, rows, then per component the
     responsibility, and its sums with x and with squares around the component's present mean."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, rows = vectors(batch.column(1)), batch.column(0).to_numpy()
+        for x, rows in matrices(batches, np.int64):
             for fit, m in models.items():
-                here = x if m.left_out < 0 else x[rows != m.left_out]
+                out = rows == m.left_out if m.left_out >= 0 else None
+                here = x[~out] if out is not None and out.any() else x
                 if not len(here):
                     continue
-                r, norm = _responsibilities(here, m)
+                off = [here - m.mu[k] for k in range(K)]
+                squares = [d * d for d in off]
+                r, norm = _shares(squares, m)
                 parts = [np.array([norm.sum(), len(here)])]
                 for k in range(K):
-                    d = here - m.mu[k]
-                    parts += [np.array([r[:, k].sum()]), r[:, k] @ d, r[:, k] @ (d * d)]
+                    parts += [np.array([r[:, k].sum()]), r[:, k] @ off[k], r[:, k] @ squares[k]]
                 sums[fit] = sums.get(fit, 0) + np.concatenate(parts)
         fits = sorted(sums)
         values = [sums[f] for f in fits]
@@ -138,7 +138,13 @@ def fit(matrix: DataFrame, scaled: DataFrame, left_out: list[int] = (), rounds:
     """The fit to all rows, then one for each row left out. The scaling is that of all rows."""
     prototypes = _prototypes(matrix, scaled, spare=1 if left_out else 0)
     models = [_start(prototypes, -1), *[_start(prototypes, r) for r in left_out]]
-    rows = scaled.select("row", "x")
+    with clearing(scaled.sparkSession):
+        _moved(models, stored(packed(scaled, "x", "row"), "blocks"), rounds, tolerance)
+    return models
+
+
+def _moved(models: list[Mixture], rows: DataFrame, rounds: int, tolerance: float) -> None:
+    """The models after rounds over rows, which are ``packed``."""
     for _ in range(rounds):
         now = {i: m for i, m in enumerate(models) if m.moving}
         if not now:
@@ -152,7 +158,6 @@ def fit(matrix: DataFrame, scaled: DataFrame, left_out: list[int] = (), rounds:
                 _updated(m, np.array([by_fit[i][p] for p in range(len(by_fit[i]))]), tolerance)
             else:
                 m.moving = False
-    return models
 
 
 def component_labels(model: Mixture, matrix: DataFrame) -> list[str]:
