@@ -70,16 +70,23 @@ def contexts(rows: DataFrame) -> DataFrame:
     return pairs.select(F.explode(both).alias("c"), "n").select("c.seg_key", "c.side", "c.nbr", "n")
 
 
-def _per_side(ctx: DataFrame) -> DataFrame:
-    """seg_key, side, nbr, n, total: counts with the total of their segment and side."""
+def _per_side(ctx: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """seg_key, side, nbr, n, total: counts with the total of their segment and side.
+
+    With counts (of all segments: seg_key, freq, starts, ends) totals need no sums over ctx: a segment has a left
+    neighbour wherever it is not the first, and a right one wherever it is not the last.
+    """
+    if counts is not None:
+        total = F.col("freq") - F.when(F.col("side") == "left", F.col("starts")).otherwise(F.col("ends"))
+        return ctx.join(counts.select("seg_key", "freq", "starts", "ends"), "seg_key").select("seg_key", "side", "nbr", "n", total.alias("total"))
     totals = ctx.groupBy("seg_key", "side").agg(F.sum("n").alias("total"))
     return ctx.join(totals, ["seg_key", "side"])
 
 
-def side_entropy(ctx: DataFrame) -> DataFrame:
-    """seg_key, H_left, H_right, H_total in nats, and coll_skew, the mean concentration of the sides."""
+def side_entropy(ctx: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """seg_key, H_left, H_right, H_total in nats, and coll_skew, the mean concentration of the sides. counts: as for ``_per_side``."""
     p = F.col("n") / F.col("total")
-    own = _per_side(ctx).groupBy("seg_key", "side").agg(F.sum(shannon(F.col("n"), F.col("total"))).alias("h"), F.sum(p * p).alias("hhi"))
+    own = _per_side(ctx, counts).groupBy("seg_key", "side").agg(F.sum(shannon(F.col("n"), F.col("total"))).alias("h"), F.sum(p * p).alias("hhi"))
     of = lambda side, value: F.coalesce(F.max(F.when(F.col("side") == side, F.col(value))), F.lit(0.0))
     return own.groupBy("seg_key").agg(
         of("left", "h").alias("H_left"), of("right", "h").alias("H_right"), (of("left", "h") + of("right", "h")).alias("H_total"), (0.5 * (of("left", "hhi") + of("right", "hhi"))).alias("coll_skew")
@@ -97,6 +104,14 @@ def segment_counts(rows: DataFrame) -> DataFrame:
     )
 
 
+def segment_frequencies(rows: DataFrame) -> DataFrame:
+    """seg_key, freq, starts, ends and numeric (whether it looks like a number): what one count by segment gives, without
+    the count by sequence that ``segment_counts`` starts from."""
+    return rows.groupBy("seg_key").agg(
+        F.count(F.lit(1)).alias("freq"), F.count_if(F.col("seg_pos") == 0).alias("starts"), F.count_if(F.col("seg_pos") == F.col("n_segs") - 1).alias("ends"), F.first(numeric_like(F.col("tokens"))).alias("numeric")
+    )
+
+
 def average_pmi(ctx: DataFrame, counts: DataFrame, alpha: float = 1.0) -> DataFrame:
     """seg_key, avg_pmi_left, avg_pmi_right: unweighted means over distinct neighbours; 0 without any."""
     uni = counts.agg(F.sum("freq").cast("double").alias("n1"), F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double").alias("v"))
@@ -140,8 +155,9 @@ def context_features(ctx: DataFrame, counts: DataFrame, alpha: float = 1.0) -> D
 
 
 def numeric_neighbours(ctx: DataFrame, counts: DataFrame) -> DataFrame:
-    """seg_key, num_adj, total_adj for every segment: neighbours that look like numbers, and all."""
-    flags = counts.select(F.col("seg_key").alias("nbr"), numeric_like(F.col("tokens")).alias("numeric"))
+    """seg_key, num_adj, total_adj for every segment: neighbours that look like numbers, and all. counts: of segments, with ``tokens`` or ``numeric``."""
+    numeric = F.col("numeric") if "numeric" in counts.columns else numeric_like(F.col("tokens"))
+    flags = counts.select(F.col("seg_key").alias("nbr"), numeric.alias("numeric"))
     own = ctx.join(flags, "nbr").groupBy("seg_key").agg(F.sum(F.when(F.col("numeric"), F.col("n")).otherwise(F.lit(0))).alias("num_adj"), F.sum("n").alias("total_adj"))
     return counts.select("seg_key").join(own, "seg_key", "left").select("seg_key", F.coalesce("num_adj", F.lit(0)).alias("num_adj"), F.coalesce("total_adj", F.lit(0)).alias("total_adj"))
 

@@ -136,6 +136,22 @@ def test_lexicon_features_by_hand(spark):
     assert [m[k].seg_id for k in ("1", "300", "2,3")] == ["seg_00001", "seg_00002", "seg_00003"]
 
 
+def _to_9(df):
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in df.dtypes])
+
+
+def test_neighbours_take_one_count_by_segment(spark):
+    """What the counts by segment alone give equals the counts by sequence and the sums over contexts."""
+    lines = [["1", "a", "b", "a"], ["a", "b"], ["b"], ["b", "1", "1", "c"]]
+    rows = spark.createDataFrame([(i, j, len(t), v, [int(v) if v.isdigit() else ord(v)]) for i, t in enumerate(lines) for j, v in enumerate(t)], "seq_id long, seg_pos int, n_segs long, seg_key string, tokens array<long>")
+    counts, light, ctx = lexicon.segment_counts(rows), lexicon.segment_frequencies(rows), lexicon.contexts(rows)
+    as_set = lambda df, *columns: {tuple(r) for r in df.select(*columns).collect()}
+    assert as_set(light, "seg_key", "freq", "starts", "ends") == as_set(counts, "seg_key", "freq", "starts", "ends")
+    assert as_set(lexicon.numeric_neighbours(ctx, light), "*") == as_set(lexicon.numeric_neighbours(ctx, counts), "*")
+    assert as_set(_to_9(lexicon.average_pmi(ctx, light)), "*") == as_set(_to_9(lexicon.average_pmi(ctx, counts)), "*")
+    assert as_set(_to_9(lexicon.side_entropy(ctx, light)), "*") == as_set(_to_9(lexicon.side_entropy(ctx)), "*")
+
+
 def test_seed_precision_without_seeds(spark):
     seeds = spark.createDataFrame([("a", False, False, True)], "seg_key string, commodity boolean, title boolean, proper_name boolean")
     labels = spark.createDataFrame([("a", "title")], "seg_key string, label string")
