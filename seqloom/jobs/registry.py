@@ -42,11 +42,13 @@ def _kept(df: DataFrame) -> DataFrame:
     return storage.stored(df, "step")
 
 
-def _segments(spark: SparkSession, sf: str) -> DataFrame:
+def _segments(spark: SparkSession, sf: str, *without: str) -> DataFrame:
+    """Segments of all orders; ``without`` the columns that a query never reads."""
+
     def make() -> DataFrame:
         if long_orders(spark, sf):
-            return boundary.segment_corpus(_kept(order_lines(spark, sf)))
-        return boundary.segment_sequences(_kept(order_sequences(spark, sf)))
+            return boundary.segment_corpus(_kept(order_lines(spark, sf))).drop(*without)
+        return boundary.segment_sequences(_kept(order_sequences(spark, sf))).drop(*without)
 
     return storage.settled(spark, "segments", make)
 
@@ -120,15 +122,15 @@ def zscore_boundary(spark, sf):
 
 
 def segmented_lines(spark, sf):
-    return boundary.segmented_lines(_segments(spark, sf))
+    return boundary.segmented_lines(_segments(spark, sf, "before", "n_segs", "seg_key"))
 
 
 def segment_inventory(spark, sf):
-    return lexicon.inventory(_segments(spark, sf)).select("seg_key", "seg_id", "freq", F.size("examples").cast("long").alias("n_examples"))
+    return lexicon.inventory(_segments(spark, sf, "before", "n_segs")).select("seg_key", "seg_id", "freq", F.size("examples").cast("long").alias("n_examples"))
 
 
 def top_examples(spark, sf):
-    return lexicon.top_examples(_segments(spark, sf))
+    return lexicon.top_examples(_segments(spark, sf, "before", "n_segs", "tokens"))
 
 
 def segment_contexts(spark, sf):

@@ -180,9 +180,10 @@ def sequence_association(sequences: DataFrame, alpha: float = 1.0) -> DataFrame:
 
 def sequence_segments(sequences: DataFrame, probabilities: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``segments`` of what ``choose`` marks, for sequences (seq_id, symbols) of a block at most, with ``before``, the key of
-    the segment before. probabilities: seq_id, pos, p of places of the sequences, from 1 on. A sequence meets its cuts in one row."""
+    the segment before. probabilities: seq_id, pos, p of places of the sequences, from 1 on. A sequence meets its cuts in one row.
+    They are dealt by sequence before they are listed: they come by pair, so lists of each task would hold a place or two."""
     rank = F.when(F.col("p").isNotNull(), F.struct(-F.col("p"), F.col("pos")))
-    found = probabilities.groupBy("seq_id").agg(F.collect_list(F.when(F.col("p") >= threshold, F.col("pos"))).alias("reached"), F.min_by("pos", rank).alias("best"))
+    found = probabilities.select("seq_id", "pos", "p").repartition("seq_id").groupBy("seq_id").agg(F.collect_list(F.when(F.col("p") >= threshold, F.col("pos"))).alias("reached"), F.min_by("pos", rank).alias("best"))
     size = F.size("symbols")
     forced = F.coalesce("best", F.greatest(F.lit(1), F.floor(size / 2)).cast("int"))
     cuts = F.when(size < 2, F.array().cast("array<int>")).when(F.size("reached") > 0, F.sort_array("reached")).otherwise(F.array(forced))

@@ -24,12 +24,12 @@ MIXTURE_FEATURES = ["freq", "start_prob", "end_prob", "avg_pos", "mean_len", "H_
 _BY_FREQ = ["_exact", "seg_key"]
 
 
-def _examples(rows: DataFrame, most: int) -> DataFrame:
-    """seg_key, examples: the first places of each segment. At most ``most`` a partition and key are kept
-    before the rows are dealt by key, by the limit that Spark puts below a ranking."""
+def _examples(rows: DataFrame, most: int, *beside: str) -> DataFrame:
+    """seg_key, examples: the first places of each segment, and columns beside, which are the same for all its rows. At most ``most``
+    a partition and key are kept before the rows are dealt by key, by the limit that Spark puts below a ranking."""
     first = rows.withColumn("k", F.row_number().over(W.partitionBy("seg_key").orderBy("seq_id", "seg_pos"))).filter(F.col("k") <= most)
     places = F.array_sort(F.collect_list(F.struct(F.col("seq_id").alias("seq"), F.col("seg_pos").cast("int").alias("pos"))))
-    return first.groupBy("seg_key").agg(places.alias("examples"))
+    return first.groupBy("seg_key").agg(places.alias("examples"), *[F.first(c).alias(c) for c in beside])
 
 
 def top_examples(rows: DataFrame, most: int = EXAMPLES) -> DataFrame:
@@ -38,23 +38,26 @@ def top_examples(rows: DataFrame, most: int = EXAMPLES) -> DataFrame:
 
 
 def inventory(rows: DataFrame, most: int = EXAMPLES) -> DataFrame:
-    """seg_key, seg_id, tokens, freq, examples. seg_id counts by (freq descending, key)."""
-    counted = rows.groupBy("seg_key").agg(F.count(F.lit(1)).alias("freq"), F.first("tokens").alias("tokens"))
-    return numbered(counted, _BY_FREQ).join(_examples(rows, most), "seg_key").select("seg_key", "seg_id", "tokens", "freq", "examples")
+    """seg_key, seg_id, tokens, freq, examples. seg_id counts by (freq descending, key). Tokens come with the examples: with
+    an array beside it, the count of all rows would be taken by sorting them."""
+    counted = rows.groupBy("seg_key").agg(F.count(F.lit(1)).alias("freq"))
+    return numbered(counted, _BY_FREQ).join(_examples(rows, most, "tokens"), "seg_key").select("seg_key", "seg_id", "tokens", "freq", "examples")
 
 
 def numbered(counted: DataFrame, order: list) -> DataFrame:
     """Adds seg_id, a place in a total order.
 
     Rows are dealt by ranges of the order and numbered inside a range, after the rows of the ranges before it, so no
-    task sees all rows, however many there are of one freq.
+    task sees all rows, however many there are of one freq. A range is sorted when it is dealt and its rows are counted as they
+    come (an increasing id has the range in its upper bits and the place in its lower 33), so ranges aren't dealt again.
     """
-    part = counted.withColumn("_exact", -F.col("freq")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    part = stored(part, "ranges")
+    dealt = counted.withColumn("_exact", -F.col("freq")).repartitionByRange(*order).sortWithinPartitions(*order)
+    part = stored(dealt.withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    part = part.withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row for each range
-    ranked = part.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(*order))).join(starts, "_part")
-    return ranked.withColumn("seg_id", F.format_string("seg_%05d", (F.col("_start") + F.col("_in")).cast("long"))).drop("_exact", "_part", "_start", "_in")
+    ranked = part.join(F.broadcast(starts), "_part")
+    return ranked.withColumn("seg_id", F.format_string("seg_%05d", F.col("_start") + F.col("_in") + 1)).drop("_exact", "_id", "_part", "_start", "_in")
 
 
 def contexts(rows: DataFrame) -> DataFrame:
