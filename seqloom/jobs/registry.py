@@ -126,7 +126,7 @@ def segmented_lines(spark, sf):
 
 
 def segment_inventory(spark, sf):
-    return lexicon.inventory(_segments(spark, sf, "before", "n_segs")).select("seg_key", "seg_id", "freq", F.size("examples").cast("long").alias("n_examples"))
+    return lexicon.inventory(_segments(spark, sf, "before", "n_segs", "tokens")).select("seg_key", "seg_id", "freq", F.size("examples").cast("long").alias("n_examples"))
 
 
 def top_examples(spark, sf):

@@ -38,10 +38,11 @@ def top_examples(rows: DataFrame, most: int = EXAMPLES) -> DataFrame:
 
 
 def inventory(rows: DataFrame, most: int = EXAMPLES) -> DataFrame:
-    """seg_key, seg_id, tokens, freq, examples. seg_id counts by (freq descending, key). Tokens come with the examples: with
-    an array beside it, the count of all rows would be taken by sorting them."""
+    """seg_key, seg_id, tokens (if the rows have them), freq, examples. seg_id counts by (freq descending, key). Tokens come with the
+    examples: with an array beside it, the count of all rows would be taken by sorting them."""
     counted = rows.groupBy("seg_key").agg(F.count(F.lit(1)).alias("freq"))
-    return numbered(counted, _BY_FREQ).join(_examples(rows, most, "tokens"), "seg_key").select("seg_key", "seg_id", "tokens", "freq", "examples")
+    tokens = [c for c in rows.columns if c == "tokens"]
+    return numbered(counted, _BY_FREQ).join(_examples(rows, most, *tokens), "seg_key").select("seg_key", "seg_id", *tokens, "freq", "examples")
 
 
 def numbered(counted: DataFrame, order: list) -> DataFrame:

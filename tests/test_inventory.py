@@ -41,6 +41,8 @@ def test_inventory_of_frequent_and_rare_segments(spark):
     for r in found:
         assert r.tokens == next(s for k, s, *_ in flat if k == r.seg_key)
         assert [(e["seq"], e["pos"]) for e in r.examples] == sorted((i, p) for k, _, i, p in flat if k == r.seg_key)[:10]
+    bare = lexicon.inventory(rows.drop("tokens"))
+    assert bare.columns == ["seg_key", "seg_id", "freq", "examples"] and {(r.seg_key, r.seg_id, r.freq) for r in bare.collect()} == {(r.seg_key, r.seg_id, r.freq) for r in found}
 
 
 def test_inventory_counts_by_hash_and_deals_ranges_once(spark, monkeypatch):
